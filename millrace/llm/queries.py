@@ -6,9 +6,11 @@ from millrace.llm.merkle import op1_merkle_fingerprints
 from millrace.llm.minhash import op5_minhash_groups
 from millrace.llm.mixing import OP9_SQL, op9_mix_sources
 from millrace.llm.sharding import op8_shard_slots
+from millrace.llm.suffixes import op3_suffix_repeats
 
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op5_minhash_groups": op5_minhash_groups,
     "op8_shard_slots": op8_shard_slots,
     "op9_mix_sources": op9_mix_sources,

@@ -62,10 +62,14 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a term: ASCII but letters and digits.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts of a block, and the first word of each text (one entry more than texts).
-    A word ends where its text ends."""
-    solid = ~_SPACE[buf]
+    A word ends where its text ends, or at a byte marked in `ends`."""
+    solid = ~ends[buf]
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.langid import op2_language_crf
 from millrace.llm.merkle import op1_merkle_fingerprints
 from millrace.llm.minhash import op5_minhash_groups
 from millrace.llm.mixing import OP9_SQL, op9_mix_sources
@@ -12,6 +13,7 @@ from millrace.llm.toxicity import op4_toxicity_fm
 
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op2_language_crf": op2_language_crf,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_minhash_groups": op5_minhash_groups,

@@ -26,7 +26,11 @@ from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_h
 
 BUCKETS, RANK = 1 << 18, 4
 STEMS = (4, 5, 6, 7)
-SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 12_000, 5, 256, 0.1, 1e-3, 1e-4
+SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 12_000, 8, 256, 0.1, 2e-4, 1e-3
+#: Factors learn slower, and after so many passes of the weights alone.
+FACTOR_RATE, LINEAR = 0.002, 2
+#: A toxic document counts as so many others.
+POSITIVE = 3
 #: Small samples are passed more often, for so many steps.
 STEPS = 300
 #: Terms of fewer labelled documents stay at zero.
@@ -87,13 +91,13 @@ class Machine:
         gw, gv, gb = np.full(n, 1e-6, np.float32), np.full((n, RANK), 1e-6, np.float32), 1e-6
         mean = np.clip(label.mean(), 1e-3, 1 - 1e-3)
         own.bias = np.float32(np.log(mean / (1 - mean)))
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(docs)))):
+        for turn in range(max(EPOCHS, -(-STEPS * BATCH // len(docs)))):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
                 x, bounds = np.concatenate([docs[i] for i in rows]), np.concatenate(([0], np.cumsum(size[rows])))
                 sums = own._sums(bounds, x)
-                miss = ((own._logistic(sums) - label[rows]) / len(rows)).astype(np.float32)
+                miss = ((own._logistic(sums) - label[rows]) * np.where(label[rows] > 0, POSITIVE, 1) / len(rows)).astype(np.float32)
                 doc = np.repeat(np.arange(len(rows)), size[rows])
                 each, total = miss[doc], sums[doc, 1 : RANK + 1]
                 dw = np.bincount(x, each, n).astype(np.float32)
@@ -106,7 +110,7 @@ class Machine:
                 rate = here * RATE / np.sqrt(gw)
                 w = own.w - rate * dw
                 own.w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-                own.v -= here[:, None] * (RATE / 4 / np.sqrt(gv)) * (dv + L2 * own.v)
+                own.v -= here[:, None] * (FACTOR_RATE / np.sqrt(gv)) * (dv + L2 * own.v) if turn >= LINEAR else 0
                 own.bias -= np.float32(RATE / np.sqrt(gb) * miss.sum())
         self.bias, self.v[:] = own.bias, 0
         self.w[used], self.v[used] = own.w, own.v

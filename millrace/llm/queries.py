@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from millrace.llm.hamming import OP7_SQL, op7_multi_index_search
 from millrace.llm.langid import op2_language_crf
 from millrace.llm.merkle import op1_merkle_fingerprints
 from millrace.llm.minhash import op5_minhash_groups
 from millrace.llm.mixing import OP9_SQL, op9_mix_sources
 from millrace.llm.packing import op10_pack_grouping
+from millrace.llm.pseudo_lm import op6_pseudo_likelihood
 from millrace.llm.sharding import op8_shard_slots
 from millrace.llm.suffixes import op3_suffix_repeats
 from millrace.llm.toxicity import op4_toxicity_fm
@@ -17,11 +19,14 @@ QUERIES = {
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_minhash_groups": op5_minhash_groups,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
+    "op7_multi_index_search": op7_multi_index_search,
     "op8_shard_slots": op8_shard_slots,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack_grouping": op10_pack_grouping,
 }
 
 ORACLES = {
+    "op7_multi_index_search": OP7_SQL,
     "op9_mix_sources": OP9_SQL,
 }

@@ -5,11 +5,12 @@ a shorter document is one shingle; one without words is linked with nothing.
 
 1. Each set gets a signature: the minima of many universal hashes (multiply, add, take the upper half). Documents with equal
    sets become one class at once, represented by the smallest id.
-2. Banding: classes whose signatures agree in all rows of a band meet in a bucket. Each bucket's members are compared with its
-   smallest member: signatures first, then the full sets.
-3. Connected components of the verified links. Buckets whose members are still in several components are searched whole, in
-   blocks: pairs across components whose signatures agree well enough are verified on full sets as well. So each pair that a
-   bucket holds is either in one component already or tested, and no bucket's pairs are written out.
+2. Banding: classes whose signatures agree in all rows of a band meet in a bucket. Each class is compared, on full sets, with the
+   smallest member of all its buckets.
+3. Connected components of those links. Buckets whose members are still in several components are searched whole, in squares of
+   blocks: pairs across components whose signatures agree well enough are verified on full sets as well, until the square's
+   components that have a link are one. So each pair that meets in a bucket is either in one component already or tested, and no
+   bucket's pairs are written out.
 4. Components again, over all links.
 
 With 24 bands of 5 rows, a pair of similarity 0.85 (0.8) misses all buckets with probability 8e-7 (7e-5). Pairs are verified from a
@@ -41,7 +42,7 @@ _B = _rng.integers(0, 1 << 63, HASHES, np.uint64)
 #: Upper bits of a shingle's key hold its document's place in the block.
 _DOC_BITS = np.uint64(10)
 #: Members of a bucket are compared in squares of so many at a side.
-SQUARE = 512
+SQUARE = 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int, col: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,35 +80,46 @@ def signatures(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums that equal sets share."""
+    out, full = np.zeros((2, len(bounds) - 1), np.uint64), np.diff(bounds) > 0
+    if len(values):
+        for i, x in enumerate((mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D)))):
+            out[i, full] = np.add.reduceat(x, bounds[:-1][full])
+    return out
+
+
+def _buckets(sig: np.ndarray) -> np.ndarray:
+    """A bucket for each band of each signature."""
+    sig = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        key = mix(key * np.uint64(31) + sig[:, :, r])
+    return key.view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, bounds, values in shingle_sets(batch, k):
             n, full = np.diff(bounds), np.diff(bounds) > 0
-            key = np.zeros((2, len(n)), np.uint64)
-            if len(values):
-                begin = bounds[:-1][full]
-                for i, x in enumerate((mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D)))):
-                    key[i, full] = np.add.reduceat(x, begin)
-            sig = np.zeros((len(n), HASHES), np.uint32)
-            sig[full] = signatures(bounds, values)
-            packed = pa.Array.from_buffers(pa.binary(HASHES * 4), len(n), [None, pa.py_buffer(np.ascontiguousarray(sig))])
+            band = np.zeros((len(n), BANDS), np.int64)
+            band[full] = _buckets(signatures(bounds, values))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))
             ids = batch.column("doc_id").slice(row, len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in key), packed.cast(pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in _keys(bounds, values)), lists], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
 
-def _signed(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+def _with_signature(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, bounds, values in shingle_sets(batch, k):
+            sig = np.zeros((len(bounds) - 1, HASHES), np.uint32)
+            sig[np.diff(bounds) > 0] = signatures(bounds, values)
+            part = batch.slice(row, len(sig))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sig], pa.binary()), part.column("text")], ["doc_id", "sig", "text"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
-            sig = _signed(part.column("sig")).astype(np.uint64).reshape(len(part), BANDS, ROWS)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(part), BANDS)).copy()
-            for r in range(ROWS):
-                key = mix(key * np.uint64(31) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("doc_id").to_numpy(), BANDS))], ["bucket", "doc_id"])
+def _signed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
 def least_agreement(threshold: float) -> int:
@@ -115,108 +127,134 @@ def least_agreement(threshold: float) -> int:
     return int(np.floor(HASHES * threshold - 5 * np.sqrt(HASHES * threshold * (1 - threshold))))
 
 
-def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
-            good = (_signed(part.column("sig_u")) == _signed(part.column("sig_v"))).sum(1) >= least
-            yield part.select(["u", "v"]).filter(pa.array(good))
+def _sets(batch: pa.RecordBatch | pa.Table, k: int, col: str) -> list[np.ndarray]:
+    out = []
+    for _, bounds, values in shingle_sets(batch, k, col):
+        out += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """On full sets, sorted."""
+    if num * max(len(a), len(b)) > den * min(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate((a, b)))
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return den * common >= num * (len(a) + len(b) - common)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their texts, those whose full sets are similar enough. A run of rows often has the same second text."""
+    """Of pairs with their texts, those whose full sets are similar enough."""
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            sets = {}
-            for name in ("text_u", "text_v"):
-                sets[name] = []
-                for _, bounds, values in shingle_sets(part, k, name):
-                    sets[name] += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            good = []
-            for a, b in zip(sets["text_u"], sets["text_v"], strict=True):
-                both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-                good.append(den * both >= num * (len(a) + len(b) - both))
+            good = [_linked(a, b, num, den) for a, b in zip(_sets(part, k, "text_u"), _sets(part, k, "text_v"), strict=True)]
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (square, bucket, side, doc_id, label, sig), sorted: of each square, the pairs of its two sides that are in different
-    components and whose signatures agree."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(square: pa.Table) -> pa.RecordBatch:
-        ids, label, side = (square.column(c).to_numpy() for c in ("doc_id", "label", "side"))
-        sig = _signed(square.column("sig").combine_chunks())
-        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))  # side 2: a square on the diagonal
-        found = []
-        for i in left:
-            other = right[(label[right] != label[i]) & ((side[i] != 2) | (right > i))]
-            found += [(ids[i], ids[j]) for j in other[(sig[other] == sig[i]).sum(1) >= least]]
-        u, v = (np.array([x[i] for x in found], np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
-    now = None
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each square, of batches sorted by bucket and square."""
+    held, now = [], None
     for batch in batches:
-        key = list(zip(batch.column("bucket").to_pylist(), batch.column("square").to_pylist(), strict=True))
-        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        bucket, square = batch.column("bucket").to_numpy(), batch.column("square").to_numpy()
+        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (square[1:] != square[:-1])) + 1), len(batch)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if key[a] != now and held:
-                yield pairs(pa.Table.from_batches(held))
+            if held and b > a and (bucket[a], square[a]) != now:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held = []
-            now = key[a]
-            held.append(batch.slice(a, b - a))
+            if b > a:
+                now = (bucket[a], square[a])
+                held.append(batch.slice(a, b - a))
     if held:
-        yield pairs(pa.Table.from_batches(held))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = settle(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    rows = pairs.join(texts.withColumnsRenamed({"doc_id": "u", "text": "text_u"}), "u")
-    rows = rows.join(texts.withColumnsRenamed({"doc_id": "v", "text": "text_v"}), "v").select("u", "v", "text_u", "text_v")
-    return rows.mapInArrow(partial(_similar, k=k, num=num, den=den), "u long, v long")
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _candidates(square: pa.RecordBatch, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): pairs across components whose signatures agree and that have met in no earlier band."""
+    label, side, bucket = (square.column(c).to_numpy() for c in ("label", "side", "bucket"))
+    sig = _signed(square.column("sig"))
+    bands = _buckets(sig)
+    band = int(np.argmax(bands[0] == bucket[0]))
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):  # side 2: a square on the diagonal, each pair once
+        other = right[(label[right] != label[i]) & ((side[i] != 2) | (right > i))]
+        other = other[(sig[other] == sig[i]).sum(1) >= least]
+        if band and len(other):
+            other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
+        if len(other):
+            yield i, other
+
+
+def _involved(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for square in _squares(batches):
+        used = np.zeros(len(square), bool)
+        for i, other in _candidates(square, least):
+            used[i] = used[other] = True
+        yield square.select(["bucket", "square", "side", "doc_id", "label"]).filter(pa.array(used))
+
+
+def _bridges(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Links on full sets that join the square's components, as few as do."""
+    for square in _squares(batches):
+        ids, label = square.column("doc_id").to_numpy(), square.column("label").to_numpy()
+        sets, parent, found = _sets(square, k, "text"), {x: x for x in label.tolist()}, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, other in _candidates(square, least):
+            for j in other:
+                a, b = root(int(label[i])), root(int(label[j]))
+                if a != b and _linked(sets[i], sets[j], num, den):
+                    parent[a] = b
+                    found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        u, v = (pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked if den * intersection >= num * union of their k-word sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     least = least_agreement(num / den)
-    sets = settle(docs.mapInArrow(partial(_sign, k=k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "sets")
+    sets = settle(docs.mapInArrow(partial(_sign, k=k), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sets")
     linkable = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = settle(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("c")).select("k1", "k2", "n_shingles", "c.*"), "classes")
-    rows = classes.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
+    classes = settle(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("c")).select("k1", "k2", "n_shingles", "c.*"), "classes")
+    rows = classes.select("doc_id", F.explode("bands").alias("bucket")).distinct()
     centers = rows.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    members = settle(rows.join(centers, "bucket").select("bucket", "doc_id", "center"), "members")
+    members = settle(rows.join(centers, "bucket"), "members")
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = settle(texts.mapInArrow(partial(_with_signature, k=k), "doc_id long, sig binary, text string"), "texts")
+
+    star = members.groupBy(F.col("doc_id").alias("u")).agg(F.min("center").alias("v")).filter("u <> v")
+    star = star.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
+    star = star.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    links = settle(star.mapInArrow(partial(_similar, k=k, num=num, den=den), "u long, v long"), "links")
+    found = connected_components(links)
+
+    labels = settle(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labels")
+    side = F.ceil(F.count("*") / SQUARE).cast("int")
+    open_ = labels.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), side.alias("sides")).filter("a <> b").select("bucket", "sides")
+    # a bucket's members are dealt to blocks by their ids; each pair of blocks is a square
+    rest = labels.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    square = F.least("block", "other") * F.col("sides") + F.greatest("block", "other")
+    place = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rest = rest.select("bucket", square.alias("square"), place.alias("side"), "doc_id", "label")
 
-    sig = classes.select("doc_id", "sig")
-    star = members.filter("doc_id <> center").select(F.col("doc_id").alias("u"), F.col("center").alias("v")).distinct()
-    star = star.join(sig.withColumnsRenamed({"doc_id": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"doc_id": "v", "sig": "sig_v"}), "v")
-    star = settle(star.select("u", "v", "sig_u", "sig_v").mapInArrow(partial(_agree, least=least), "u long, v long"), "star")
-    links = settle(_verified(star, docs, k, num, den), "links")
-    found = settle(connected_components(links), "found")
+    def by_square(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "square").sortWithinPartitions("bucket", "square", "side", "doc_id")
 
-    labels = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    open_ = labels.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    # a bucket's members are dealt to blocks by their ids; each pair of blocks is a square
-    side = F.ceil(F.col("n") / SQUARE).cast("int")
-    rest = labels.select("bucket", "doc_id", "label").join(open_.select("bucket", side.alias("side_n")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("side_n")).cast("int"))
-    rest = rest.join(sig, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side_n") - 1)))
-    square = F.least("block", "other") * F.col("side_n") + F.greatest("block", "other")
-    rest = rest.select("bucket", square.alias("square"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "label", "sig")
-    rest = rest.repartition("bucket", "square").sortWithinPartitions("bucket", "square", "side", "doc_id")
-    more = settle(rest.mapInArrow(partial(_across, least=least), "u long, v long").distinct(), "across")
-    links = links.union(settle(_verified(more, docs, k, num, den), "links")) if more.head(1) else links
-    final = settle(connected_components(links), "final")
+    kind = "bucket long, square int, side int, doc_id long, label long"
+    used = settle(by_square(rest.join(texts.select("doc_id", "sig"), "doc_id")).mapInArrow(partial(_involved, least=least), kind), "squares")
+    bridges = by_square(used.join(texts, "doc_id")).mapInArrow(partial(_bridges, k=k, num=num, den=den, least=least), "u long, v long")
+    final = connected_components(links.union(settle(bridges, "links")))
+    for done in (members, labels, used, texts):
+        discard(done)
 
     of_class = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "doc_id").alias("of_class"))
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("of_class")).otherwise(F.col("doc_id"))
-    for used in (members, star, found):
-        discard(used)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -79,7 +79,8 @@ def _firsts(order_of: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-_SPAN = ["anchor", "span", "doc_id", "start", "n", "lead", "known"]
+#: `place` is start * 2^16 + number of windows * 2^8 + anchor's place, or KNOWN instead of that of a span that is known to be a repeat.
+_SPAN, KNOWN = ["anchor", "span", "doc_id", "place"], 255
 
 
 def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         new = new | ((doc[order] == doc[begin]) & (start[order] == start[begin]))
         anchor = np.where(new, anchor[order], mix(doc[order].astype(np.uint64) + start[order].astype(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span[order].view(np.int64)), pa.array(doc[order]), pa.array(start[order]), pa.array(n[order].astype(np.int16)), pa.array(lead[order].astype(np.int16)), pa.array(~new)], _SPAN)
+        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span[order].view(np.int64)), pa.array(doc[order]), pa.array((start[order] << 16) | (n[order] << 8) | np.where(new, lead[order], KNOWN))], _SPAN)
 
     for batch in batches:
         ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
@@ -113,9 +114,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
     if whole is None:
         return
-    anchor, span, doc, start, n, lead, known = (whole.column(c).to_numpy() for c in _SPAN)
-    told = np.flatnonzero(known)
-    kept = np.flatnonzero(~known)
+    anchor, span, doc, place = (whole.column(c).to_numpy() for c in _SPAN)
+    every = {"doc_id": doc, "start": place >> 16, "n": (place >> 8 & 255).astype(np.int16), "lead": (place & 255).astype(np.int16)}
+    start, n, lead = (every[c] for c in ("start", "n", "lead"))
+    told, kept = np.flatnonzero(lead == KNOWN), np.flatnonzero(lead != KNOWN)
     anchor, span, doc, start, n, lead = (x[kept] for x in (anchor, span, doc, start, n, lead))
     order, new = _firsts((start, doc, span, anchor))
     begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
@@ -127,7 +129,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[1:] |= same
         shared[:-1] |= same
     probe = first[shared]
-    cols = [np.concatenate((whole.column(c).to_numpy()[told], x[repeat], x[probe])) for c, x in (("doc_id", doc), ("start", start), ("n", n), ("lead", lead))]
+    cols = [np.concatenate((every[c][told], x[repeat], x[probe])) for c, x in (("doc_id", doc), ("start", start), ("n", n), ("lead", lead))]
     none = np.arange(len(cols[0])) < len(told) + len(repeat)
     for a in range(0, len(none), 1 << 16):
         b = slice(a, a + (1 << 16))
@@ -224,7 +226,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24)  # of 16 MB of text, half a million spans
-    met = docs.mapInArrow(partial(_task_spans, length=length), "anchor long, span long, doc_id long, start long, n short, lead short, known boolean")
+    met = docs.mapInArrow(partial(_task_spans, length=length), "anchor long, span long, doc_id long, place long")
     met = settle(met.repartition(parts, "anchor").mapInArrow(_meet, "doc_id long, start long, n short, lead short"), "spans")
     wanted = met.filter("lead is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "lead")).alias("wanted"))
     pieces = docs.join(wanted, "doc_id").mapInArrow(partial(_fetch, length=length), "half long, doc_id long, start long, n short, piece binary")

@@ -257,11 +257,11 @@ def enrich_snowflake(t: Inputs) -> DataFrame:
 
 
 @query("""select a.p_partkey, a.p_brand, a.p_size, b.first_key, b.first_name from part a left join (
-  select p_brand, p_size, min(p_partkey) as first_key, arg_min(p_name, p_partkey) as first_name from part where p_size % 2 = 0 group by all) b on a.p_brand = b.p_brand and a.p_size = b.p_size""")
+  select p_brand, p_size, cast(min(p_partkey) as varchar) as first_key, arg_min(p_name, p_partkey) as first_name from part where p_size % 2 = 0 group by all) b on a.p_brand = b.p_brand and a.p_size = b.p_size""")
 def lookup_multi(t: Inputs) -> DataFrame:
     part = t.table("part")
     dim = part.filter("p_size % 2 = 0").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "p_partkey", "p_name")
-    return joins.lookup(part.select("p_partkey", "p_brand", "p_size"), dim, {"p_brand": "brand", "p_size": "size"}, {"first_key": "p_partkey", "first_name": "p_name"}, ["p_partkey"])
+    return joins.lookup(part.select("p_partkey", "p_brand", "p_size"), dim, {"p_brand": "brand", "p_size": "size"}, {"first_key": "p_partkey", "first_name": "p_name"}, ["p_partkey"]).withColumn("first_key", F.col("first_key").cast("string"))
 
 
 # keyed operators
@@ -400,11 +400,11 @@ def win_register(t: Inputs) -> DataFrame:
 # scalar functions
 
 @query("""select event_id, strftime(epoch_ms(ms), '%Y-%m-%d') as day, strftime(epoch_ms(ms), '%Y-%m-%d %H:%M:%S') as clock, (sec - sec % 86400) * 1000 as day_ms, sec * 1000 as clock_ms,
-  cast(null as bigint) as no_ms, strftime(epoch_ms(sec * 1000), '%Y-%m-%d %H:%M:%S') as from_text from ev""")
+  true as no_ms, strftime(epoch_ms(sec * 1000), '%Y-%m-%d %H:%M:%S') as from_text from ev""")
 def scalar_time(t: Inputs) -> DataFrame:
     ms = F.unix_millis("time")
     rows = t.events.select("event_id", times.date_text(times.from_millis(ms)).alias("day"), times.date_time_text(times.from_millis(ms)).alias("clock"), F.unix_timestamp("time").cast("string").alias("s"))
-    return rows.select("event_id", "day", "clock", times.to_millis(F.col("day")).alias("day_ms"), times.to_millis(F.col("clock"), full=True).alias("clock_ms"), times.to_millis(F.concat("day", F.lit("?"))).alias("no_ms"), times.date_time_text(times.from_seconds(F.col("s"))).alias("from_text"))
+    return rows.select("event_id", "day", "clock", times.to_millis(F.col("day")).alias("day_ms"), times.to_millis(F.col("clock"), full=True).alias("clock_ms"), times.to_millis(F.concat("day", F.lit("?"))).isNull().alias("no_ms"), times.date_time_text(times.from_seconds(F.col("s"))).alias("from_text"))
 
 
 @query("select event_id, k, '{\"k\":' || k || '}' as text, n as item, event_type = 'view' as is_view, true as object, k % 4 = 0 as no_user from ev, unnest(range(0, event_id % 3)) as u(n)")

@@ -29,7 +29,7 @@ from millrace.llm.textbytes import blocks, lower_ascii, prefix, range_hash, word
 
 UNKNOWN = "und"
 BUCKETS, SEGMENT = 1 << 16, 64
-SAMPLE, CHAINS, BATCH, RATE, L2 = 1500, 6000, 64, 0.2, 1e-6
+SAMPLE, CHAINS, BATCH, RATE, L2 = 1000, 6000, 64, 0.2, 1e-6
 
 
 def word_features(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +99,10 @@ class Field:
         return out / out.sum(1, keepdims=True)
 
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int = 3) -> Field:
-        """docs: features of a document as (word, bucket), and its language's number. Chains of SEGMENT words, spliced from pieces of 8
+        """docs: numbers of features of a document's words, the features, and its language's number. Chains of SEGMENT words, spliced from pieces of 8
         to SEGMENT words of different documents."""
         rng, k = np.random.default_rng(seed), len(self.languages)
-        docs = [(np.concatenate(([0], np.cumsum(np.bincount(word)))), bucket[np.argsort(word, kind="stable")], label) for word, bucket, label in docs if len(word)]
+        docs = [(np.concatenate(([0], np.cumsum(n, dtype=np.int64))), bucket, label) for n, bucket, label in docs if len(n)]
         gw, gm = np.full((BUCKETS, k), 1e-4, np.float32), np.full((k, k), 1e-4)
         for _ in range(-(-CHAINS // BATCH) if docs else 0):
             of, bucket, truth = [], [], np.full(BATCH * SEGMENT, -1)
@@ -116,7 +116,7 @@ class Field:
                     of.append(np.repeat(row * SEGMENT + t + np.arange(take), np.diff(bounds[a : a + take + 1])))
                     truth[row * SEGMENT + t : row * SEGMENT + t + take] = label
                     t += take
-            of, bucket = np.concatenate(of), np.concatenate(bucket)
+            of, bucket = np.concatenate(of), np.concatenate(bucket).astype(np.int64)
             score = np.stack([np.bincount(of, self.w[bucket, j], len(truth)) for j in range(k)], 1)
             e = np.exp(score - score.max(1, keepdims=True)).reshape(BATCH, SEGMENT, k).transpose(1, 0, 2)
             step = np.exp(self.move - self.move.max())
@@ -155,21 +155,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, bucket = word_features(prefix(lower_ascii(buf)), start, end)
             by = np.argsort(of, kind="stable")
             of, bucket = of[by], bucket[by]
-            cuts = np.searchsorted(of, first)
-            local = of - np.repeat(first[:-1], np.diff(cuts))
-            lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (local, bucket)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), *lists], ["lang", "word", "bucket"])
+            cuts, n = np.searchsorted(of, first), np.bincount(of, minlength=len(start)).astype(np.uint32)
+            packed = [(n[first[i] : first[i + 1]].tobytes(), bucket[cuts[i] : cuts[i + 1]].astype(np.uint16).tobytes()) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), *(pa.array([x[j] for x in packed], pa.binary()) for j in (0, 1))], ["lang", "n", "bucket"])
 
 
 def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Field | None:
     """Learns from at most `sample` documents that have a language and a letter and for which `usable` holds."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = F.broadcast(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())
-    got = rows.join(chosen, "doc_id", "left_semi").select("lang", "text").mapInArrow(_features, "lang string, word array<int>, bucket array<int>").toPandas()
+    got = rows.join(chosen, "doc_id", "left_semi").select("lang", "text").mapInArrow(_features, "lang string, n binary, bucket binary").toArrow()
     if not len(got):
         return None
-    languages = sorted(set(got["lang"]))
-    return Field(languages).fit([(np.asarray(w), np.asarray(b), languages.index(lang)) for lang, w, b in zip(got["lang"], got["word"], got["bucket"], strict=True)])
+    label = got.column("lang").to_pylist()
+    languages = sorted(set(label))
+    read = lambda column, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(column)]
+    return Field(languages).fit([(n, b, languages.index(x)) for n, b, x in zip(read("n", np.uint32), read("bucket", np.uint16), label, strict=True)])
 
 
 def _identify(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_h
 
 BUCKETS, RANK = 1 << 18, 4
 STEMS = (4, 5, 6, 7)
-SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 12_000, 8, 256, 0.1, 2e-4, 1e-3
+SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 6_000, 10, 256, 0.1, 2e-4, 1e-3
 #: Factors learn slower, and after so many passes of the weights alone.
 FACTOR_RATE, LINEAR = 0.002, 2
 #: A toxic document counts as so many others.
@@ -77,13 +77,13 @@ class Machine:
         z = self.bias + s[:, 0] + 0.5 * ((s[:, 1 : RANK + 1] ** 2).sum(1) - s[:, RANK + 1 :].sum(1))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, docs: list[np.ndarray], label: np.ndarray, seed: int = 5) -> Machine:
+    def fit(self, docs: list[np.ndarray], label: np.ndarray, seed: int = 5, factor_rate: float = FACTOR_RATE) -> Machine:
         rng, seen = np.random.default_rng(seed), np.zeros(BUCKETS, np.int64)
         for d in docs:
             seen[d] += 1
         used = np.flatnonzero(seen >= MIN_DOCS)
-        name = np.full(BUCKETS, -1)
-        name[used] = np.arange(len(used))
+        name = np.full(BUCKETS, -1, np.int32)
+        name[used] = np.arange(len(used), dtype=np.int32)
         docs = [(n := name[d])[n >= 0] for d in docs]
         size, n = np.array([len(d) for d in docs]), len(used)
         own = Machine()
@@ -110,7 +110,7 @@ class Machine:
                 rate = here * RATE / np.sqrt(gw)
                 w = own.w - rate * dw
                 own.w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-                own.v -= here[:, None] * (FACTOR_RATE / np.sqrt(gv)) * (dv + L2 * own.v) if turn >= LINEAR else 0
+                own.v -= here[:, None] * (factor_rate / np.sqrt(gv)) * (dv + L2 * own.v) if turn >= LINEAR else 0
                 own.bias -= np.float32(RATE / np.sqrt(gb) * miss.sum())
         self.bias, self.v[:] = own.bias, 0
         self.w[used], self.v[used] = own.w, own.v
@@ -121,7 +121,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column("label")
         for row, bounds, x in term_buckets(batch):
-            yield pa.RecordBatch.from_arrays([label.slice(row, len(bounds) - 1), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x))], ["label", "x"])
+            packed = pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([label.slice(row, len(packed)), packed], ["label", "x"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -135,8 +136,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("label", "text")
-    got = rows.mapInArrow(_features, "label int, x array<int>").toPandas()
-    return Machine().fit(list(got["x"].map(np.asarray)), got["label"].to_numpy(np.float32)) if len(got) else None
+    got = rows.mapInArrow(_features, "label int, x binary").toArrow()
+    return Machine().fit([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("x")], got.column("label").to_numpy().astype(np.float32)) if len(got) else None
 
 
 def with_score(docs: DataFrame, model: Machine | None) -> DataFrame:

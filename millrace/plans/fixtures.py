@@ -56,11 +56,26 @@ class Inputs:
         ts = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") * 37) % 86400
         return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "c_nationkey", ts.alias("ts"))
 
+    @cached_property
+    def last_items(self) -> DataFrame:
+        """lineitem with the latest row of each line only."""
+        rest = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+        last = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
+        return last.select("l_orderkey", "l_linenumber", "r.*")
+
     @cached_property
     def order_lines(self) -> DataFrame:
         """Lines in order of arrival, ids repeated."""
+        return self._lines(self.table("lineitem"))
+
+    @cached_property
+    def last_lines(self) -> DataFrame:
+        """The latest line of each id."""
+        return self._lines(self.last_items)
+
+    def _lines(self, items: DataFrame) -> DataFrame:
         part = self.table("part").select("p_partkey", "p_name", "p_retailprice")
-        lines = self.table("lineitem").join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = items.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
         money = lambda c: F.col(c).cast(MONEY)
         return lines.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), _string("l_orderkey").alias("order_id"), _string("l_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"),
@@ -70,12 +85,6 @@ class Inputs:
             "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_orderkey", "l_linenumber", *ARRIVAL, "ts", F.timestamp_seconds("ts").alias("time"),
         )
 
-    @cached_property
-    def last_lines(self) -> DataFrame:
-        """The latest line of each id."""
-        rest = [c for c in self.order_lines.columns if c != "id"]
-        return self.order_lines.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(*ARRIVAL)).alias("r")).select("id", "r.*")
-
     def _changes(self, df: DataFrame, table: str, kind: Column, ts: Column, data: dict[str, Column], old: dict[str, Column] | None = None) -> DataFrame:
         entries = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))])
         past = entries(old) if old else F.lit(None).cast("map<string,string>")
@@ -108,8 +117,9 @@ class Inputs:
             "split_total_amount": c("order_amount"), "split_activity_amount": c("activity_amount"), "split_coupon_amount": c("coupon_amount"),
         }))
         activity, coupon = F.round(c("l_discount") * 100).cast("int"), F.round(c("l_tax") * 100).cast("int")
-        out = out.union(self._changes(x.filter("l_discount >= 0.05"), "order_detail_activity", insert, c("ts"), {"order_detail_id": c("id"), "activity_id": activity, "activity_rule_id": F.concat(F.lit("r"), activity)}))
-        out = out.union(self._changes(x.filter("l_tax >= 0.04"), "order_detail_coupon", insert, c("ts"), {"order_detail_id": c("id"), "coupon_id": coupon}))
+        items, shipped, line = self.last_items, F.unix_timestamp(c("l_shipdate").cast("timestamp")), F.concat_ws("-", "l_orderkey", "l_linenumber")
+        out = out.union(self._changes(items.filter("l_discount >= 0.05"), "order_detail_activity", insert, shipped, {"order_detail_id": line, "activity_id": activity, "activity_rule_id": F.concat(F.lit("r"), activity)}))
+        out = out.union(self._changes(items.filter("l_tax >= 0.04"), "order_detail_coupon", insert, shipped, {"order_detail_id": line, "coupon_id": coupon}))
         r, part = self.refund_lines, c("l_partkey")
         asked, paid = c("ts") + 3600, c("ts") + 90000
         out = out.union(self._changes(r, "order_refund_info", insert, asked, {

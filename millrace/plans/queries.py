@@ -33,10 +33,15 @@ def _with_views(sql: str) -> str:
     return (f"with {views} " if views else "") + sql
 
 
+def _amounts_as_text(df: DataFrame) -> DataFrame:
+    """So that they can be compared to the last digit, whatever reads them."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind.startswith("decimal")})
+
+
 def query(sql: str | None = None, name: str | None = None):
     def add(f: Callable[[Inputs], DataFrame]):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: _amounts_as_text(f(Inputs(spark, sf_dir)))
         if sql:
             ORACLES[key] = _with_views(sql)
         return f
@@ -304,12 +309,12 @@ def _lines(t: Inputs) -> DataFrame:
     return t.order_lines.select("id", "order_id", "sku_id", "province_id", *summaries.SKU_MEASURES, *ARRIVAL, "time")
 
 
-@query("select id, s as sign, cast(s * original_amount as decimal(20,4)) as original_amount, cast(s * activity_amount as decimal(20,4)) as activity_amount, cast(s * coupon_amount as decimal(20,4)) as coupon_amount, cast(s * order_amount as decimal(16,2)) as order_amount from signed")
+@query("select id, s as sign, cast(cast(s * original_amount as decimal(20,4)) as varchar) as original_amount, cast(cast(s * activity_amount as decimal(20,4)) as varchar) as activity_amount, cast(cast(s * coupon_amount as decimal(20,4)) as varchar) as coupon_amount, cast(cast(s * order_amount as decimal(16,2)) as varchar) as order_amount from signed")
 def dedup_cancel_sku(t: Inputs) -> DataFrame:
     return keyed.replace_by_cancel(_lines(t), "id", ARRIVAL, summaries.SKU_MEASURES).select("id", "sign", *summaries.SKU_MEASURES)
 
 
-@query("select id, s as sign, cast(s * order_amount as decimal(16,2)) as order_amount from signed")
+@query("select id, s as sign, cast(cast(s * order_amount as decimal(16,2)) as varchar) as order_amount from signed")
 def dedup_cancel_province(t: Inputs) -> DataFrame:
     return keyed.replace_by_cancel(_lines(t), "id", ARRIVAL, ["order_amount"]).select("id", "sign", "order_amount")
 
@@ -348,14 +353,14 @@ def win_pay_users(t: Inputs) -> DataFrame:
     return summaries.paying_users(_timed(fact_payment(t)))
 
 
-@query(f"""select w.*, case when n_nationkey is null then '' else n_name end as province_name from (select {_window('ts')}, province_id, count(distinct order_id) as order_count, cast(sum(s * order_amount) as decimal(38,4)) as order_amount from signed group by all) w
+@query(f"""select w.*, case when n_nationkey is null then '' else n_name end as province_name from (select {_window('ts')}, province_id, count(distinct order_id) as order_count, cast(cast(sum(s * order_amount) as decimal(38,4)) as varchar) as order_amount from signed group by all) w
   left join nation on cast(n_nationkey as varchar) = province_id and n_nationkey <> 7""")
 def win_province_order(t: Inputs) -> DataFrame:
     return summaries.province_orders(_lines(t), t.province, ARRIVAL)
 
 
-@query(f"""select w.*, flat.* exclude (id) from (select {_window('ts')}, sku_id, cast(sum(s * original_amount) as decimal(38,4)) as original_amount, cast(sum(s * activity_amount) as decimal(38,4)) as activity_amount,
-  cast(sum(s * coupon_amount) as decimal(38,4)) as coupon_amount, cast(sum(s * order_amount) as decimal(38,4)) as order_amount from signed group by all) w left join flat on sku_id = flat.id""")
+@query(f"""select w.*, flat.* exclude (id) from (select {_window('ts')}, sku_id, cast(cast(sum(s * original_amount) as decimal(38,4)) as varchar) as original_amount, cast(cast(sum(s * activity_amount) as decimal(38,4)) as varchar) as activity_amount,
+  cast(cast(sum(s * coupon_amount) as decimal(38,4)) as varchar) as coupon_amount, cast(cast(sum(s * order_amount) as decimal(38,4)) as varchar) as order_amount from signed group by all) w left join flat on sku_id = flat.id""")
 def win_sku_order(t: Inputs) -> DataFrame:
     return summaries.sku_orders(_lines(t), _flat(t), ARRIVAL)
 

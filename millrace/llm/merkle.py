@@ -101,3 +101,26 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def _sql_root(text: str) -> str:
+    paragraphs = "list_transform(string_split(s, chr(10)), lambda p: sha256('p' || p))"
+    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: sha256('s' || array_to_string({paragraphs}, '')))"
+    return f"sha256('r' || array_to_string({sections}, ''))"
+
+
+def _sql_phrases(text: str) -> str:
+    return rf"list_distinct(string_split(regexp_replace({text}, '([.,;:!?|e])[ \t]+', '\1' || chr(10), 'g'), chr(10)))"
+
+
+OP1_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+followed as (select *, coalesce(lead(text) over w, first_value(text) over w) as after from docs window w as (order by doc_id desc)),
+edits as (select *, substring(text, 1, length(text) - length(text) // 3) || substring(after, 1, length(text) // 3) as edited from followed),
+trees as (
+  select *, {_sql_phrases("text")} as x, {_sql_phrases("edited")} as y, {_sql_phrases("after")} as z, string_split(text, chr(10)) as a, string_split(edited, chr(10)) as b from edits)
+select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_sql_root("text")} as fingerprint, {_sql_root("edited")} as edited_fingerprint,
+       len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) as near_edited, len(list_intersect(x, z)) / (len(x) + len(z) - len(list_intersect(x, z))) as near_next,
+       cast(len(a) as integer) as n_paragraphs, cast(len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is distinct from b[i])) as integer) as n_changed_paragraphs
+from trees
+"""

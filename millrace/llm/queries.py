@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.llm.hamming import OP7_SQL, op7_multi_index_search
 from millrace.llm.langid import op2_language_crf
 from millrace.llm.merkle import OP1_SQL, op1_merkle_fingerprints
-from millrace.llm.minhash import op5_minhash_groups
+from millrace.llm.minhash import OP5_SQL, op5_minhash_groups
 from millrace.llm.mixing import OP9_SQL, op9_mix_sources
 from millrace.llm.packing import op10_pack_grouping
 from millrace.llm.pseudo_lm import op6_pseudo_likelihood
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_merkle_fingerprints": OP1_SQL,
+    "op5_minhash_groups": OP5_SQL,
     "op7_multi_index_search": OP7_SQL,
     "op9_mix_sources": OP9_SQL,
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.times import date_time_text
 from millrace.session import prepare
+from millrace.sources.files import read_table, spread
 
 ARRIVAL = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 MONEY = "decimal(16,2)"
@@ -40,7 +41,7 @@ class Inputs:
         self.spark, self.dir = prepare(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return read_table(self.spark, self.dir, name)
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -58,15 +59,16 @@ class Inputs:
 
     @cached_property
     def last_items(self) -> DataFrame:
-        """lineitem with the latest row of each line only."""
-        rest = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
-        last = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
+        """lineitem with the latest row of each line only. Few lines have several rows, so they go to their keys before any is dropped,
+        and are sorted once."""
+        rest, key = ["l_quantity", "l_discount", "l_tax", "l_returnflag"], ["l_orderkey", "l_linenumber"]
+        last = self.table("lineitem").repartition(*key).groupBy(*key).agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
         return last.select("l_orderkey", "l_linenumber", "r.*")
 
     @cached_property
     def order_lines(self) -> DataFrame:
         """Lines in order of arrival, ids repeated."""
-        return self._lines(self.table("lineitem"))
+        return self._lines(spread(self.table("lineitem")))
 
     @cached_property
     def last_lines(self) -> DataFrame:
@@ -157,7 +159,7 @@ class Inputs:
     @cached_property
     def events(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.table("events").select("event_id", "user_id", "event_type", "value", "props", k.alias("k"), F.col("ts").cast("timestamp").alias("time"))
+        return spread(self.table("events")).select("event_id", "user_id", "event_type", "value", "props", k.alias("k"), F.col("ts").cast("timestamp").alias("time"))
 
     @cached_property
     def page_log(self) -> DataFrame:

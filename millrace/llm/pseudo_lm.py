@@ -5,7 +5,8 @@ over classes of words and then over the words of the class. A document's score i
 the probability given both sides.
 
 The vocabulary holds the most frequent words of the whole corpus, counted over all documents (words of one hash are one word), and
-a few entries for all others, dealt by hash. Training covers all documents too: each task passes its own, masks one word in
+a few entries for all others, dealt by hash. The probability of a word in such an entry is the entry's times the word's share of the
+entry's count in the corpus, so every word itself is predicted, however many there are; the counts are joined by word. Training covers all documents too: each task passes its own, masks one word in
 STRIDE (others each round), and returns its parameters, which are averaged, weighted by words seen; then another round starts from the average.
 
 The driver holds the vocabulary and one set of parameters, whatever the input's size. Null and empty texts have no words, a score
@@ -20,10 +21,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import settle, table
 from millrace.llm.textbytes import blocks, lower_ascii, mix, prefix, range_hash, words
 
 CLASSES, CLASS, OTHERS = 64, 32, 64
@@ -171,21 +173,43 @@ def _train(batches: Iterator[pa.RecordBatch], model, turn: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))], ["i", "x", "n"])
 
 
+_SCORED = ["row", "doc_id", "n_words", "log_likelihood", "word", "n"]
+
+
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    net = model.value
+    """A row for each document, whose log_likelihood takes a word outside the vocabulary for its entry; and a row for each different such
+    word of it (word and n, how often), by `row`."""
+    net, row = model.value, TaskContext.get().partitionId() << 40
     for batch in batches:
         for lo, hi, word, bounds in word_hashes(batch):
-            ids, total = net.ids(word), np.zeros(hi - lo)
+            ids, total, rows = net.ids(word), np.zeros(hi - lo), np.arange(row, row + hi - lo)
             logs = [net.log_probabilities(net.contexts(ids, bounds, at), ids[at]) for a in range(0, len(ids), 1 << 15) for at in [np.arange(a, min(len(ids), a + (1 << 15)))]]
+            doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
             if logs:
-                total = np.bincount(np.repeat(np.arange(hi - lo), np.diff(bounds)), np.concatenate(logs), hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
-
-
-def fit_network(docs: DataFrame) -> Network:
-    """docs: column text without nulls."""
+                total = np.bincount(doc, np.concatenate(logs), hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(total), pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int64())], _SCORED)
+            row += hi - lo
+            rare = np.flatnonzero(ids >= VOCABULARY - OTHERS)
+            if not len(rare):
+                continue
+            doc, word = doc[rare], word[rare]
+            order = np.lexsort((word, doc))
+            doc, word = doc[order], word[order]
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]))))
+            n = np.diff(np.append(first, len(doc)))
+            none = (pa.nulls(len(first), t) for t in (batch.schema.field("doc_id").type, pa.int64(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[first]]), *none, pa.array(word[first].view(np.int64)), pa.array(n)], _SCORED)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words' hashes. docs: column text without nulls."""
+    return docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit_network(docs: DataFrame, counts: DataFrame | None = None) -> Network:
+    """docs: column text without nulls; counts: its word_counts()."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - OTHERS).collect()
     net = Network(np.array([r["word"] for r in top], np.int64).view(np.uint64))
     for turn in range(ROUNDS):
@@ -198,11 +222,26 @@ def fit_network(docs: DataFrame) -> Network:
     return net
 
 
+def _shares(counts: DataFrame, net: Network) -> DataFrame:
+    """(word, share): the logarithm of each word's share of its entry's count, for words outside the vocabulary."""
+    known = counts.sparkSession.createDataFrame([(int(w),) for w in net.known.view(np.int64)], "word long")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("entry", F.shiftrightunsigned("word", 7).bitwiseAND(F.lit(OTHERS - 1)))
+    whole = rare.groupBy("entry").agg(F.sum("n").alias("whole"))
+    return rare.join(F.broadcast(whole), "entry").select("word", F.log(F.col("n") / F.col("whole")).alias("share"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit_network(docs))
-    out = docs.mapInArrow(partial(_score, model=model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double")
+    counts = settle(word_counts(docs), "words")
+    net = fit_network(docs, counts)
+    model = docs.sparkSession.sparkContext.broadcast(net)
+    kind = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double, word long, n long"
+    scored = settle(docs.mapInArrow(partial(_score, model=model), kind), "scored")
+    rare = scored.filter("word is not null").select("row", "word", "n").join(_shares(counts, net), "word")
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("share"))
+    out = scored.filter("word is null").join(rare, "row", "left")
+    out = out.select("doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,30 @@ def test_pseudo_likelihood_is_a_distribution_and_learns(spark):
     assert all(r.n_words in (800, 801) and r.mean_log_likelihood > -3 for r in got)  # far above a guess among 2048
 
 
+def test_each_rare_word_is_predicted_itself(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_lm, "ROUNDS", 0)
+    texts = [" ".join(f"w{i}" for i in range(2500)) + " " + " ".join(f"w{i}" for i in range(400, 2500)), "w3 w3 w7 w7 w7", "w2400 once w1 w1", "", "never"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    net, count, entry = pseudo_lm.fit_network(df), {}, {}
+    hashes = {}
+    for _, _, h, _ in pseudo_lm.word_hashes(pa.RecordBatch.from_pydict({"text": texts})):
+        hashes = dict(zip(" ".join(texts).split(), h, strict=True))
+    for w in " ".join(texts).split():
+        count[w] = count.get(w, 0) + 1
+    of = lambda w: int(net.ids(np.array([hashes[w]], np.uint64))[0])
+    for w, n in count.items():
+        entry[of(w)] = entry.get(of(w), 0) + n
+    got = {r.doc_id: r.log_likelihood for r in pseudo_lm.score(df).collect()}
+    rare = 0
+    for d, t in enumerate(texts):
+        ids = np.array([of(w) for w in t.split()], np.int32)
+        want = net.log_probabilities(net.contexts(ids, np.array([0, len(ids)]), np.arange(len(ids))), ids).sum() if len(ids) else 0
+        own = [np.log(count[w] / entry[of(w)]) for w in t.split()]
+        rare += sum(x < 0 for x in own)
+        assert np.isclose(got[d], want + sum(own), rtol=1e-4)
+    assert rare > 300
+
+
 @pytest.mark.parametrize("dims", [64, 40])
 def test_multi_index_search(spark, dims, monkeypatch):
     rng = np.random.default_rng(dims)

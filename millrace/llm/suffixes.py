@@ -18,9 +18,10 @@ by a rule that loses no match:
    folder: windows with a common prefix of `length` form classes, and all but the first of a class are repeats.
 4. Repeats are gathered by document and cut out of the whole text.
 
-A null text counts as empty; a text shorter than `length` loses nothing. Rows with one id count as one document that starts at the
-same place: rows that repeat an id and a text don't repeat each other. A null id comes before all others. An empty table gives an
-empty result; other columns are left alone. Memory: some tens of bytes for each byte of a block (1 MB), or of at most 8 MB of
+A null text counts as empty; a text shorter than `length` loses nothing. Rows with one id start at the same place: equal strings at
+one start of them don't repeat each other, so rows that repeat an id and a text lose nothing by each other. A null id comes before all others. An empty table gives an
+empty result; other columns are left alone. Spans, pieces and repeats are kept by id and hash of the text (`key`), so that rows that share an
+id but not a text (all null ids do) each have their own; an id alone only says what is earlier. Memory: some tens of bytes for each byte of a block (1 MB), or of at most 8 MB of
 one text. Spans and their hashes: 64 bits for the anchor and 64 for the span.
 """
 
@@ -33,7 +34,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bwt import window_classes
@@ -69,40 +70,38 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return text, first - offsets[text], after - first, anchor[first] - first, gram[anchor[first]], range_hash(sums, first, after + length - 1)
 
 
-def _firsts(order_of: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys (the last counts most, as in lexsort: start, doc, then the group's keys) and which of it begin a group."""
-    order = np.lexsort(order_of)
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for k in order_of[2:]:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    return order, new
+def _firsts(key: np.ndarray, start: np.ndarray, doc: np.ndarray, *group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of group (the last counts most, as in lexsort), doc, start and key, each once; which of them are firsts, and which
+    begin a group. Firsts are those of the group's earliest doc and start, of all keys: none is earlier than another."""
+    order = np.lexsort((key, start, doc, *group))
+    change = lambda of: np.concatenate((np.ones(min(len(order), 1), bool), np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in of])))
+    order = order[change((key, start, doc, *group))]
+    new = change(group)
+    begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    return order, (doc[order] == doc[begin]) & (start[order] == start[begin]), new
 
 
 #: `place` is start * 2^16 + number of windows * 2^8 + anchor's place, or KNOWN instead of that of a span that is known to be a repeat.
-_SPAN, KNOWN = ["anchor", "span", "doc_id", "place"], 255
+_SPAN, KNOWN = ["anchor", "span", "doc_id", "key", "place"], 255
 
 
 def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        doc, start, n, lead, anchor, span = map(np.concatenate, zip(*held, strict=True))
+        doc, key, start, n, lead, anchor, span = map(np.concatenate, zip(*held, strict=True))
         held.clear()
-        order, new = _firsts((start, doc, span, anchor))
-        # rows of one document and start aren't earlier than each other: they repeat the group's first only if they start later
-        begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        new = new | ((doc[order] == doc[begin]) & (start[order] == start[begin]))
-        anchor = np.where(new, anchor[order], mix(doc[order].astype(np.uint64) + start[order].astype(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span[order].view(np.int64)), pa.array(doc[order]), pa.array((start[order] << 16) | (n[order] << 8) | np.where(new, lead[order], KNOWN))], _SPAN)
+        order, first, _ = _firsts(key, start, doc, span, anchor)
+        anchor = np.where(first, anchor[order], mix(doc[order].astype(np.uint64) + start[order].astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span[order].view(np.int64)), pa.array(doc[order]), pa.array(key[order]), pa.array((start[order] << 16) | (n[order] << 8) | np.where(first, lead[order], KNOWN))], _SPAN)
 
     for batch in batches:
-        ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+        ids, keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(), batch.column("key").to_numpy()
         for lo, _, buf, offsets in blocks(batch):
             for at in range(0, max(1, len(buf) - length + 1), SEGMENT):  # more than one only of one long text
                 end = offsets if len(buf) <= SEGMENT else np.array([0, min(len(buf), at + SEGMENT + length - 1) - at])
                 text, start, n, lead, anchor, span = spans(buf[at : at + end[-1]], end, length)
-                held.append((ids[lo + text], start + at, n, lead, anchor, span))
+                held.append((ids[lo + text], keys[lo + text], start + at, n, lead, anchor, span))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield flush()
     if held:
@@ -110,36 +109,33 @@ def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All spans of some anchors: (doc_id, start, n, lead) of repeats (lead null) and of the first of each different span."""
+    """All spans of some anchors: (doc_id, key, start, n, lead) of repeats (lead null) and of the firsts of each different span."""
     whole = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
     if whole is None:
         return
-    anchor, span, doc, place = (whole.column(c).to_numpy() for c in _SPAN)
-    every = {"doc_id": doc, "start": place >> 16, "n": (place >> 8 & 255).astype(np.int16), "lead": (place & 255).astype(np.int16)}
-    start, n, lead = (every[c] for c in ("start", "n", "lead"))
+    anchor, span, doc, key, place = (whole.column(c).to_numpy() for c in _SPAN)
+    start, n, lead = place >> 16, (place >> 8 & 255).astype(np.int16), (place & 255).astype(np.int16)
     told, kept = np.flatnonzero(lead == KNOWN), np.flatnonzero(lead != KNOWN)
-    anchor, span, doc, start, n, lead = (x[kept] for x in (anchor, span, doc, start, n, lead))
-    order, new = _firsts((start, doc, span, anchor))
-    begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-    repeat = order[(doc[order] != doc[begin]) | (start[order] != start[begin])]
-    first = order[new]
-    shared = np.zeros(len(first), bool)
-    if len(first) > 1:
-        same = anchor[first[1:]] == anchor[first[:-1]]
-        shared[1:] |= same
-        shared[:-1] |= same
-    probe = first[shared]
-    cols = [np.concatenate((every[c][told], x[repeat], x[probe])) for c, x in (("doc_id", doc), ("start", start), ("n", n), ("lead", lead))]
-    none = np.arange(len(cols[0])) < len(told) + len(repeat)
+    told = told[_firsts(key[told], start[told], doc[told], doc[told])[0]]
+    order, is_first, new = _firsts(*(x[kept] for x in (key, start, doc, span, anchor)))
+    order = kept[order]
+    repeat, group, first = order[~is_first], np.cumsum(new)[is_first], order[is_first]
+    # whether an anchor has another span
+    edge = np.concatenate((np.ones(min(len(first), 1), bool), anchor[first[1:]] != anchor[first[:-1]]))
+    begin = np.flatnonzero(edge)
+    end = np.append(begin[1:], len(first))[: len(begin)] - 1
+    probe = first[np.repeat(group[begin] != group[end], end - begin + 1)]
+    rows = np.concatenate((told, repeat, probe))
+    none = np.arange(len(rows)) < len(told) + len(repeat)
     for a in range(0, len(none), 1 << 16):
-        b = slice(a, a + (1 << 16))
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[b]) for x in cols[:3]), pa.array(cols[3][b], mask=none[b])], ["doc_id", "start", "n", "lead"])
+        b = rows[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[b]) for x in (doc, key, start, n)), pa.array(lead[b], mask=none[a : a + (1 << 16)])], ["doc_id", "key", "start", "n", "lead"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        ids = batch.column("doc_id")
+        ids, keys = batch.column("doc_id"), batch.column("key")
         near, far = (length - ANCHOR) // 2, length - ANCHOR  # windows start up to so much before their anchor
         for i, wanted in enumerate(batch.column("wanted").to_pylist()):
             text, rows = data[offsets[i] : offsets[i + 1]].tobytes(), []
@@ -150,7 +146,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                         common = text[p - low : p - high + length]
                         rows.append((xxhash.xxh3_64_intdigest(common, low) - (1 << 63), first, after - first, text[first : after + length - 1]))
             h, s, n, p = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([ids[i].as_py()] * len(h), pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int16()), pa.array(p, pa.binary())], ["half", "doc_id", "start", "n", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array([x[i].as_py()] * len(h), pa.int64()) for x in (ids, keys)), pa.array(s, pa.int64()), pa.array(n, pa.int16()), pa.array(p, pa.binary())], ["half", "doc_id", "key", "start", "n", "piece"])
 
 
 def _transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -158,14 +154,12 @@ def _transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
     if not batches:
         return
     whole = pa.Table.from_batches(batches).combine_chunks()
-    half, doc, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "start", "n"))
+    half, doc, key, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "key", "start", "n"))
     pieces = whole.column("piece").to_pylist()
     content = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
-    order, new = _firsts((start, doc, content, half))
-    begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    equal = order[(doc[order] != doc[begin]) | (start[order] != start[begin])]
-    yield pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, start, n)], ["doc_id", "start", "n"])
-    first = order[new]
+    order, is_first, _ = _firsts(key, start, doc, content, half)
+    equal, first = order[~is_first], order[is_first]
+    yield pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, key, start, n)], _RUN)
     same = half[first[1:]] == half[first[:-1]]
     first = first[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
     cuts = [*(np.flatnonzero(half[first[1:]] != half[first[:-1]]) + 1), len(first)]
@@ -174,23 +168,25 @@ def _transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         if cut - at < STRINGS and cut < len(first) or cut == at:
             continue
         own, at = first[at:cut], cut
-        yield _late_windows([pieces[i] for i in own], doc[own], start[own], n[own].astype(np.int64), length)
+        yield _late_windows([pieces[i] for i in own], doc[own], key[own], start[own], n[own].astype(np.int64), length)
+
 
+_RUN = ["doc_id", "key", "start", "n"]
 
-def _late_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> pa.RecordBatch:
-    """Runs (doc_id, start, n) of windows of the pieces that an earlier window equals."""
+
+def _late_windows(pieces: list[bytes], doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> pa.RecordBatch:
+    """Runs (doc_id, key, start, n) of windows of the pieces that an earlier window equals."""
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     label = window_classes(np.frombuffer(b"".join(pieces), np.uint8), bounds, n, length)
     piece = np.repeat(np.arange(len(n)), n)
     place = start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-    order, new = _firsts((place, doc[piece], label))
-    begin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    order, first, _ = _firsts(piece, place, doc[piece], label)  # no window twice: all stay
     late = np.zeros(len(piece), bool)
-    late[order] = (doc[piece][order] != doc[piece][begin]) | (place[order] != place[begin])
+    late[order] = ~first
     edge = piece[1:] != piece[:-1]
     first = np.flatnonzero(late & ~np.concatenate(([False], late[:-1] & ~edge)))
     last = np.flatnonzero(late & ~np.concatenate((late[1:] & ~edge, [False])))
-    return pa.RecordBatch.from_arrays([pa.array(doc[piece[first]]), pa.array(place[first]), pa.array((last - first + 1).astype(np.int16))], ["doc_id", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[piece[first]]), pa.array(key[piece[first]]), pa.array(place[first]), pa.array((last - first + 1).astype(np.int16))], _RUN)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -220,34 +216,43 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterato
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _keys() -> tuple[Column, Column]:
+    """Of each row, its id and the hash of its text: what its spans and repeats are kept by."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, repeats): of each document with any, the runs of starts (start, n) whose strings also start earlier."""
+    """(doc_id, key, repeats): of each text with any, the runs of starts (start, n) whose strings also start earlier."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    of, key = _keys()
+    docs = docs.select(of.alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24)  # of 16 MB of text, half a million spans
-    met = docs.mapInArrow(partial(_task_spans, length=length), "anchor long, span long, doc_id long, place long")
-    met = settle(met.repartition(parts, "anchor").mapInArrow(_meet, "doc_id long, start long, n short, lead short"), "spans")
-    wanted = met.filter("lead is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "lead")).alias("wanted"))
-    pieces = docs.join(wanted, "doc_id").mapInArrow(partial(_fetch, length=length), "half long, doc_id long, start long, n short, piece binary")
-    near = pieces.repartition(parts, "half").mapInArrow(partial(_transform, length=length), "doc_id long, start long, n short")
-    every = met.filter("lead is null").select("doc_id", "start", "n").union(near)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
+    met = docs.mapInArrow(partial(_task_spans, length=length), "anchor long, span long, doc_id long, key long, place long")
+    met = settle(met.repartition(parts, "anchor").mapInArrow(_meet, "doc_id long, key long, start long, n short, lead short"), "spans")
+    wanted = met.filter("lead is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "lead")).alias("wanted"))
+    pieces = docs.join(wanted, ["doc_id", "key"]).mapInArrow(partial(_fetch, length=length), "half long, doc_id long, key long, start long, n short, piece binary")
+    near = pieces.repartition(parts, "half").mapInArrow(partial(_transform, length=length), "doc_id long, key long, start long, n short")
+    every = met.filter("lead is null").select("doc_id", "key", "start", "n").union(near)
+    return every.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeats(docs, length).withColumnRenamed("doc_id", "of")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("of"), "left")
+    found = repeats(docs, length).withColumnsRenamed({"doc_id": "_of", "key": "_of_key"})
+    of, key = _keys()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), of.alias("_id"), key.alias("_key"))
+    rows = rows.join(found, (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left")
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.select("doc_id", "text", "repeats").mapInArrow(partial(_cut, length=length, texts=False), kind)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with all their columns, and texts without what repeats; a character that is covered in part stays."""
-    found = repeats(docs, length).withColumnRenamed("doc_id", "_of")
-    rows = docs.select(F.struct("*").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
-    rows = rows.join(found, F.col("_id") == F.col("_of"), "left").select("_doc", "text", "repeats")
+    found = repeats(docs, length).withColumnsRenamed({"doc_id": "_of", "key": "_of_key"})
+    of, key = _keys()
+    rows = docs.select(F.struct("*").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), of.alias("_id"), key.alias("_key"))
+    rows = rows.join(found, (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left").select("_doc", "text", "repeats")
     schema = rows.select("_doc", F.lit("").alias("_kept")).schema
     out = rows.mapInArrow(partial(_cut, length=length, texts=True), schema)
     return out.select(*(F.when(F.col("_doc.text").isNotNull(), F.col("_kept")).alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))

@@ -138,6 +138,30 @@ def test_suffix_repeats(docs, texts, monkeypatch):
     assert set(kept) == set(texts) and all(len(kept[d].encode()) >= n - gone for d, n, gone, *_ in want)
 
 
+def test_rows_of_one_id_have_their_own_repeats(spark):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, head = some(300), some(250)
+    rows = [(None, some(700) + passage), (None, some(1500)), (None, some(120)), (1, passage + some(50)), (2, some(90) + passage + some(90)), (2, some(2000)), (2, some(400) + passage), (2, some(110))]
+    rows += [(i, head + some(200)) for i in (3, 3, None, None)] + [(3, head[100:] + some(20)), (3, some(40) + passage[:180] + some(40)), (2, rows[4][1]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    data, first = [(suffixes.NO_ID if d is None else d, t.encode()) for d, t in rows], {}
+    for d, t in data:
+        for p in range(len(t) - 99):
+            first[t[p : p + 100]] = min(first.get(t[p : p + 100], (d, p)), (d, p))
+    want = []
+    for d, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if first[t[p : p + 100]] != (d, p):
+                gone[p : p + 100] = b"\1" * 100
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        want.append((len(t), len(t) - len(kept), hashlib.sha256(kept).hexdigest()))
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in suffixes.without_repeats(df).collect()) == sorted(w[2] for w in want)
+
+
 def test_a_long_text_in_segments():
     rng = random.Random(2)
     text = np.frombuffer(bytes(rng.choice(b"abcdefgh ") for _ in range(3000)) * 2, np.uint8)

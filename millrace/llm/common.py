@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +40,34 @@ def discard(df: DataFrame | None) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def quotas(counts: dict, sample: int) -> dict:
+    """Of `sample` rows, how many of each class: as many of each, and where a class has fewer, all of it; one at least."""
+    out, left = {}, sample
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[name]
+    return out
+
+
+def sample_by_class(rows: DataFrame, col: str, sample: int) -> tuple[DataFrame, dict, dict]:
+    """(doc_id, col) of quotas() of rows of each class (those with the smallest hash of their ids), for broadcast; each class's number
+    of rows, and of those taken. The driver gets about twice the sample."""
+    spark, rows = rows.sparkSession, rows.select("doc_id", col)
+    counts = {r[col]: r["count"] for r in rows.groupBy(col).count().collect()}
+    quota = quotas(counts, sample)
+    # shares of 2^53 under which about twice the quota lies
+    under = [(c, min(1.0, (2 * quota[c] + 50) / n)) for c, n in counts.items()]
+    under = spark.createDataFrame(under, StructType([rows.schema[col], StructField("under", DoubleType())]))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    got = rows.join(F.broadcast(under), col).withColumn("place", place).filter(F.col("place") < F.col("under") * F.lit(float(1 << 53)))
+    taken, chosen = dict.fromkeys(counts, 0), []
+    for r in sorted(got.select("doc_id", col, "place").collect(), key=lambda r: (r["place"], str(r["doc_id"]))):
+        if taken[r[col]] < quota[r[col]]:
+            taken[r[col]] += 1
+            chosen.append((r["doc_id"], r[col]))
+    return spark.createDataFrame(chosen, rows.schema), counts, taken
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

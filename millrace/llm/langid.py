@@ -2,7 +2,8 @@
 
 A word's features are hashed: the word itself (lexicon), its first and last two and three bytes (affixes) and its byte trigrams.
 Their weights and the transitions between languages are learned together, by gradients of the chain's likelihood, from a sample
-of labelled documents bounded by `sample` (those with the smallest hash of their ids). Training chains are spliced from pieces of
+of labelled documents bounded by `sample`, as many of each language (those with the smallest hash of their ids; all of a language that
+has fewer, so that rare ones are learned). Training chains are spliced from pieces of
 several documents, so that transitions are learned from text that switches languages. Forward-backward gives each word's
 probability of each language; a document's language is the one with the largest mean.
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, table
+from millrace.llm.common import crc_mod, sample_by_class, table
 from millrace.llm.textbytes import blocks, lower_ascii, prefix, range_hash, words
 
 UNKNOWN = "und"
 BUCKETS, SEGMENT = 1 << 16, 64
-SAMPLE, CHAINS, BATCH, RATE, L2 = 1000, 6000, 64, 0.2, 1e-6
+SAMPLE, CHAINS, BATCH, RATE, L2 = 1500, 6000, 64, 0.2, 1e-6
 
 
 def word_features(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +164,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Field | None:
     """Learns from at most `sample` documents that have a language and a letter and for which `usable` holds."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = F.broadcast(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())
-    got = rows.join(chosen, "doc_id", "left_semi").select("lang", "text").mapInArrow(_features, "lang string, n binary, bucket binary").toArrow()
+    chosen, _, _ = sample_by_class(rows, "lang", sample)
+    got = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_features, "lang string, n binary, bucket binary").toArrow()
     if not len(got):
         return None
     label = got.column("lang").to_pylist()

@@ -4,7 +4,8 @@ A text's features are its different terms, hashed into buckets: runs of letters
 seven bytes of longer ones, which words with one stem share. The score is the logistic
 of bias + sum of weights + sum over pairs of terms of the product of their factor vectors: pairs such as an insult beside a
 group's name count for more than their two weights. Trained by AdaGrad with an L1 penalty on weights, on a sample of labelled
-documents bounded by `sample` (those with the smallest hash of their ids); everything else reads all rows whole.
+documents bounded by `sample`, half of them of each label (those with the smallest hash of their ids; all of a label that has fewer),
+weighted by their label's share of all labelled ones; everything else reads all rows whole.
 
 The driver holds the sample's bucket numbers and the model (BUCKETS * (RANK + 1) floats), whatever the input's size. Null and
 empty texts have no terms and get the bias's score; a null label is no label; of several labels of one id the largest holds;
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, table
+from millrace.llm.common import crc_mod, sample_by_class, table
 from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_hash, words
 
 BUCKETS, RANK = 1 << 18, 4
 STEMS = (4, 5, 6, 7)
-SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 6_000, 10, 256, 0.1, 2e-4, 1e-3
+SAMPLE, EPOCHS, BATCH, RATE, L1, L2 = 12_000, 10, 256, 0.1, 2e-4, 1e-3
 #: Factors learn slower, and after so many passes of the weights alone.
 FACTOR_RATE, LINEAR = 0.002, 2
 #: A toxic document counts as so many others.
@@ -77,7 +78,8 @@ class Machine:
         z = self.bias + s[:, 0] + 0.5 * ((s[:, 1 : RANK + 1] ** 2).sum(1) - s[:, RANK + 1 :].sum(1))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, docs: list[np.ndarray], label: np.ndarray, seed: int = 5, factor_rate: float = FACTOR_RATE) -> Machine:
+    def fit(self, docs: list[np.ndarray], label: np.ndarray, seed: int = 5, factor_rate: float = FACTOR_RATE, weight: tuple[float, float] = (1, 1)) -> Machine:
+        """weight: what a document of label 0 and of label 1 counts."""
         rng, seen = np.random.default_rng(seed), np.zeros(BUCKETS, np.int64)
         for d in docs:
             seen[d] += 1
@@ -89,7 +91,9 @@ class Machine:
         own = Machine()
         own.w, own.v = np.zeros(n, np.float32), self.v[used]
         gw, gv, gb = np.full(n, 1e-6, np.float32), np.full((n, RANK), 1e-6, np.float32), 1e-6
-        mean = np.clip(label.mean(), 1e-3, 1 - 1e-3)
+        cost = np.where(label > 0, weight[1], weight[0])
+        mean = np.clip(np.average(label, weights=cost), 1e-3, 1 - 1e-3)
+        cost = np.where(label > 0, POSITIVE, 1) * cost
         own.bias = np.float32(np.log(mean / (1 - mean)))
         for turn in range(max(EPOCHS, -(-STEPS * BATCH // len(docs)))):
             order = rng.permutation(len(docs))
@@ -97,7 +101,7 @@ class Machine:
                 rows = order[at : at + BATCH]
                 x, bounds = np.concatenate([docs[i] for i in rows]), np.concatenate(([0], np.cumsum(size[rows])))
                 sums = own._sums(bounds, x)
-                miss = ((own._logistic(sums) - label[rows]) * np.where(label[rows] > 0, POSITIVE, 1) / len(rows)).astype(np.float32)
+                miss = ((own._logistic(sums) - label[rows]) * cost[rows] / len(rows)).astype(np.float32)
                 doc = np.repeat(np.arange(len(rows)), size[rows])
                 each, total = miss[doc], sums[doc, 1 : RANK + 1]
                 dw = np.bincount(x, each, n).astype(np.float32)
@@ -134,10 +138,12 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Machine | None:
     """Learns from at most `sample` labelled documents for which `usable` (over doc_id) holds."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("label", "text")
+    chosen, counts, taken = sample_by_class(chosen, "label", sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
     got = rows.mapInArrow(_features, "label int, x binary").toArrow()
-    return Machine().fit([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("x")], got.column("label").to_numpy().astype(np.float32)) if len(got) else None
+    share = len(got) and sum(taken.values()) / sum(counts.values())
+    weight = tuple(share * sum(n for c, n in counts.items() if (c > 0) == side) / max(1, sum(n for c, n in taken.items() if (c > 0) == side)) for side in (False, True))
+    return Machine().fit([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("x")], got.column("label").to_numpy().astype(np.float32), weight=weight) if len(got) else None
 
 
 def with_score(docs: DataFrame, model: Machine | None) -> DataFrame:

@@ -236,6 +236,33 @@ def test_languages_on_held_out_documents(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held)
 
 
+def late_ids(spark, n, last):
+    """Ids below n, those with the `last` largest hashes apart."""
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    return ids[:-last], ids[-last:]
+
+
+def test_rare_languages_are_learned(spark):
+    common, rare = late_ids(spark, 400, 3)
+    df = spark.createDataFrame([(i, "the cat and the dog", "en") for i in common] + [(i, "zuk zok zak zyk", "zz") for i in rare], "doc_id long, text string, lang string")
+    assert langid.SAMPLE >= 1500
+    field = langid.fit_languages(df, F.lit(True), sample=40)
+    assert field.languages == ["en", "zz"]
+
+
+def test_rare_labels_are_learned(spark, monkeypatch):
+    common, rare = late_ids(spark, 400, 10)
+    df = spark.createDataFrame([(i, f"word{i % 7} and more") for i in common] + [(i, "bad thing") for i in rare], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in common] + [(i, 1) for i in rare], "doc_id long, toxic int")
+    seen = {}
+    fit = toxicity.Machine.fit
+    monkeypatch.setattr(toxicity.Machine, "fit", lambda self, docs, label, **more: seen.update(label=label, **more) or fit(self, docs, label, **more))
+    model = toxicity.fit_toxicity(df, labels, F.lit(True), sample=40)
+    assert toxicity.SAMPLE >= 12_000 and len(seen["label"]) == 40 and seen["label"].sum() == 10
+    assert np.isclose(seen["weight"][0] * 30 / 390, seen["weight"][1] * 10 / 10)
+    assert {r.score > 0.3 for r in toxicity.with_score(df, model).filter(F.col("_doc.text") == "bad thing").collect()} == {True}
+
+
 def test_code_switched_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     field = langid.fit_languages(docs, F.lit(True))

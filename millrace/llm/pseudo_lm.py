@@ -7,7 +7,7 @@ the probability given both sides.
 The vocabulary holds the most frequent words of the whole corpus, counted over all documents (words of one hash are one word), and
 a few entries for all others, dealt by hash. The probability of a word in such an entry is the entry's times the word's share of the
 entry's count in the corpus, so every word itself is predicted, however many there are; the counts are joined by word. Training covers all documents too: each task passes its own, masks one word in
-STRIDE (others each round), and returns its parameters, which are averaged, weighted by words seen; then another round starts from the average.
+ROUNDS (others each round, so that each word of the corpus is a target once), and returns its parameters, which are averaged, weighted by words seen; then another round starts from the average.
 
 The driver holds the vocabulary and one set of parameters, whatever the input's size. Null and empty texts have no words, a score
 of 0 and no mean. Repeated rows each get a row; null ids are as others; an empty table gives an empty result; other columns are left
@@ -30,7 +30,7 @@ from millrace.llm.textbytes import blocks, lower_ascii, mix, prefix, range_hash,
 
 CLASSES, CLASS, OTHERS = 64, 32, 64
 VOCABULARY, SIDE, DEPTH, HIDDEN = CLASSES * CLASS, 2, 8, 24
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 1024, 0.05
+ROUNDS, BATCH, RATE = 2, 1024, 0.05
 AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
@@ -160,7 +160,7 @@ def _train(batches: Iterator[pa.RecordBatch], model, turn: int) -> Iterator[pa.R
         for _, _, word, bounds in word_hashes(batch):
             ids = net.ids(word)
             place = np.arange(len(ids), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            at = np.flatnonzero(mix(word ^ place) % np.uint64(STRIDE) == np.uint64(turn))
+            at = np.flatnonzero(mix(word ^ place) % np.uint64(ROUNDS) == np.uint64(turn))
             if len(at):
                 held.append((net.contexts(ids, bounds, at), ids[at]))
                 seen += len(at)

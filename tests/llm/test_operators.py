@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -317,6 +318,13 @@ def test_pseudo_likelihood_is_a_distribution_and_learns(spark):
     assert all(r.n_words in (800, 801) and r.mean_log_likelihood > -3 for r in got)  # far above a guess among 2048
 
 
+def test_rounds_cover_every_word():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c d e f g h i j"] * 30 + ["", "one"]})
+    model = SimpleNamespace(value=pseudo_lm.Network(np.zeros(0, np.uint64)))
+    seen = [sum(b.column("n")[0].as_py() for b in pseudo_lm._train(iter([batch]), model, turn)) for turn in range(pseudo_lm.ROUNDS)]
+    assert sum(seen) == 301 and min(seen) > 100
+
+
 def test_each_rare_word_is_predicted_itself(spark, monkeypatch):
     monkeypatch.setattr(pseudo_lm, "ROUNDS", 0)
     texts = [" ".join(f"w{i}" for i in range(2500)) + " " + " ".join(f"w{i}" for i in range(400, 2500)), "w3 w3 w7 w7 w7", "w2400 once w1 w1", "", "never"]

@@ -26,26 +26,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import crc_mod, sample_by_class, table
-from millrace.llm.textbytes import blocks, lower_ascii, prefix, range_hash, words
+from millrace.llm.textbytes import blocks, lower_ascii, mix, prefix, range_hash, words
 
 UNKNOWN = "und"
 BUCKETS, SEGMENT = 1 << 16, 64
 SAMPLE, CHAINS, BATCH, RATE, L2 = 1500, 6000, 64, 0.2, 1e-6
 
 
-def word_features(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of each feature of the words at start..end of a block with these prefix sums."""
+def _few(buf: np.ndarray, at: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Hashes of the two or three bytes at each place, others for each kind of feature."""
+    value = np.full(len(at), kind, np.uint64)
+    for i in range(size):
+        value = value << np.uint64(8) | buf[at + i]
+    return mix(value)
+
+
+def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each feature of the words at start..end of a block, `whole` being the words' hashes."""
     n, every = end - start, np.arange(len(start))
-    of, value = [every], [range_hash(sums, start, end)]
+    of, value = [every], [whole]
     for kind, size, at in ((3, 2, start), (5, 3, start), (7, 2, end - 2), (9, 3, end - 3)):
         own = n > size
         of.append(every[own])
-        value.append(range_hash(sums, at[own], at[own] + size) * np.uint64(kind))
+        value.append(_few(buf, at[own], size, kind))
     grams = np.maximum(n - 2, 0)
     word = np.repeat(every, grams)
     at = start[word] + np.arange(len(word)) - np.repeat(np.cumsum(grams) - grams, grams)
     of.append(word)
-    value.append(range_hash(sums, at, at + 3) * np.uint64(11))
+    value.append(_few(buf, at, 3, 11))
     return np.concatenate(of), (np.concatenate(value) >> np.uint64(48)).astype(np.int64)
 
 
@@ -56,10 +64,10 @@ class Field:
         self.languages, k = languages, len(languages)
         self.w, self.move = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
 
-    def emissions(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def emissions(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """exp of the words' scores, the best language's scaled to 1. Words of one hash are looked at once."""
-        _, first, inverse = np.unique(range_hash(sums, start, end), return_index=True, return_inverse=True)
-        of, bucket = word_features(sums, start[first], end[first])
+        whole, first, inverse = np.unique(range_hash(prefix(buf), start, end), return_index=True, return_inverse=True)
+        of, bucket = word_features(buf, start[first], end[first], whole)
         score = np.stack([np.bincount(of, self.w[bucket, j], len(first)) for j in range(len(self.languages))], 1)
         return np.exp(score - score.max(1, keepdims=True))[inverse]
 
@@ -153,7 +161,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offsets in blocks(batch):
             start, end, first = words(buf, offsets)
-            of, bucket = word_features(prefix(lower_ascii(buf)), start, end)
+            buf = lower_ascii(buf)
+            of, bucket = word_features(buf, start, end, range_hash(prefix(buf), start, end))
             by = np.argsort(of, kind="stable")
             of, bucket = of[by], bucket[by]
             cuts, n = np.searchsorted(of, first), np.bincount(of, minlength=len(start)).astype(np.uint32)
@@ -181,7 +190,7 @@ def _identify(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
             start, end, first = words(buf, offsets)
             total = np.zeros((n, len(field.languages)))
             if len(start):
-                p = field.marginals(field.emissions(prefix(lower_ascii(buf)), start, end), first)
+                p = field.marginals(field.emissions(lower_ascii(buf), start, end), first)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 total = np.stack([np.bincount(doc, p[:, j], n) for j in range(p.shape[1])], 1)
             count = np.diff(first)
@@ -196,7 +205,7 @@ def _switches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
         for lo, hi, buf, offsets in blocks(batch):
             field = model.value
             start, end, first = words(buf, offsets)
-            best = field.marginals(field.emissions(prefix(lower_ascii(buf)), start, end), first).argmax(1) if len(start) else start
+            best = field.marginals(field.emissions(lower_ascii(buf), start, end), first).argmax(1) if len(start) else start
             rows = []
             for i in range(hi - lo):
                 a, b = first[i], first[i + 1]

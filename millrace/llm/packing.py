@@ -7,7 +7,8 @@ their pieces, and best-fits the pieces that this displaced. After each epoch an
 island; the best of all islands is the shard's. The first solution of all is best-fit decreasing, so none is worse.
 
 The ids are those of the tokenizers library; they are made by tiktoken, which reads the same vocabulary faster, and only once for
-each chunk of text that a task sees again: no token of this vocabulary reaches across a space that follows a visible character.
+each chunk of text that a task sees again, byte for byte: no token of this vocabulary reaches across a space that follows a visible
+character.
 
 A null text counts as empty (the end id alone); repeated rows and null ids are packed like others; an empty table gives an empty
 result; other columns are left alone. A task holds a block of texts, or a shard.
@@ -31,8 +32,8 @@ from millrace.llm.textbytes import blocks, prefix, range_hash
 
 CAPACITY, END_ID = 1024, 2
 SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 8192, 2, 2, 5, 12
-#: Different chunks of which a task remembers the ids.
-REMEMBERED = 1 << 19
+#: Different chunks of which a task remembers bytes and ids; longer ones than so many bytes are coded each time.
+REMEMBERED, LONGEST = 1 << 19, 256
 
 
 class Chunks:
@@ -52,6 +53,7 @@ class Chunks:
 
     def _forget(self) -> None:
         self.known, self.at, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.text_at, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _code(self, text: bytes) -> np.ndarray:
         return np.array(self.coder.encode(text.decode(), allowed_special="all", disallowed_special=()), np.uint32)
@@ -65,6 +67,20 @@ class Chunks:
         self.at = np.concatenate((self.at, len(self.ids) + ends - count))[order]
         self.count, self.known = np.concatenate((self.count, count))[order], keys[order]
         self.ids = np.concatenate((self.ids, ids))
+        size = np.array([len(t) for t in texts])
+        self.text_at, self.size = np.concatenate((self.text_at, len(self.text) + np.cumsum(size) - size))[order], np.concatenate((self.size, size))[order]
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(texts), np.uint8)))
+
+    def _same(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which chunks of a block are, byte for byte, the known ones at `place`."""
+        same = size == self.size[place]
+        start, size, at = start[same], size[same], self.text_at[place[same]]
+        if len(size):
+            end = np.cumsum(size)
+            each = np.arange(end[-1])
+            equal = buf[np.repeat(start - end + size, size) + each] == self.text[np.repeat(at - end + size, size) + each]
+            same[same] = np.logical_and.reduceat(equal, end - size)
+        return same
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and each text's bounds in them."""
@@ -81,6 +97,7 @@ class Chunks:
         inner = np.ones(len(start), bool)  # the first and last chunks of a text are coded on their own, as their context counts
         full = np.diff(bounds) > 0
         inner[bounds[:-1][full]] = inner[bounds[1:][full] - 1] = False
+        inner &= end - start <= LONGEST
         if len(self.known) > REMEMBERED:
             self._forget()
         different, at, inverse = np.unique(key[inner], return_index=True, return_inverse=True)
@@ -90,11 +107,14 @@ class Chunks:
             own = np.flatnonzero(inner)[at[new]]
             self._learn(different[new], [data[a:b] for a, b in zip(start[own], end[own], strict=True)])
             place = np.searchsorted(self.known, different)
+        place = place[inverse]
+        same = self._same(buf, start[inner], (end - start)[inner], place)
+        inner[inner], place = same, place[same]
         outer = np.flatnonzero(~inner)
         alone = [self._code(data[a:b]) for a, b in zip(start[outer], end[outer], strict=True)]
         pool = np.concatenate((self.ids, *alone)) if alone else self.ids
         count, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        count[inner], at[inner] = self.count[place][inverse], self.at[place][inverse]
+        count[inner], at[inner] = self.count[place], self.at[place]
         count[outer] = [len(x) for x in alone]
         at[outer] = len(self.ids) + np.cumsum(count[outer]) - count[outer]
         done = np.concatenate(([0], np.cumsum(count)))

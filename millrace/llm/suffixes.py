@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bwt import window_classes
 from millrace.llm.common import settle, table
-from millrace.llm.textbytes import blocks, buffers, mix, powers, prefix, range_hash
+from millrace.llm.textbytes import blocks, buffers, mix, prefix, range_hash
 
 LENGTH, ANCHOR = 100, 32
 _PLACE = np.uint64((1 << 24) - 1)
@@ -48,14 +48,24 @@ SEGMENT, HELD, STRINGS = 8 << 20, 1 << 20, 20_000
 NO_ID = -(1 << 63)
 
 
+def _ranks(buf: np.ndarray) -> np.ndarray:
+    """A number for each string of ANCHOR bytes, by which anchors are chosen: equal strings have equal ones, and that others may share
+    one does no harm, as it picks a place and tells no strings apart."""
+    out, size = buf.astype(np.uint64) + np.uint64(1), 1
+    while size < ANCHOR:
+        out = out[:-size] * np.uint64(0x9E3779B97F4A7C55) + out[size:]
+        out ^= out >> np.uint64(29)
+        size *= 2
+    return mix(out)
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, first window's start in it, number of windows, anchor's place after that start, hashes of anchor and span) of each
     span in a block."""
     n = len(buf) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    sums, (_, down) = prefix(buf), powers(len(buf))
-    gram = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(buf) - ANCHOR + 1])
+    gram = _ranks(buf)
     key = (gram & ~_PLACE) | (_PLACE - np.arange(len(gram), dtype=np.uint64))
     w = length - ANCHOR + 1
     square = np.concatenate((key, np.full(-len(key) % w, ~np.uint64(0)))).reshape(-1, w)
@@ -66,8 +76,9 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     joined = inside[1:] & inside[:-1] & (anchor[1:] == anchor[:-1])
     first = np.flatnonzero(inside & ~np.concatenate(([False], joined)))
     after = np.flatnonzero(inside & ~np.concatenate((joined, [False]))) + 1
-    text = np.searchsorted(offsets, first, "right") - 1
-    return text, first - offsets[text], after - first, anchor[first] - first, gram[anchor[first]], range_hash(sums, first, after + length - 1)
+    text, sums = np.searchsorted(offsets, first, "right") - 1, prefix(buf)
+    at = anchor[first]
+    return text, first - offsets[text], after - first, at - first, range_hash(sums, at, at + ANCHOR), range_hash(sums, first, after + length - 1)
 
 
 def _firsts(key: np.ndarray, start: np.ndarray, doc: np.ndarray, *group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 """Vectorised work on the UTF-8 bytes of many texts at once.
 
-A hash of any byte range comes from prefix sums of byte * base^position (mod 2^64, odd bases have inverses), so that hashing
-all words or all windows of a block takes a few passes of numpy and no loop over words.
+A hash of any byte range comes from prefix sums of (byte + 1) * base^position modulo the prime 2^31 - 1, for two bases, so that hashing
+all words of a block takes a few passes of numpy and no loop over words. Two different ranges of n bytes have one hash with a probability
+of about (n / 2^31)^2 at most over the choice of bases: unlike a modulus that is a power of two, a prime has no strings that collide
+whatever the base (Thue-Morse words do so modulo 2^64). Where equality of single strings decides and bytes are at hand, callers compare
+those as well.
 """
 
 from __future__ import annotations
@@ -11,22 +14,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1_146_297_863, 1_806_572_641)
+_31, _LIFT = np.uint64(31), np.uint64(2) * PRIME
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: So many products of a byte and a residue add up without overflow.
+_RUN = 1 << 23
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i up to n at least."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n, BLOCK) + 1
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"], _powers["down"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Something equal modulo PRIME, below 2^31 + 4 for any 64-bit x."""
+    x = (x & PRIME) + (x >> _31)
+    return (x & PRIME) + (x >> _31)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^i modulo PRIME, for i up to n at least."""
+    if base not in _powers or len(_powers[base]) <= n:
+        size, out, done = max(n, BLOCK) + 1, np.ones(1, np.uint64), 1
+        while done < size:
+            out = np.concatenate((out, _fold(out[: size - done] * np.uint64(pow(base, done, int(PRIME))))))
+            done = len(out)
+        _powers[base] = _fold(out)
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,16 +52,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(buf))
-    out = np.empty(len(buf) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=out[1:])
+    """For each base a row of sums, for range_hash()."""
+    out, value = np.zeros((len(BASES), len(buf) + 1), np.uint64), buf.astype(np.uint64) + np.uint64(1)
+    for row, base in zip(out, BASES, strict=True):
+        up = powers(base, len(buf))
+        for a in range(0, len(buf), _RUN):
+            b = min(len(buf), a + _RUN)
+            np.cumsum(value[a:b] * up[a:b], out=row[a + 1 : b + 1])
+            if a:
+                row[a + 1 : b + 1] = _fold(row[a + 1 : b + 1]) + row[a]
+        if len(buf) > _RUN:
+            row[:] = _fold(row)
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    out = None
+    for row, base in zip(sums, BASES, strict=True):
+        down = powers(pow(base, -1, int(PRIME)), sums.shape[1])
+        x = _fold(_fold(row[end] + _LIFT - row[start]) * down[start])
+        x = (x + ((x + np.uint64(1)) >> _31)) & PRIME
+        out = x if out is None else out | (x << _31)
+    return mix(out)
 
 
 _SPACE = np.zeros(256, bool)
@@ -106,7 +130,3 @@ def blocks(batch: pa.RecordBatch, col: str = "text", limit: int = BLOCK) -> Iter
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
-
-def segment_ids(bounds: np.ndarray) -> np.ndarray:
-    """For each item its segment, of segments given by their first items and the count at the end."""
-    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

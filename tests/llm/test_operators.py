@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bwt, components, hamming, langid, merkle, minhash, mixing, packing, pseudo_lm, sharding, suffixes, toxicity
+from millrace.llm import bwt, components, hamming, langid, merkle, minhash, mixing, packing, pseudo_lm, sharding, suffixes, textbytes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -492,3 +492,52 @@ def test_pipeline_stages(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == odd.columns
+
+
+def thue_morse(n=2048):
+    """A word and its complement, which collide in every polynomial hash modulo 2^64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_range_hashes_are_residues(monkeypatch):
+    rng, prime = np.random.default_rng(0), int(textbytes.PRIME)
+    for run in (textbytes._RUN, 7):
+        monkeypatch.setattr(textbytes, "_RUN", run)
+        buf = rng.integers(0, 256, 2000).astype(np.uint8)
+        start = rng.integers(0, 1900, 100)
+        end = start + rng.integers(0, 100, 100)
+        residues = [[sum((int(x) + 1) * pow(base, i, prime) for i, x in enumerate(buf[a:b])) % prime for base in textbytes.BASES] for a, b in zip(start, end, strict=True)]
+        want = textbytes.mix(np.array([x | y << 31 for x, y in residues], np.uint64))
+        assert (textbytes.range_hash(textbytes.prefix(buf), start, end) == want).all()
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse()
+    df = spark.createDataFrame([(0, one), (1, two), (2, f"x {one} y z"), (3, f"x {two} y z")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in minhash.near_duplicates(df, 3, 85).filter("kept").collect()} == {0, 1, 2, 3}
+    assert len({r.word for r in pseudo_lm.word_counts(df).collect()}) == 5
+    want = repeats_by_hand([(r.doc_id, r.text.encode()) for r in df.collect()], 100)
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect())) == want
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in packing.token_pieces(df, capacity=1 << 20).collect():
+        ids = np.array([*coder.encode([one, two, f"x {one} y z", f"x {two} y z"][r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids))
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    """Even if all hashes were one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "range_hash", lambda sums, start, end: np.zeros(len(start), np.uint64))
+    coder, chunks = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Chunks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("one two three four two", "other words than those before other"):
+        data = text.encode()
+        ids, _ = chunks.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids

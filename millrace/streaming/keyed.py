@@ -1,18 +1,18 @@
 """The keyed operators on streams: a little state for each key, in vectorized processors.
 
 A key's rows of a micro-batch are taken in order of event time, all chunks of it together; across micro-batches rows must come in
-time order, as from a topic's partitions. State that ends expires by event-time timers.
+time order, as from a topic's partitions (replace_by_cancel() puts them in order itself). State that ends expires by event-time timers.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DecimalType, IntegralType, StructType, TimestampNTZType, TimestampType
 
 DAY = pd.Timedelta(days=1)
 
@@ -86,35 +86,35 @@ class RepairIsNew(_Processor):
 
 
 class ReplaceByCancel(_Processor):
-    """Each row, after the negative of the one that it replaces; state: that row's measures, as text."""
+    """Each row, and the negative of each that another of its key follows; state: the key's last row, with the columns' own types. A row
+    that sorts before the state (an earlier one that comes late) doesn't replace it: it leaves at once, as it would in a batch."""
 
-    def __init__(self, order: list[str], measures: list[str], time: str, keep: pd.Timedelta | None = None):
+    def __init__(self, schema: StructType, order: list[str], measures: list[str], time: str, keep: pd.Timedelta | None = None):
         super().__init__(keep)
-        self.order, self.measures, self.time = order, measures, time
+        self.state_schema, self.columns, self.order, self.time = schema, schema.names, order, time
+        self.measures = {m: Decimal(0) if isinstance(schema[m].dataType, DecimalType) else 0 for m in measures}
+        self.times = [f.name for f in schema if isinstance(f.dataType, (TimestampType, TimestampNTZType))]
+        self.whole = [f.name for f in schema if isinstance(f.dataType, IntegralType)]  # pandas has floats for those with nulls
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _in_order(rows, *self.order)
-        old, out = (json.loads(self.state.get()[0]) if self.state.exists() else None), []
-        zero = {m: df[m].map(lambda x: 0 if x is None or x != x else x) for m in self.measures}
-        df = df.assign(**zero)
-        before = self._restored(old, df) if old is not None else None
-        for i in range(len(df)):
-            row = df.iloc[[i]].assign(sign=1)
-            if before is not None:
-                out.append(before.assign(sign=-1, **{m: -before[m] for m in self.measures}))
-            out.append(row)
-            before = df.iloc[[i]]
-        self.state.update((json.dumps({c: str(before[c].iloc[0]) for c in before}),))
-        self.expire_after(df[self.time].iloc[-1])
-        yield pd.concat(out, ignore_index=True)
-
-    @staticmethod
-    def _restored(old: dict[str, str], like: pd.DataFrame) -> pd.DataFrame:
-        made = {}
-        for c in like.columns:
-            text, kind = old[c], like[c].dtype
-            made[c] = [Decimal(text) if isinstance(like[c].iloc[0], Decimal) else pd.Timestamp(text) if str(kind).startswith("datetime") else text if kind == object else kind.type(text)]
-        return pd.DataFrame(made, columns=like.columns)
+        new = pd.concat(list(rows))[self.columns]
+        latest = new[self.time].max()
+        new = new.astype(object).assign(_old=False)
+        if self.state.exists():
+            new = pd.concat([pd.DataFrame([[*self.state.get(), True]], columns=[*self.columns, "_old"], dtype=object), new])
+        new = new.where(new.notna(), None)
+        for m, zero in self.measures.items():
+            new[m] = new[m].map(lambda x, zero=zero: zero if x is None else x)
+        new[self.times] = new[self.times].apply(pd.to_datetime)
+        new = new.sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+        last = new.iloc[-1]
+        self.state.update(tuple(None if pd.isna(x := last[c]) else x.to_pydatetime() if c in self.times else int(x) if c in self.whole else x for c in self.columns))
+        self.expire_after(latest)
+        gone = new.iloc[:-1].assign(sign=-1)
+        for m in self.measures:
+            gone[m] = gone[m].map(lambda x: -x)
+        out = pd.concat([new[new["_old"] == False].assign(sign=1), gone], ignore_index=True)  # noqa: E712
+        yield out[[*self.columns, "sign"]]
 
 
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, time: str, schema: str) -> DataFrame:
@@ -136,5 +136,7 @@ def repair_is_new(df: DataFrame, key: str = "mid", flag: str = "is_new", time: s
 
 
 def replace_by_cancel(df: DataFrame, key: str, order: list[str], measures: list[str], time: str = "time", keep: pd.Timedelta | None = None) -> DataFrame:
-    """A repeated row's old values leave with their own time: the watermark's delay must cover the gap between repeats."""
-    return _run(df, key, ReplaceByCancel(order, measures, time, keep), time, _schema(df, "sign int"))
+    """A repeated row's old values leave with their own time: the watermark's delay must cover the gap between repeats. `order` tells
+    which of a key's rows is the last, in whatever order they come; of equal ones, the one that came last. keep: how long after the
+    key's latest row a repeat may come."""
+    return _run(df, key, ReplaceByCancel(df.schema, order, measures, time, keep), time, _schema(df, "sign int"))

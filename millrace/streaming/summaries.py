@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.values import is_empty
 from millrace.operators import etl
+from millrace.operators.joins import enrich
 from millrace.operators.summaries import SKU_MEASURES, by_window, keywords, registrations, sum_province_orders, sum_sku_orders
 from millrace.streaming import keyed
 
-__all__ = ["cart_users", "home_detail_visitors", "keywords", "login_users", "page_views", "province_orders", "registrations", "sku_orders", "users"]
+__all__ = ["cart_users", "home_detail_visitors", "keywords", "login_users", "page_views", "province_orders", "refunds", "registrations", "sku_orders", "users"]
 
 
 def cart_users(carts: DataFrame) -> DataFrame:
@@ -22,12 +24,25 @@ def users(rows: DataFrame, tie: str, unique: str, new: str) -> DataFrame:
     return by_window(keyed.first_of_day(rows, "user_id", "time", tie), F.count("*").alias(unique), F.sum("is_first").alias(new))
 
 
-def province_orders(lines: DataFrame, order: list[str]) -> DataFrame:
-    return sum_province_orders(keyed.replace_by_cancel(lines, "id", order, ["order_amount"]))
+#: Repeats of a line come within seconds of each other.
+REPEATS = pd.Timedelta(seconds=10)
 
 
-def sku_orders(lines: DataFrame, order: list[str]) -> DataFrame:
-    return sum_sku_orders(keyed.replace_by_cancel(lines, "id", order, SKU_MEASURES))
+def province_orders(lines: DataFrame, order: list[str], provinces: DataFrame | None = None, keep: pd.Timedelta | None = REPEATS) -> DataFrame:
+    out = sum_province_orders(keyed.replace_by_cancel(lines, "id", order, ["order_amount"], keep=keep))
+    return out if provinces is None else enrich(out, provinces, "province_id", {"province_name": "name"}, default={"province_name": ""})
+
+
+def sku_orders(lines: DataFrame, order: list[str], skus: DataFrame | None = None, keep: pd.Timedelta | None = REPEATS) -> DataFrame:
+    """skus: flat_sku()."""
+    out = sum_sku_orders(keyed.replace_by_cancel(lines, "id", order, SKU_MEASURES, keep=keep))
+    return out if skus is None else enrich(out, skus, "sku_id", {c: c for c in skus.columns if c != "id"})
+
+
+def refunds(rows: DataFrame, skus: DataFrame) -> DataFrame:
+    """Orders with refunds by trademark, category and user; the set of a window's orders is state."""
+    rows = enrich(rows, skus, "sku_id", {"tm_id": "tm_id", "category3_id": "category3_id"})
+    return by_window(rows, F.size(F.collect_set("order_id")).cast("long").alias("refund_count"), keys=("tm_id", "category3_id", "user_id"))
 
 
 def home_detail_visitors(pages: DataFrame) -> DataFrame:

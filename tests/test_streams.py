@@ -1,10 +1,13 @@
 """Streams give what batches give, for all windows that the watermark has closed."""
 
+import datetime as dt
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import keyed, summaries
+from millrace.operators import joins, keyed, summaries
 from millrace.plans.fixtures import ARRIVAL, Inputs
 from millrace.sources.topics import parse_changes, read_topic_files
 from millrace.streaming import keyed as stream_keyed
@@ -13,12 +16,13 @@ from millrace.streaming import summaries as streams
 SF = "/root/testdata/sf0.001"
 
 
-def replay(spark, df, path, delay="0 seconds"):
-    """df as a stream of files in time order, and a row of the far future to close the last window."""
-    n = df.withColumn("_n", F.ntile(3).over(Window.orderBy("time"))).persist()
+def replay(spark, df, path, delay="0 seconds", by=()):
+    """df as a stream of files in time order (ties by `by`), and a row of the far future to close the last window."""
+    n = df.withColumn("_n", F.ntile(3).over(Window.orderBy("time", *by))).persist()
     for i in (1, 2, 3):
         n.filter(f"_n = {i}").drop("_n").coalesce(1).write.mode("append").parquet(path)
-    last = n.orderBy(F.col("time").desc()).limit(1).withColumn("time", F.col("time") + F.expr("interval 3000 days")).drop("_n")
+    last = n.orderBy(F.col("time").desc()).limit(1).withColumn("time", F.col("time") + F.expr("interval 15000 days")).drop("_n")
+    last = last.withColumn("id", F.lit("none")) if "id" in df.columns else last  # so that it replaces nothing
     last.coalesce(1).write.mode("append").parquet(path)
     n.unpersist()
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("time", delay)
@@ -64,13 +68,99 @@ def test_keywords_need_no_state_of_their_own(spark, tmp_path):
     same(run(streams.keywords(replay(spark, searches, f"{tmp_path}/in")), tmp_path), summaries.keywords(searches))
 
 
-def test_replaced_lines_net_out(spark, tmp_path):
-    lines = Inputs(spark, SF).order_lines.select("id", "order_amount", *ARRIVAL, "time").filter("id like '1%'")
-    got = run(stream_keyed.replace_by_cancel(replay(spark, lines, f"{tmp_path}/in"), "id", ARRIVAL, ["order_amount"]), tmp_path)
-    total = lambda df: {r.id: (r.s, r.n) for r in df.filter("time < '2026-01-01'").groupBy("id").agg(F.sum("order_amount").alias("s"), F.count("*").alias("n")).collect()}
-    want = total(keyed.replace_by_cancel(lines, "id", ARRIVAL, ["order_amount"]))
-    last = got.filter(F.col("time") > lines.agg(F.max("time")).first()[0]).first().id  # the row that closes the last window replaces its own line
-    assert {k: v for k, v in total(got).items() if k != last} == {k: v for k, v in want.items() if k != last}
+def signed(df, *columns):
+    return sorted(repr(tuple(r)) for r in df.filter("time < '2026-01-01'").select("id", "sign", *columns).collect())
+
+
+@pytest.mark.parametrize("ties", ["in order", "reversed", "shuffled"])
+def test_replaced_lines_are_those_of_a_batch(spark, tmp_path, ties):
+    """All rows of a line have one time, so files cut through them: in order of arrival, or not."""
+    lines = Inputs(spark, SF).order_lines.select("id", "order_amount", "activity_amount", *ARRIVAL, "time").filter("id like '1%'")
+    by = {"in order": ["id", *ARRIVAL], "reversed": [F.col(c).desc() for c in ("id", *ARRIVAL)], "shuffled": [F.xxhash64("id", *ARRIVAL)]}[ties]
+    stream = replay(spark, lines, f"{tmp_path}/in", by=by)
+    got = run(stream_keyed.replace_by_cancel(stream, "id", ARRIVAL, ["order_amount"], keep=streams.REPEATS), tmp_path)
+    pick = [*ARRIVAL, "order_amount", "activity_amount"]
+    got, want = signed(got, *pick), signed(keyed.replace_by_cancel(lines, "id", ARRIVAL, ["order_amount"]), *pick)
+    assert got == want and len(want) > 2000
+
+
+def put(df, path, *files):
+    for rows in files:
+        df.sparkSession.createDataFrame(rows, df.schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_replaced_rows_of_odd_values(spark, tmp_path):
+    """Nulls in measures and other columns, rows that come too early or too late, numbers of all kinds."""
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    schema = "id string, n int, amount decimal(16,2), many long, share double, note string, time timestamp"
+    rows = [
+        [("a", 1, Decimal("5.00"), 1, 0.5, None, at(1)), ("b", 2, Decimal("7.00"), 2, 1.5, "b2", at(1)), (None, 1, Decimal("1.00"), 1, 1.0, "x", at(1))],
+        [("a", 2, None, None, None, "a2", at(2)), ("b", 1, Decimal("3.00"), 1, None, None, at(2)), (None, None, Decimal("2.00"), 2, 2.0, None, at(2))],
+        [("a", 3, Decimal("9.00"), 9, 9.5, None, at(3)), ("c", None, None, None, None, None, at(3))],
+    ]
+    df = spark.createDataFrame([r for f in rows for r in f], schema)
+    put(df, f"{tmp_path}/in", *rows)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("time", "1 minute")
+    got = run(stream_keyed.replace_by_cancel(stream, "id", ["n"], ["amount", "many", "share"]), tmp_path)
+    pick = ["n", "amount", "many", "share", "note", "time"]
+    assert signed(got, *pick) == signed(keyed.replace_by_cancel(df, "id", ["n"], ["amount", "many", "share"]), *pick)
+
+
+def test_state_of_replaced_lines_ends(spark, tmp_path):
+    """A repeat that comes later than `keep` replaces nothing."""
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("a", 1, Decimal("5.00"), at(0))], "id string, n int, amount decimal(16,2), time timestamp")
+    put(df, f"{tmp_path}/in", [("a", 1, Decimal("5.00"), at(0)), ("b", 1, Decimal("5.00"), at(0))], [("a", 2, Decimal("6.00"), at(5)), ("z", 1, Decimal("0.00"), at(40))], [("z", 2, Decimal("0.00"), at(41))], [("b", 2, Decimal("6.00"), at(50))])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("time", "0 seconds")
+    got = run(stream_keyed.replace_by_cancel(stream, "id", ["n"], ["amount"], keep=streams.REPEATS), tmp_path)
+    assert sorted((r.id, r.n, r.sign) for r in got.filter("id <> 'z'").collect()) == [("a", 1, -1), ("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("b", 2, 1)]
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    return Inputs(spark, SF).order_lines.select("id", "order_id", "sku_id", "user_id", "province_id", *summaries.SKU_MEASURES, *ARRIVAL, "time").persist()
+
+
+def test_sku_orders(spark, lines, tmp_path):
+    t = Inputs(spark, SF)
+    skus = joins.flat_sku(t.sku, t.spu, t.trademark, t.category3, t.category2, t.category1)
+    same(run(streams.sku_orders(replay(spark, lines, f"{tmp_path}/in", by=[F.xxhash64("id", *ARRIVAL)]), ARRIVAL, skus), tmp_path), summaries.sku_orders(lines, skus, ARRIVAL))
+
+
+def test_province_orders(spark, lines, tmp_path):
+    t = Inputs(spark, SF)
+    same(run(streams.province_orders(replay(spark, lines, f"{tmp_path}/in", by=["id", *ARRIVAL]), ARRIVAL, t.province), tmp_path), summaries.province_orders(lines, t.province, ARRIVAL))
+
+
+def test_cart_users(spark, tmp_path):
+    carts = Inputs(spark, SF).carts.select("id", "user_id", F.timestamp_seconds("ts").alias("time"))
+    same(run(streams.cart_users(replay(spark, carts, f"{tmp_path}/in", by=["id"])), tmp_path), summaries.cart_users(carts))
+
+
+def test_order_and_paying_users(spark, lines, tmp_path):
+    got = run(streams.users(replay(spark, lines, f"{tmp_path}/in", by=["id"]), "id", "order_unique_user_count", "order_new_user_count"), tmp_path)
+    same(got, summaries.order_users(lines))
+    paid = lines.withColumnRenamed("id", "order_detail_id")
+    assert sorted(map(tuple, summaries.paying_users(paid).collect())) == sorted(map(tuple, summaries.order_users(lines).collect()))
+
+
+def test_refunds(spark, lines, tmp_path):
+    rows, skus = lines.select("order_id", "user_id", "sku_id", "time"), Inputs(spark, SF).sku
+    same(run(streams.refunds(replay(spark, rows, f"{tmp_path}/in"), skus), tmp_path), summaries.refunds(rows, skus))
+
+
+def test_registrations(spark, pages, tmp_path):
+    rows = pages.filter("page_id = 'register'").select("event_id", "time")
+    same(run(streams.registrations(replay(spark, rows, f"{tmp_path}/in")), tmp_path), summaries.registrations(rows))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("1", at(1))], "id string, time timestamp")
+    put(df, f"{tmp_path}/in", [("1", at(1))], [("2", at(25))], [("3", at(26))], [("4", at(2)), ("5", at(27))], [("6", at(59))], [("7", at(59))])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("time", "0 seconds")
+    got = {r.stt[-2:]: r.register_ct for r in run(streams.registrations(stream), tmp_path).collect()}
+    assert got == {"00": 1, "20": 3}  # "4" comes after its window has closed
 
 
 def test_topic_files(spark, tmp_path):

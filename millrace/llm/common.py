@@ -22,11 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written to the shared folder: lineage ends here, so a lost executor costs only
-    the tasks it ran."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    the tasks it ran. The table goes with discard(), or else when the application ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path  # for discard()
     return out
@@ -35,9 +49,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame | None) -> None:
     """Deletes the table behind what settle() returned, once nothing reads it any more."""
     if df is not None and getattr(df, "_settled", None):
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._settled)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        fs, at = _file_system(df.sparkSession, df._settled)
+        fs.delete(at, True)
 
 
 def quotas(counts: dict, sample: int) -> dict:

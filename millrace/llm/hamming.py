@@ -1,126 +1,116 @@
 """Exact top-k search by incremental multi-index hashing of binary codes.
 
-A vector's code has a bit for each dimension: whether it is at least zero. Codes are cut into segments of 16 bits; two codes
-within distance m * (r + 1) - 1 agree in one of their m segments up to r bits. So the radius of the segments' searches grows, 0, 1,
-2 and so on, until a query's k-th verified distance is at most that bound, and what was found is exact. A pair that several
-segments find is taken where it is nearest, so it is verified once.
+A vector's code has a bit for each dimension: whether it is at least zero. Codes are cut into m segments of about log2(n) bits, so
+that a bucket of one segment value holds about one code. Two codes within distance m * (r + 1) - 1 agree in one of their m segments up
+to r bits. So the radius of the segments' searches grows, 0, 1, 2 and so on, until a query's k-th verified distance is at most that
+bound, and what was found is exact. A pair that several segments find is taken at its nearest segment, so it is verified once.
+
+Each radius is a join of the probes (queries' segment values with r bits flipped, grown by one bit from those before) with the index,
+dealt by (segment, value): the index is not copied for queries, each code goes out once for each segment. Tasks keep a query's nearest
+k + 1 codes before they shuffle what they found. Buckets of more than BUCKET codes are split, and their probes go to all parts.
 
 Neighbours are ordered by distance, then id, and never are the query itself. Rows of one code beyond its first k + 1 ids can't be
-among the first k of any query and needn't be in the index, and queries of one code are searched once: large groups of equal
-vectors cost no more than k + 1 rows. Queries and index are dealt to blocks of bounded size; each pair of blocks is a task's work.
+among the first k of any query and aren't in the index, and queries of one code are searched once: large groups of equal vectors cost
+no more than k + 1 rows.
 
-A null vector, or one of another length than the longest, has no code: it isn't found and finds nothing. A null id isn't searched
-or found. Repeated rows are one row. A query with fewer than k others gets as many as there are. An empty table gives an empty result.
+A null vector, or one of another length than most have (of equally frequent lengths, the longest counts), has no code: it isn't found
+and finds nothing. A null element counts as zero. A null id isn't searched or found. Repeated rows are one row. A query with fewer
+than k others gets as many as there are. An empty table gives an empty result. Other columns are left alone. Built-in functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-from itertools import combinations
+import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle, table
+from millrace.llm.common import discard, settle, table
 
 K, EVERY = 10, 20
-BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 1 << 17, 1 << 14, 256
+#: Codes in one part of a bucket.
+BUCKET = 4096
 
 
-def _masks(radius: int) -> np.ndarray:
-    """All 16-bit values with so many bits."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(16), radius)], np.uint16)
+def _segment(v: Column, begin: int, width: int) -> Column:
+    """The number whose bits are the signs of v[begin:begin + width]."""
+    return F.aggregate(F.slice(v, begin + 1, width), F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(F.coalesce(x >= 0, F.lit(True)), 1).otherwise(0))
 
 
-class SegmentIndex:
-    def __init__(self, codes: np.ndarray):
-        """codes: (n, m) segments of 16 bits."""
-        self.codes, self.m = codes, codes.shape[1]
-        self.order = [np.argsort(codes[:, i], kind="stable") for i in range(self.m)]
-        self.begin = [np.concatenate(([0], np.cumsum(np.bincount(codes[:, i], minlength=1 << 16)))) for i in range(self.m)]
-
-    def _found(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, distance) of rows first reached at this radius: their nearest segment is so far."""
-        out, masks = [], _masks(radius)
-        for i in range(self.m):
-            probe = queries[:, i, None] ^ masks
-            begin, end = self.begin[i][probe], self.begin[i][probe.astype(np.int64) + 1]
-            n = (end - begin).sum(1)
-            count = (end - begin).ravel()
-            at = np.repeat(begin.ravel() - np.cumsum(count) + count, count) + np.arange(count.sum())
-            row, query = self.order[i][at], np.repeat(np.arange(len(queries)), n)
-            apart = np.bitwise_count(self.codes[row] ^ queries[query])
-            mine = (apart[:, :i] > radius).all(1) & (apart[:, i:] >= radius).all(1)
-            out.append((query[mine], row[mine], apart[mine].sum(1, dtype=np.int32)))
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-    def search(self, queries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, distance) of the k nearest rows of each query, by distance and id."""
-        active, held, done = np.arange(len(queries)), [np.zeros(0, np.int64)] * 3, []
-        for radius in range(17):
-            query, row, far = self._found(queries[active], radius)
-            q, i, d = (np.concatenate(x) for x in zip(held, (active[query], ids[row], far), strict=True))
-            order = np.lexsort((i, d, q))
-            q, i, d = q[order], i[order], d[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, i, d, place = (x[place < k] for x in (q, i, d, place))
-            sure = np.zeros(len(queries), bool)
-            sure[q[(place == k - 1) & (d <= self.m * (radius + 1) - 1)]] = True
-            over = sure[q] | (radius == 16)
-            done.append((q[over], i[over], d[over]))
-            held, active = (q[~over], i[~over], d[~over]), active[~sure[active]]
-            if not len(active):
-                break
-        return tuple(map(np.concatenate, zip(*done, strict=True)))
+def _by_segment(names: list[str]) -> Column:
+    """(seg, value) for each segment."""
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("seg"), F.col(c).alias("value")) for i, c in enumerate(names)]))
 
 
-def _codes(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
-    width = -(-dims // 16) * 2
-    for batch in batches:
-        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        packed = np.zeros((len(flat), width), np.uint8)
-        bits = np.packbits(~(flat < 0), axis=1)
-        packed[:, : bits.shape[1]] = bits
-        data = pa.Array.from_buffers(pa.binary(width), len(packed), [None, pa.py_buffer(packed)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), data], ["id", "code"])
+def _flipped(probes: DataFrame, width: int) -> DataFrame:
+    """Probes with one more bit flipped, above those flipped before: each set of bits once."""
+    more = probes.filter(F.col("top") < width - 1).withColumn("top", F.explode(F.sequence(F.col("top") + 1, F.lit(width - 1))))
+    return more.withColumn("value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top"))))
 
 
-def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    unpack = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1)
-    out = []
-    if len(index) and len(queries):
-        segments, wanted, ids = SegmentIndex(unpack(index["code"])), unpack(queries["code"]), index["id"].to_numpy()
-        for a in range(0, len(queries), AT_ONCE):
-            q, i, d = segments.search(wanted[a : a + AT_ONCE], ids, k)
-            out.append(pd.DataFrame({"code": queries["code"].to_numpy()[a + q], "neighbor_id": i, "distance": d}))
-    return pd.concat(out) if out else pd.DataFrame({"code": pd.Series(dtype=object), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})
+class SegmentIndex:
+    """Codes by segment and value. codes: id and the columns s0, s1 and so on; ids are distinct within a code."""
+
+    def __init__(self, codes: DataFrame, m: int, width: int, k: int):
+        self.m, self.width, self.k = m, width, k
+        self.s, self.q = [f"s{i}" for i in range(m)], [f"q{i}" for i in range(m)]
+        first = Window.partitionBy(*self.s).orderBy("id")
+        kept = codes.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
+        index = kept.groupBy(*self.s).agg(F.array_sort(F.collect_list("id")).alias("ids")).select(*self.s, "ids", _by_segment(self.s))
+        self.index = settle(index, "index")
+        parts = F.ceil(F.count("*") / BUCKET).cast("int")
+        self.large = settle(self.index.groupBy("seg", "value").agg(parts.alias("parts")).filter("parts > 1"), "large")
+        part = F.pmod(F.xxhash64(*self.s), F.coalesce("parts", F.lit(1))).cast("int")
+        self.dealt = self.index.join(self.large, ["seg", "value"], "left").withColumn("part", part).drop("parts")
+
+    def _reached(self, probes: DataFrame, radius: int) -> DataFrame:
+        """(query, far, first, ids) of codes first reached at this radius: their nearest segment is so far."""
+        to_all = probes.join(self.large, ["seg", "value"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        met = to_all.join(self.dealt, ["seg", "value", "part"])
+        apart = [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(self.q, self.s, strict=True)]
+        nearest = F.least(*apart, F.lit(1 << 10)) if self.m > 1 else apart[0]
+        here = (nearest == radius) & (F.array_position(F.array(*apart), F.lit(radius)) == F.col("seg") + 1)
+        return met.filter(here).select(*self.q, reduce(lambda x, y: x + y, apart).cast("int").alias("far"), F.col("ids")[0].alias("first"), "ids")
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """(q0, q1 and so on, near): for each distinct query code its k + 1 nearest, (far, id) in order. queries: those columns."""
+        active, held, done = settle(queries.distinct(), "active"), None, []
+        probes = settle(active.select(*self.q, _by_segment(self.q), F.lit(-1).alias("top")), "probes")
+        by_distance = Window.partitionBy(*self.q).orderBy("far", "first")
+        for radius in range(self.width + 1):
+            found = self._reached(probes, radius)
+            found = found if held is None else found.unionByName(held.join(active, self.q).select(*found.columns))
+            found = found.withColumn("n", F.row_number().over(by_distance)).filter(F.col("n") <= self.k + 1)
+            found = settle(found.withColumn("sum", F.sum(F.size("ids")).over(by_distance)), "found")
+            sure = found.filter((F.col("sum") > self.k) & (F.col("far") <= self.m * (radius + 1) - 1)).select(*self.q).distinct()
+            rest = settle(active.join(sure, self.q, "left_anti"), "active")
+            done.append(found if radius == self.width else found.join(rest, self.q, "left_anti"))
+            active, held = rest, found
+            if radius == self.width or active.isEmpty():
+                break
+            before, probes = probes, settle(_flipped(probes.join(active, self.q), self.width), "probes")
+            discard(before)
+        every = reduce(DataFrame.unionByName, [d.select(*self.q, "far", "ids") for d in done])
+        pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("far"), i.alias("id")))))
+        return every.groupBy(*self.q).agg(F.slice(F.array_sort(pairs), 1, self.k + 1).alias("near"))
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance: for each row whose id is divisible by `every`, against all rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("v")).filter("id is not null and v is not null")
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 16
-    rows = rows.filter(F.size("v") == dims).withColumn("v", F.transform("v", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))))
-    codes = settle(rows.mapInArrow(partial(_codes, dims=dims), "id long, code binary").distinct(), "codes")
-    first = Window.partitionBy("code").orderBy("id")
-    index = settle(codes.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).select("id", "code"), "index")
-    queries = codes.filter(F.col("id") % every == 0)
-    wanted = queries.select("code").distinct()
-    n_index, n_wanted = (max(1, -(-df.count() // size)) for df, size in ((index, BLOCK_ROWS), (wanted, BLOCK_QUERIES)))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select("id", "code", block("id", n_index).alias("i"), every_block(n_wanted).alias("q"))
-    right = wanted.select("code", block("code", n_wanted).alias("q"), every_block(n_index).alias("i"))
-    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(lambda a, b: _search(a, b, k + 1), "code binary, neighbor_id long, distance int")
-    near = Window.partitionBy("code").orderBy("distance", "neighbor_id")
-    found = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
-    pairs = queries.withColumnRenamed("id", "query_id").join(found, "code").filter("query_id <> neighbor_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("v")).filter("id is not null and size(v) > 0")
+    usual = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()  # one row
+    dims, n = (usual["dims"], usual["count"]) if usual else (1, 1)
+    width = min(30, max(4, round(math.log2(n + 1))))
+    m = -(-dims // width)
+    codes = rows.filter(F.size("v") == dims).select("id", *[_segment(F.col("v"), i * width, width).alias(f"s{i}") for i in range(m)]).distinct()
+    codes = settle(codes, "codes")
+    index = SegmentIndex(codes, m, width, k)
+    queries = codes.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), *[F.col(s).alias(q) for s, q in zip(index.s, index.q, strict=True)])
+    found = queries.join(index.search(queries.select(*index.q)), index.q)
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    found = found.select("query_id", F.posexplode(others).alias("place", "of"))
+    return found.select("query_id", (F.col("place") + 1).alias("rank"), F.col("of.id").alias("neighbor_id"), F.col("of.far").alias("distance"))
 
 
 def op7_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,12 @@ table gives an empty result, and columns besides those named in a call are left
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import scratch, table
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
@@ -88,7 +87,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
     records = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     records = records.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots=slots))
     load, rows = slot_loads(records, slots)
-    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    path = map_path or scratch(spark, "slot-map")
     save_map(spark, path, 1, first_map(load, shards))
     placed = np.array([r.shard for r in load_map(spark, path, 1).orderBy("virtual_slot").collect()])  # one row a slot
     before = np.zeros(slots, np.int64)

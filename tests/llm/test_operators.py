@@ -355,16 +355,18 @@ def test_multi_index_search(spark, dims, monkeypatch):
     v = rng.normal(size=(300, dims)).astype(np.float32)
     v[100:180] = v[20]
     v[180:220] = v[20] + rng.normal(0, 0.3, (40, dims))
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (None, [1.0] * dims), (420, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (None, [1.0] * dims), (420, [1.0]), (440, [1.0] * (dims + 30)), (460, [])]
+    rows += rows[:50]  # repeated rows are one row
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for c in ("id", "v", "q0", "s0", "seg", "value", "part", "near", "rank", "ids", "far"):
+        df = df.withColumn(c, F.lit("x"))
     bits = v >= 0
     want = set()
     for q in range(0, 300, 20):
         near = sorted((int((bits[q] != bits[i]).sum()), i) for i in range(300) if i != q)[:10]
         want |= {(q, n + 1, i, d) for n, (d, i) in enumerate(near)}
     assert {tuple(r) for r in hamming.top_k(df).collect()} == want
-    monkeypatch.setattr(hamming, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(hamming, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(hamming, "BUCKET", 3)
     assert {tuple(r) for r in hamming.top_k(df).collect()} == want
 
 

@@ -99,9 +99,43 @@ def test_fingerprints_over_many_ranges(docs, texts, monkeypatch):
 
 
 def test_changed_paragraphs(spark):
-    df = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd")], "l string, r string")
-    assert df.select(merkle.changed_paragraphs(merkle.paragraphs(F.col("l")), merkle.paragraphs(F.col("r")))).first()[0] == [1, 3]
-    assert df.select(merkle.root(F.lit("a\n\n\nb")) == merkle.root(F.lit("a\n\nb"))).first()[0] is False
+    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nnew\nb\n\nc\nd"), ("a\nb\n\nc\nd", "c\nd\n\na\nB"), ("a", "a"), ("", "x")], "l string, r string")
+    l, r = (merkle.sections(merkle.tree(F.col(c))) for c in "lr")
+    nodes = lambda *texts: [merkle.sections(merkle.tree(F.lit(t)))[0][0] for t in texts]
+    got = df.select(merkle.changed_paragraphs(l, r).alias("c"), F.array(nodes("new")[0]).alias("x"), F.array(nodes("B")[0]).alias("y"), F.array(nodes("x")[0]).alias("z")).collect()
+    assert [x.c for x in got] == [got[0].x, got[0].y, [], got[0].z]
+    same = lambda a, b: df.select(*[merkle.root(merkle.section_nodes(merkle.sections(merkle.tree(F.lit(t))))) for t in (a, b)]).first()
+    assert len(set(same("a\n\n\nb", "a\n\nb"))) == 2 and len(set(same("", "\n"))) == 2 and len(set(same("é a", "é a"))) == 1
+
+
+@pytest.mark.parametrize("text", ["", "ab", "x" * 1000, "word " * 80, "短い 日本語のテキスト、長い長い。" * 20, "$$$ &&& ###\t" * 50])
+def test_leaves_are_short_and_keep_all_bytes(spark, text):
+    pieces = re.findall(merkle.LEAVES, text.encode().hex().upper())
+    assert "".join(pieces) == text.encode().hex().upper() and all(len(x) <= 2 * merkle.LEAF for x in pieces)
+    got = spark.createDataFrame([(text,)], "t string").select(merkle.tree(F.col("t")).alias("t")).first().t
+    assert got == [[[hashlib.sha256(b"l" + x.encode()).hexdigest() for x in pieces or [""]]]]
+
+
+def test_an_insertion_moves_few_leaves(spark):
+    rng = random.Random(9)
+    for alphabet in ("abcdefghijklmnop qrst", "自動車電話番号新聞天気予報学校図書館"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        df = spark.createDataFrame([(text, text[:1000] + "!?" + text[1000:])], "a string, b string")
+        assert df.select(merkle.likeness(merkle.leaves(merkle.tree(F.col("a"))), merkle.leaves(merkle.tree(F.col("b"))))).first()[0] > 0.9
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4, 5, 1 << 50], [-(1 << 63), -(1 << 63) + 5, 0, (1 << 63) - 5, (1 << 63) - 1], [None] * 30 + [4, 9], [7] * 40])
+def test_any_ids_fall_into_ranges(spark, ids, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 400)
+    rows = [(d, f"text {i} " * 9) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    want = {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    out = merkle.with_next(df)
+    assert {r.text: r.next_text for r in out.collect()} == want
+    if len(ids) > 10:
+        assert len(merkle._borders(df.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("tie", F.xxhash64("text")))) >= 5
 
 
 def test_transform_classes():

@@ -2,7 +2,8 @@
 
 A large-star round links each node's larger neighbours to its smallest neighbour, a small-star round links its smaller
 neighbours and itself to the smallest; in the end each component is a star around its smallest node. Each round is a join and an
-aggregation over edges; a hub's edges are never gathered in one task.
+aggregation over edges, with partial minima before the shuffle. The minima are one row a node; a hub's edges may meet in one partition
+of the join, which adaptive execution splits, as any partition that is much larger than the others.
 """
 
 from __future__ import annotations
@@ -39,5 +40,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = settle(_small_star(_large_star(edges).distinct()).distinct(), "edges")
         discard(edges)
         edges, before, state = after, state, _state(after)
-        if state == before:
+        if state == before:  # the last table goes when the application ends
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

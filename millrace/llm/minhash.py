@@ -7,10 +7,10 @@ a shorter document is one shingle; one without words is linked with nothing.
    sets become one class at once, represented by the smallest id.
 2. Banding: classes whose signatures agree in all rows of a band meet in a bucket. Each class is compared, on full sets, with the
    smallest member of all its buckets.
-3. Connected components of those links. Buckets whose members are still in several components are searched whole, in squares of
-   blocks: pairs across components whose signatures agree well enough are verified on full sets as well, until the square's
-   components that have a link are one. So each pair that meets in a bucket is either in one component already or tested, and no
-   bucket's pairs are written out.
+3. Connected components of those links. In buckets whose members are still in several components, the members outside of the bucket's
+   largest one are searched against all others, in squares of two blocks that are bounded in members and in shingles: pairs across
+   components whose signatures agree well enough are verified on full sets as well, until the square's components that have a link are
+   one. So each pair that meets in a bucket is either in one component already or tested, and no bucket's pairs are written out.
 4. Components again, over all links.
 
 With 24 bands of 5 rows, a pair of similarity 0.85 (0.8) misses all buckets with probability 8e-7 (7e-5). Pairs are verified from a
@@ -41,8 +41,10 @@ _A = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, np.uint64)
 #: Upper bits of a shingle's key hold its document's place in the block.
 _DOC_BITS = np.uint64(10)
-#: Members of a bucket are compared in squares of so many at a side.
-SQUARE = 2048
+#: Blocks of a bucket's members: about so many members, and shingles, at most.
+SQUARE, SQUARE_SHINGLES = 256, 1 << 20
+#: Documents that are compared with one copy of a centre's text.
+STAR = 1024
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int, col: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -152,6 +154,12 @@ def _similar(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    wide = {"string": pa.large_string(), "binary": pa.large_binary()}  # a column of more than 2 GB
+    return rows.cast(pa.schema([f.with_type(wide.get(str(f.type), f.type)) for f in rows.schema])).combine_chunks().to_batches()[0]
+
+
 def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each square, of batches sorted by bucket and square."""
     held, now = [], None
@@ -160,24 +168,29 @@ def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (square[1:] != square[:-1])) + 1), len(batch)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and b > a and (bucket[a], square[a]) != now:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield _whole(held)
                 held = []
             if b > a:
                 now = (bucket[a], square[a])
                 held.append(batch.slice(a, b - a))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _whole(held)
+
+
+#: Roles of a square's members: searched, found, found and searched, found where another square searches it. The largest component's
+#: members are FOUND; of two others, the one with the larger id is searched.
+SEARCHED, FOUND, BOTH, ELSEWHERE = 0, 1, 2, 3
 
 
 def _candidates(square: pa.RecordBatch, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, others): pairs across components whose signatures agree and that have met in no earlier band."""
-    label, side, bucket = (square.column(c).to_numpy() for c in ("label", "side", "bucket"))
+    label, role, bucket, ids = (square.column(c).to_numpy() for c in ("label", "role", "bucket", "doc_id"))
     sig = _signed(square.column("sig"))
     bands = _buckets(sig)
     band = int(np.argmax(bands[0] == bucket[0]))
-    right = np.flatnonzero(side != 0)
-    for i in np.flatnonzero(side != 1):  # side 2: a square on the diagonal, each pair once
-        other = right[(label[right] != label[i]) & ((side[i] != 2) | (right > i))]
+    found = np.flatnonzero(role != SEARCHED)
+    for i in np.flatnonzero((role == SEARCHED) | (role == BOTH)):
+        other = found[(label[found] != label[i]) & ((role[found] == FOUND) | (ids[found] < ids[i]))]
         other = other[(sig[other] == sig[i]).sum(1) >= least]
         if band and len(other):
             other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
@@ -190,7 +203,7 @@ def _involved(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         used = np.zeros(len(square), bool)
         for i, other in _candidates(square, least):
             used[i] = used[other] = True
-        yield square.select(["bucket", "square", "side", "doc_id", "label"]).filter(pa.array(used))
+        yield square.select(["bucket", "square", "role", "doc_id", "label"]).filter(pa.array(used))
 
 
 def _bridges(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -221,35 +234,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sets = settle(docs.mapInArrow(partial(_sign, k=k), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sets")
     linkable = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("c")).select("k1", "k2", "n_shingles", "c.*"), "classes")
-    rows = classes.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    centers = rows.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1")
+    rows = classes.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).distinct()
+    centers = rows.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = settle(rows.join(centers, "bucket"), "members")
     texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     texts = settle(texts.mapInArrow(partial(_with_signature, k=k), "doc_id long, sig binary, text string"), "texts")
-
-    star = members.groupBy(F.col("doc_id").alias("u")).agg(F.min("center").alias("v")).filter("u <> v")
-    star = star.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    star = star.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    text_of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    # a centre with many documents is dealt to several tasks, each with a copy of its text
+    star = settle(members.groupBy(F.col("doc_id").alias("u")).agg(F.min("center").alias("v")).filter("u <> v"), "star")
+    copies = star.groupBy("v").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
+    centre_texts = text_of("v").join(copies, "v").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    star = star.join(copies, "v").withColumn("copy", F.pmod(F.xxhash64("u"), "copies").cast("int")).drop("copies")
+    star = star.join(text_of("u"), "u").join(centre_texts, ["v", "copy"]).select("u", "v", "text_u", "text_v")
     links = settle(star.mapInArrow(partial(_similar, k=k, num=num, den=den), "u long, v long"), "links")
     found = connected_components(links)
 
-    labels = settle(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labels")
-    side = F.ceil(F.count("*") / SQUARE).cast("int")
-    open_ = labels.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), side.alias("sides")).filter("a <> b").select("bucket", "sides")
-    # a bucket's members are dealt to blocks by their ids; each pair of blocks is a square
-    rest = labels.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    square = F.least("block", "other") * F.col("sides") + F.greatest("block", "other")
-    place = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rest = rest.select("bucket", square.alias("square"), place.alias("side"), "doc_id", "label")
+    labels = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("label"))
+    labels = settle(labels, "labels")
+    parts = labels.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    shape = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("total"), F.max(F.struct("n", "label", "size")).alias("main")).filter("n > main.n")
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / SQUARE), F.ceil(size / SQUARE_SHINGLES)).cast("int")
+    shape = shape.select("bucket", "main.label", blocks_of(F.col("n"), F.col("total")).alias("all"), blocks_of(F.col("n") - F.col("main.n"), F.col("total") - F.col("main.size")).alias("others"))
+    rest = labels.join(shape.withColumnRenamed("label", "main"), "bucket").withColumn("other", F.col("label") != F.col("main"))
+    place, own = (F.pmod(F.xxhash64("doc_id", F.lit(i)), n).cast("int") for i, n in enumerate(("all", "others")))
+    rest = rest.withColumns({"place": place, "own": own})
+    square = lambda x, y: x * F.col("all") + y
+    met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.struct(square(x, F.col("place")).alias("square"), F.when(~F.col("other"), FOUND).when(x == F.col("own"), BOTH).otherwise(ELSEWHERE).alias("role")))
+    asked = F.transform(F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda y: y != F.col("place")), lambda y: F.struct(square(F.col("own"), y).alias("square"), F.lit(SEARCHED).alias("role")))
+    rest = rest.select("bucket", "doc_id", "label", F.inline(F.when(F.col("other"), F.concat(met, asked)).otherwise(met)))
 
     def by_square(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket", "square").sortWithinPartitions("bucket", "square", "side", "doc_id")
+        return rows.repartition("bucket", "square").sortWithinPartitions("bucket", "square", "doc_id")
 
-    kind = "bucket long, square int, side int, doc_id long, label long"
+    kind = "bucket long, square int, role int, doc_id long, label long"
     used = settle(by_square(rest.join(texts.select("doc_id", "sig"), "doc_id")).mapInArrow(partial(_involved, least=least), kind), "squares")
     bridges = by_square(used.join(texts, "doc_id")).mapInArrow(partial(_bridges, k=k, num=num, den=den, least=least), "u long, v long")
-    final = connected_components(links.union(settle(bridges, "links")))
-    for done in (members, labels, used, texts):
+    bridges = settle(bridges, "links")
+    final = connected_components(links.union(bridges))
+    for done in (members, labels, used, texts, links, bridges):
         discard(done)
 
     of_class = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "doc_id").alias("of_class"))

@@ -6,8 +6,12 @@ the probability given both sides.
 
 The vocabulary holds the most frequent words of the whole corpus, counted over all documents (words of one hash are one word), and
 a few entries for all others, dealt by hash. The probability of a word in such an entry is the entry's times the word's share of the
-entry's count in the corpus, so every word itself is predicted, however many there are; the counts are joined by word. Training covers all documents too: each task passes its own, masks one word in
-ROUNDS (others each round, so that each word of the corpus is a target once), and returns its parameters, which are averaged, weighted by words seen; then another round starts from the average.
+entry's count in the corpus, so every word itself is predicted, however many there are; the counts are joined by word.
+
+Training covers all words of all documents: each of ROUNDS rounds takes the documents whose hash falls to it, so that each word is a
+target once, dealt by the same hash to shards of about SHARD bytes. A task passes a shard in order of hash and returns its parameters,
+which are averaged, weighted by words seen; the next round starts from the average. What is learned depends on the rows only, not on
+how they are partitioned (but for the rounding of sums).
 
 The driver holds the vocabulary and one set of parameters, whatever the input's size. Null and empty texts have no words, a score
 of 0 and no mean. Repeated rows each get a row; null ids are as others; an empty table gives an empty result; other columns are left
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import settle, table
-from millrace.llm.textbytes import blocks, lower_ascii, mix, prefix, range_hash, words
+from millrace.llm.textbytes import blocks, lower_ascii, prefix, range_hash, words
 
 CLASSES, CLASS, OTHERS = 64, 32, 64
 VOCABULARY, SIDE, DEPTH, HIDDEN = CLASSES * CLASS, 2, 8, 24
-ROUNDS, BATCH, RATE = 2, 1024, 0.05
+ROUNDS, BATCH, RATE, SHARD = 2, 2048, 0.1, 16 << 20
 AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
@@ -75,43 +79,57 @@ class Network:
         return x, np.tanh(x @ self.p["w"] + self.p["b"])
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(target // CLASS, kind="stable")
-        cuts = np.searchsorted((target // CLASS)[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            yield c, order[cuts[c] : cuts[c + 1]]
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Targets in order of class, and (class, first, after the last) of each class there."""
+        of = target // CLASS
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(CLASSES + 1))
+        return order, [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(np.diff(cuts))]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, h = self._hidden(around)
-        out = self._log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(h)), target // CLASS]
-        for c, own in self._by_class(target):
-            out[own] += self._log_softmax(h[own] @ self.p["ww"][c] + self.p["bw"][c])[np.arange(len(own)), target[own] % CLASS]
-        return out
+        order, runs = self._by_class(target)
+        _, h = self._hidden(around[order])
+        n, mine = np.arange(len(order)), target[order]
+        sums = np.log(np.exp(z := self._scaled(h @ self.p["wc"] + self.p["bc"])).sum(1))
+        out = z[n, mine // CLASS] - sums
+        for c, a, b in runs:
+            z = self._scaled(h[a:b] @ self.p["ww"][c] + self.p["bw"][c])
+            out[a:b] += z[n[: b - a], mine[a:b] % CLASS] - np.log(np.exp(z).sum(1))
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    @staticmethod
+    def _scaled(z: np.ndarray) -> np.ndarray:
+        z -= z.max(1, keepdims=True)
+        return z
+
+    @classmethod
+    def _softmax(cls, z: np.ndarray) -> np.ndarray:
+        e = np.exp(cls._scaled(z), out=z)
+        e /= e.sum(1, keepdims=True)
+        return e
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log-probability; "embed" as (rows of embed, gradients)."""
+        """Of the mean negative log-probability."""
+        order, runs = self._by_class(target)
+        around, target = around[order], target[order]
         n = len(target)
         x, h = self._hidden(around)
-        d = np.exp(self._log_softmax(h @ self.p["wc"] + self.p["bc"]))
+        d = self._softmax(h @ self.p["wc"] + self.p["bc"])
         d[np.arange(n), target // CLASS] -= 1
-        d /= n
         g = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
         dh = d @ self.p["wc"].T
-        for c, own in self._by_class(target):
-            e = np.exp(self._log_softmax(h[own] @ self.p["ww"][c] + self.p["bw"][c]))
-            e[np.arange(len(own)), target[own] % CLASS] -= 1
-            e /= n
-            g["ww"][c], g["bw"][c] = h[own].T @ e, e.sum(0)
-            dh[own] += e @ self.p["ww"][c].T
+        for c, a, b in runs:
+            e = self._softmax(h[a:b] @ self.p["ww"][c] + self.p["bw"][c])
+            e[np.arange(b - a), target[a:b] % CLASS] -= 1
+            g["ww"][c], g["bw"][c] = h[a:b].T @ e, e.sum(0)
+            dh[a:b] += e @ self.p["ww"][c].T
         dz = dh * (1 - h * h)
         dx = (dz @ self.p["w"].T).reshape(-1, DEPTH)
         rows = around.ravel()
-        embed = np.stack([np.bincount(rows, dx[:, j], VOCABULARY + 1) for j in range(DEPTH)], 1).astype(np.float32)
-        return g | {"w": x.T @ dz, "b": dz.sum(0), "embed": embed}
+        embed = np.stack([np.bincount(rows, dx[:, j], VOCABULARY + 1) for j in range(DEPTH)], 1).astype(dx.dtype)
+        return {k: v / n for k, v in (g | {"w": x.T @ dz, "b": dz.sum(0), "embed": embed}).items()}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -143,7 +161,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _train(batches: Iterator[pa.RecordBatch], model, turn: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     net = Network(np.zeros(0, np.uint64))
     net.known, net.rank, net.p = model.value.known, model.value.rank, {k: v.copy() for k, v in model.value.p.items()}
     square, seen, held = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}, 0, []
@@ -159,13 +177,12 @@ def _train(batches: Iterator[pa.RecordBatch], model, turn: int) -> Iterator[pa.R
     for batch in batches:
         for _, _, word, bounds in word_hashes(batch):
             ids = net.ids(word)
-            place = np.arange(len(ids), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            at = np.flatnonzero(mix(word ^ place) % np.uint64(ROUNDS) == np.uint64(turn))
-            if len(at):
+            for a in range(0, len(ids), 8 * BATCH):
+                at = np.arange(a, min(len(ids), a + 8 * BATCH))
                 held.append((net.contexts(ids, bounds, at), ids[at]))
                 seen += len(at)
-            if sum(len(t) for _, t in held) >= 8 * BATCH:
-                step()
+                if sum(len(t) for _, t in held) >= 8 * BATCH:
+                    step()
     if held:
         step()
     if seen:
@@ -207,14 +224,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_network(docs: DataFrame, counts: DataFrame | None = None) -> Network:
-    """docs: column text without nulls; counts: its word_counts()."""
+    """docs: column text without nulls, and others that tell rows apart; counts: its word_counts()."""
     spark = docs.sparkSession
+    shards = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max(1, ROUNDS) // SHARD)
+    dealt = docs.select("text", F.xxhash64(*docs.columns).alias("hash"))
     counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - OTHERS).collect()
     net = Network(np.array([r["word"] for r in top], np.int64).view(np.uint64))
     for turn in range(ROUNDS):
         model = spark.sparkContext.broadcast(net)
-        parts = docs.select("text").mapInArrow(partial(_train, model=model, turn=turn), "i int, x double, n long")
+        own = dealt.filter(F.pmod(F.col("hash"), F.lit(ROUNDS)) == turn).repartition(shards, "hash").sortWithinPartitions("hash", "text")
+        parts = own.select("text").mapInArrow(partial(_train, model=model), "i int, x double, n long")
         mean = parts.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("i")
         if len(mean):
             net = Network(np.zeros(0, np.uint64)).load(mean["x"].to_numpy())

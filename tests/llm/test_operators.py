@@ -352,11 +352,22 @@ def test_pseudo_likelihood_is_a_distribution_and_learns(spark):
     assert all(r.n_words in (800, 801) and r.mean_log_likelihood > -3 for r in got)  # far above a guess among 2048
 
 
-def test_rounds_cover_every_word():
-    batch = pa.RecordBatch.from_pydict({"text": ["a b c d e f g h i j"] * 30 + ["", "one"]})
-    model = SimpleNamespace(value=pseudo_lm.Network(np.zeros(0, np.uint64)))
-    seen = [sum(b.column("n")[0].as_py() for b in pseudo_lm._train(iter([batch]), model, turn)) for turn in range(pseudo_lm.ROUNDS)]
-    assert sum(seen) == 301 and min(seen) > 100
+def test_rounds_cover_every_word(spark, monkeypatch):
+    """However the rows are partitioned, the rounds take each word once, and the scores are the same."""
+    texts = [f"a b c d e f g h i j {i % 7} {'word ' * (i % 5)}" for i in range(300)] + ["", "one", "x " * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pseudo_lm, "SHARD", 40_000)
+    seen, train = spark.sparkContext.accumulator(0), pseudo_lm._train
+
+    def counted(batches, model):
+        for b in train(batches, model):
+            seen.add(b.column("n")[0].as_py())
+            yield b
+
+    monkeypatch.setattr(pseudo_lm, "_train", counted)
+    got = [{r.doc_id: r.log_likelihood for r in pseudo_lm.score(d).collect()} for d in (df.repartition(2), df.repartition(7, "doc_id"))]
+    assert seen.value == 2 * sum(len(t.split()) for t in texts)
+    assert all(np.isclose(got[0][d], got[1][d], rtol=1e-3) for d in got[0])
 
 
 def test_each_rare_word_is_predicted_itself(spark, monkeypatch):

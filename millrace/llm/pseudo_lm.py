@@ -92,13 +92,20 @@ class Network:
         n, mine = np.arange(len(order)), target[order]
         sums = np.log(np.exp(z := self._scaled(h @ self.p["wc"] + self.p["bc"])).sum(1))
         out = z[n, mine // CLASS] - sums
-        for c, a, b in runs:
-            z = self._scaled(h[a:b] @ self.p["ww"][c] + self.p["bw"][c])
-            out[a:b] += z[n[: b - a], mine[a:b] % CLASS] - np.log(np.exp(z).sum(1))
+        z = self._scaled(self._words(h, mine, runs))
+        out += z[n, mine % CLASS] - np.log(np.exp(z).sum(1))
         back = np.empty_like(out)
         back[order] = out
         return back
 
+    def _words(self, h: np.ndarray, target: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Scores of the words of each target's class, targets being in order of class."""
+        z = np.empty((len(h), CLASS), h.dtype)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.p["ww"][c], out=z[a:b])
+        z += self.p["bw"][target // CLASS]
+        return z
+
     @staticmethod
     def _scaled(z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
@@ -120,11 +127,13 @@ class Network:
         d[np.arange(n), target // CLASS] -= 1
         g = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
         dh = d @ self.p["wc"].T
+        e, down = self._softmax(self._words(h, target, runs)), np.empty_like(dh)
+        e[np.arange(n), target % CLASS] -= 1
         for c, a, b in runs:
-            e = self._softmax(h[a:b] @ self.p["ww"][c] + self.p["bw"][c])
-            e[np.arange(b - a), target[a:b] % CLASS] -= 1
-            g["ww"][c], g["bw"][c] = h[a:b].T @ e, e.sum(0)
-            dh[a:b] += e @ self.p["ww"][c].T
+            np.matmul(h[a:b].T, e[a:b], out=g["ww"][c])
+            np.matmul(e[a:b], self.p["ww"][c].T, out=down[a:b])
+        g["bw"][[c for c, _, _ in runs]] = np.add.reduceat(e, [a for _, a, _ in runs])
+        dh += down
         dz = dh * (1 - h * h)
         dx = (dz @ self.p["w"].T).reshape(-1, DEPTH)
         rows = around.ravel()

@@ -32,9 +32,10 @@ def split_dirty(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def route_dim(changes: DataFrame, config: DataFrame) -> DataFrame:
-    """sink_table, type, data with the configured columns, of changes in configured tables."""
+    """sink_table, type, data with the configured columns, of changes in configured tables; and ts and offset, if there, which tell
+    their order."""
     c = config.select(F.col("source_table").alias("table"), "sink_table", "sink_columns")
-    extra = [x for x in ("seq",) if x in changes.columns]
+    extra = [x for x in ("ts", "offset") if x in changes.columns]
     return changes.join(c, "table").select("sink_table", "type", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"), *extra)
 
 

@@ -240,10 +240,14 @@ class Inputs:
         return self.table("nation").filter("n_nationkey <> 7").select(_string("n_nationkey").alias("id"), F.col("n_name").alias("name"))
 
     @cached_property
-    def searches(self) -> DataFrame:
-        rows = self.table("conversations").filter("role = 'user'")
+    def search_log(self) -> DataFrame:
+        """Page records of the log as text: a user's turn is a search; other turns come from another page, or are of another type."""
         ts = F.lit(1704067200000) + F.col("conv_id") * 3000 + F.col("turn") * 500
-        return rows.select(F.trim("text").alias("item"), F.timestamp_millis(ts).alias("time"))
+        user, odd = F.col("role") == "user", F.col("turn") % 2 == 0
+        page = F.struct(
+            F.lit("good_list").alias("page_id"), F.when(user | odd, "search").otherwise("home").alias("last_page_id"), F.trim("text").alias("item"), F.when(user | ~odd, "keyword").otherwise("sku_id").alias("item_type"), F.lit(1).cast("long").alias("during_time"),
+        )
+        return self.table("conversations").select(F.to_json(F.struct(page.alias("page"), ts.alias("ts"))).alias("value"))
 
 
 #: DuckDB views; a query's oracle starts with those it needs.
@@ -278,6 +282,7 @@ VIEWS: dict[str, str] = {
         cast(round(value * 1000) as bigint) as during_time, ms as ts, event_id, k from ev""",
     "visitor": "select mid, case when arg_min(is_new, (ts, event_id)) = '1' then cast(epoch_ms(min(ts)) as date) else cast(epoch_ms(min(ts)) as date) - 1 end as base from pages_log group by mid",
     "repaired": "select p.* exclude (is_new), case when is_new = '1' and cast(epoch_ms(ts) as date) <> base then '0' else is_new end as is_new from pages_log p join visitor using (mid)",
+    "marked": "select p.*, v.is_new as fixed from pages_log p join repaired v using (event_id)",
     "sku": "select cast(p_partkey as varchar) as id, p_name as sku_name, cast(p_partkey % 10 as varchar) as spu_id, p_brand as tm_id, cast(p_partkey % 25 as varchar) as category3_id from part",
     "tm": "select distinct p_brand as id, 'tm ' || p_brand as tm_name from part",
     "c3": "select cast(n_nationkey as varchar) as id, n_name as name, cast(n_regionkey as varchar) as category2_id from nation",

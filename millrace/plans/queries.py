@@ -12,9 +12,10 @@ from millrace import sinks
 from millrace.functions import times, values
 from millrace.operators import etl, facts, joins, keyed, summaries
 from millrace.plans.fixtures import ARRIVAL, VIEWS, Inputs
-from millrace.schemas import CONFIG_COLUMNS
+from millrace.schemas import CONFIG_COLUMNS, ORDER_DETAIL
 from millrace.sources import config as configuration
-from millrace.sources.topics import parse_changes, parse_log
+from millrace.sources.topics import parse_changes, parse_config_changes, parse_log, parse_page_log, parse_rows
+from millrace.streaming.log import log_topics, repaired_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,7 +101,8 @@ def config_fold(t: Inputs) -> DataFrame:
     start, new = _config(t, "a").filter(p % 2 == 0), _config(t, "b")
     gone = new.filter((p % 5).isin(1, 4)).select(F.lit("d").alias("op"), row.alias("before"), F.lit(None).alias("after"), F.lit(1).alias("seq"))
     put = new.filter((p % 5).isin(2, 4)).select(F.when(p % 5 == 2, "u").otherwise("c").alias("op"), F.lit(None).alias("before"), row.alias("after"), F.lit(2).alias("seq"))
-    return configuration.config_fold(start, gone.union(put), "dim").select("source_table", "sink_table")
+    topic = gone.union(put).select(F.to_json(F.struct("op", "before", "after")).alias("value"), "seq")
+    return configuration.config_fold(start, parse_config_changes(topic), "dim").select("source_table", "sink_table")
 
 
 @query("""select sink_table, type, id, name, null as other from (
@@ -145,7 +147,7 @@ def dim_upsert(t: Inputs) -> DataFrame:
     rows = part.filter(p % 3 == 0).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
     name = F.concat(F.when(F.col("seq") == 1, "first ").otherwise("second "), "p_name")
     rows = rows.select(F.when(p % 4 == 0, "delete").otherwise("update").alias("type"), F.create_map(F.lit("id"), p.cast("string"), F.lit("sku_name"), name).alias("data"), "seq")
-    return sinks.dim_upsert(current, rows, "id", "seq")
+    return sinks.dim_upsert(current, rows, "id", ["seq"])
 
 
 # the app log
@@ -169,10 +171,12 @@ def log_err(t: Inputs) -> DataFrame:
     return etl.error_branch(_log(t)).select("common.mid", "ts", F.col("err")["msg"].alias("msg"), F.col("start").isNotNull().alias("started"))
 
 
-@query("select mid, ts, 'icon' as entry, 5 + cast(event_id % 3 > 0 as int) * 0 as n_columns from pages_log where event_id % 7 = 0")
+@query("select mid, ts, 'icon' as entry, event_id % 11 = 0 as had_error, false as has_error from pages_log where event_id % 7 = 0")
 def log_start(t: Inputs) -> DataFrame:
-    out = etl.start_branch(_log(t))
-    return out.select("common.mid", "ts", F.col("start")["entry"].alias("entry"), F.lit(len(out.columns) - 1).alias("n_columns"))
+    """Of each start record whether it had an error, and whether the branch still shows it."""
+    out = etl.start_branch(_log(t).withColumn("had_error", F.col("err").isNotNull()))
+    record = F.to_json(F.struct("*"))
+    return out.select("common.mid", "ts", F.col("start")["entry"].alias("entry"), "had_error", F.get_json_object(record, "$.err").isNotNull().alias("has_error"))
 
 
 @query("select mid, ts, page_id, last_page_id, during_time from pages_log where event_id % 7 <> 0")
@@ -190,8 +194,28 @@ def log_action(t: Inputs) -> DataFrame:
     return etl.action_branch(_log(t)).select("common.mid", "page.page_id", F.col("action")["action_id"].alias("action_id"), F.col("action")["ts"].alias("action_ts"))
 
 
+@query("""select 'topic_error' as topic, mid, fixed as is_new, ts, cast(k as varchar) as detail from marked where event_id % 11 = 0 union all select 'topic_start', mid, fixed, ts, 'icon' from marked where event_id % 7 = 0
+  union all select 'topic_page', mid, fixed, ts, page_id from marked where event_id % 7 <> 0
+  union all select 'topic_display', mid, fixed, ts, cast(k % 20 as varchar) from marked, unnest(range(1, 1 + event_id % 3)) as u(n) where event_id % 7 <> 0
+  union all select 'topic_action', mid, fixed, null, cast(ts as varchar) from marked where event_id % 5 = 0 and event_id % 7 <> 0""")
+def log_facts(t: Inputs) -> DataFrame:
+    """The whole job: dirty records out, marks repaired, five topics. (No two records of a visitor have one time here.)"""
+    part = lambda p: F.get_json_object("value", p)
+    detail = F.when(F.col("topic") == "topic_error", part("$.err.msg")).when(F.col("topic") == "topic_start", part("$.start.entry")).when(F.col("topic") == "topic_page", part("$.page.page_id"))
+    detail = detail.when(F.col("topic") == "topic_display", part("$.display.item")).otherwise(part("$.action.ts"))
+    return log_topics(repaired_log(t.topic_log, keyed.repair_is_new)).select("topic", part("$.common.mid").alias("mid"), part("$.common.is_new").alias("is_new"), part("$.ts").cast("bigint").alias("ts"), detail.alias("detail"))
+
+
 # facts
 
+@query("select * from details where sku_id <> '3'")
+def fact_topic(t: Inputs) -> DataFrame:
+    """Order details written to their keyed topic, with tombstones and empty records among them, and read back as a table."""
+    rows = sinks.to_keyed_topic(facts.order_detail(t.changes).filter("sku_id <> '3'"), ["id"])
+    none = t.table("part").select(F.lit("{}").alias("key"), F.when(F.col("p_partkey") % 2 == 0, "").alias("value"))
+    return parse_rows(etl.non_empty(rows.union(none)).select("value"), ORDER_DETAIL)
+
+
 @query("select cast(o_orderkey as varchar) as id, cast(ts + 600 as varchar) as ts from o_fx where o_orderstatus = 'F'")
 def status_changed(t: Inputs) -> DataFrame:
     return etl.status_changed(t.changes, "order_info", "order_status", "1003").select(F.col("data")["id"].alias("id"), "ts")
@@ -382,7 +406,8 @@ def win_home_detail(t: Inputs) -> DataFrame:
 @query(f"""select {_window('(1704067200 + (conv_id * 3000 + turn * 500) // 1000)')}, keyword, count(*) as keyword_count from (
   select conv_id, turn, unnest(regexp_extract_all(lower(trim(text)), '[\\p{{L}}\\p{{N}}]+')) as keyword from conversations where role = 'user') group by all""")
 def win_keyword(t: Inputs) -> DataFrame:
-    return summaries.keywords(t.searches)
+    log = parse_page_log(t.search_log).select(F.col("page.last_page_id").alias("last_page_id"), F.col("page.item_type").alias("item_type"), F.col("page.item").alias("item"), F.col("row_time").alias("time"))
+    return summaries.keywords(etl.searches(log))
 
 
 @query(f"""select {_window('(ts // 1000)')}, vc, ch, ar, is_new, cast(sum(cast(d.event_id is not null as int)) as bigint) as uv_ct, cast(sum(cast(coalesce(last_page_id, '') = '' as int)) as bigint) as sv_ct, count(*) as pv_ct, cast(sum(during_time) as bigint) as dur_sum
@@ -405,18 +430,18 @@ def win_register(t: Inputs) -> DataFrame:
 # scalar functions
 
 @query("""select event_id, strftime(epoch_ms(ms), '%Y-%m-%d') as day, strftime(epoch_ms(ms), '%Y-%m-%d %H:%M:%S') as clock, (sec - sec % 86400) * 1000 as day_ms, sec * 1000 as clock_ms,
-  true as no_ms, strftime(epoch_ms(sec * 1000), '%Y-%m-%d %H:%M:%S') as from_text from ev""")
+  event_id % 3 <> 0 as no_ms, strftime(epoch_ms(sec * 1000), '%Y-%m-%d %H:%M:%S') as from_text from ev""")
 def scalar_time(t: Inputs) -> DataFrame:
     ms = F.unix_millis("time")
     rows = t.events.select("event_id", times.date_text(times.from_millis(ms)).alias("day"), times.date_time_text(times.from_millis(ms)).alias("clock"), F.unix_timestamp("time").cast("string").alias("s"))
-    return rows.select("event_id", "day", "clock", times.to_millis(F.col("day")).alias("day_ms"), times.to_millis(F.col("clock"), full=True).alias("clock_ms"), times.to_millis(F.concat("day", F.lit("?"))).isNull().alias("no_ms"), times.date_time_text(times.from_seconds(F.col("s"))).alias("from_text"))
+    return rows.select("event_id", "day", "clock", times.to_millis(F.col("day")).alias("day_ms"), times.to_millis(F.col("clock"), full=True).alias("clock_ms"), times.to_millis(F.concat("day", F.when(F.col("event_id") % 3 == 0, "").otherwise("?"))).isNull().alias("no_ms"), times.date_time_text(times.from_seconds(F.col("s"))).alias("from_text"))
 
 
-@query("select event_id, k, '{\"k\":' || k || '}' as text, n as item, event_type = 'view' as is_view, true as object, k % 4 = 0 as no_user from ev, unnest(range(0, event_id % 3)) as u(n)")
+@query("select event_id, k, '{\"k\":' || k || '}' as text, n as item, event_type = 'view' as is_view, event_id % 5 <> 0 as object, k % 4 = 0 as no_user from ev, unnest(range(0, event_id % 3)) as u(n)")
 def scalar_json(t: Inputs) -> DataFrame:
     items = F.to_json(F.when(F.col("event_id") % 3 > 0, F.sequence(F.lit(0), F.col("event_id") % 3 - 1)).otherwise(F.array().cast("array<bigint>")))
     rows = t.events.withColumn("r", F.from_json("props", "k bigint")).withColumn("item", F.explode(F.from_json(items, "array<bigint>")))
     user = F.when(F.col("k") % 4 == 0, "").otherwise(F.col("user_id").cast("string"))
-    return rows.select("event_id", "r.k", F.to_json("r").alias("text"), "item", (F.col("event_type") == "view").alias("is_view"), values.is_json_object(F.col("props")).alias("object"), values.is_empty(user).alias("no_user"))
+    return rows.select("event_id", "r.k", F.to_json("r").alias("text"), "item", (F.col("event_type") == "view").alias("is_view"), values.is_json_object(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("["), "props", F.lit("]"))).when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("object"), values.is_empty(user).alias("no_user"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.summaries import with_ts
+
 
 def to_topic(df: DataFrame) -> DataFrame:
     """One JSON text for each row."""
@@ -35,72 +35,95 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str], value: str
     return last.filter(F.col(f"last.{value}").isNotNull()).select(*keys, "last.*")
 
 
-def dim_upsert(current: DataFrame, rows: DataFrame, pk: str, order: str, apply_deletes: bool = False) -> DataFrame:
+def to_files(df: DataFrame, path: str, checkpoint: str):
+    """A writer of a stream of `value` (and `topic`, whose folders they go to) as text, the file form of a topic: read_topic_files() reads it."""
+    out = df.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return out.partitionBy("topic") if "topic" in df.columns else out
+
+
+def to_kafka(df: DataFrame, servers: str, checkpoint: str, topic: str | None = None):
+    """The same for Kafka; without a topic each row names its own."""
+    return df.writeStream.format("kafka").options(**kafka_sink_options(servers, topic)).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def dim_upsert(current: DataFrame, rows: DataFrame, pk: str, order: list[str], apply_deletes: bool = False) -> DataFrame:
     """A dimension table after rows (type, data map, order) are put into it: the latest of each key. A delete puts its row as well,
-    unless apply_deletes."""
+    unless apply_deletes. Rows without a key are left out."""
     columns = [c for c in current.columns]
-    new = rows.select(*[F.col("data")[c].alias(c) for c in columns], F.col("type").alias("_type"), F.col(order).cast("long").alias("_seq"))
-    every = current.select(*columns, F.lit(None).cast("string").alias("_type"), F.lit(-1).cast("long").alias("_seq")).unionByName(new)
-    last = every.groupBy(pk).agg(F.max_by(F.struct(*[c for c in columns if c != pk], "_type"), "_seq").alias("r"))
+    seq = F.struct(*[F.col(c).cast("long") for c in order])
+    new = rows.select(*[F.col("data")[c].alias(c) for c in columns], F.col("type").alias("_type"), seq.alias("_seq")).filter(F.col(pk).isNotNull())
+    every = current.select(*columns, F.lit(None).cast("string").alias("_type"), F.lit(None).cast(new.schema["_seq"].dataType).alias("_seq")).unionByName(new)
+    rank = F.struct(F.col("_seq").isNotNull(), "_seq")  # what is in the table comes before all
+    last = every.groupBy(pk).agg(F.max_by(F.struct(*[c for c in columns if c != pk], "_type"), rank).alias("r"))
     if apply_deletes:
         last = last.filter(~F.coalesce(F.col("r._type") == "delete", F.lit(False)))
     return last.select(*[F.col(pk) if c == pk else F.col(f"r.{c}") for c in columns])
 
 
 class DimensionTables:
-    """Dimension tables as versioned folders of Parquet under a path; a text file names each table's version."""
+    """Dimension tables as Parquet under a path, in BUCKETS folders by the key's hash: an upsert rewrites only the folders that its
+    keys fall into (Spark's dynamic overwrite, which puts the new files in place when the job commits). A table's columns are those of
+    an empty file beside it."""
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), jvm.org.apache.hadoop.fs.Path
-
-    def _version(self, table: str) -> str | None:
-        fs, path = self._fs()
-        marks = fs.globStatus(path(f"{self.path}/{table}/current-*"))
-        names = sorted(m.getPath().getName() for m in marks or ())
-        return names[-1].rpartition("-")[2] if names else None
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
     def create(self, table: str, columns: str, pk: str | None = None) -> None:
         """All columns text, from a comma list; nothing happens if the table is there. The key, `id` by default, must be a column."""
         names, pk = columns.split(","), pk or "id"
         if pk not in names:
             raise ValueError(f"{pk} is no column of {table}")
-        if self._version(table) is None:
-            self._switch(table, self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)))
-
-    def _switch(self, table: str, rows: DataFrame) -> None:
-        fs, path = self._fs()
-        before, version = self._version(table), uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{table}/{version}")
-        number = int(fs.globStatus(path(f"{self.path}/{table}/current-*"))[0].getPath().getName().split("-")[1]) + 1 if before else 0
-        fs.create(path(f"{self.path}/{table}/current-{number:012d}-{version}")).close()
-        if before:
-            fs.delete(path(f"{self.path}/{table}/current-{number - 1:012d}-{before}"), False)
+        if not self._there(f"{self.path}/columns/{table}"):
+            self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)).write.parquet(f"{self.path}/columns/{table}")
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}/{self._version(table)}")
-
-    def upsert(self, table: str, rows: DataFrame, pk: str = "id", order: str = "seq", apply_deletes: bool = False) -> None:
-        self._switch(table, dim_upsert(self.read(table), rows, pk, order, apply_deletes))
+    def _rows(self, table: str) -> DataFrame:
+        columns = self.spark.read.parquet(f"{self.path}/columns/{table}")
+        if not self._there(f"{self.path}/rows/{table}"):
+            return columns.withColumns({"_gone": F.lit(False), "_bucket": F.lit(0)})
+        schema = ", ".join([*(f"`{c}` string" for c in columns.columns), "_gone boolean", "_bucket int"])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows/{table}")
 
-    def upsert_batch(self, batch: DataFrame, _: int, config: DataFrame) -> None:
-        """For foreachBatch of routed changes: one small job for each table of the configuration."""
-        batch.persist()
+    def read(self, table: str) -> DataFrame:
+        return self._rows(table).filter("not _gone").drop("_gone", "_bucket")
+
+    def upsert(self, table: str, rows: DataFrame, pk: str = "id", order: tuple[str, ...] = ("ts", "offset"), apply_deletes: bool = False) -> None:
+        bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(self.BUCKETS)).cast("int")
+        touched = sorted(r[0] for r in rows.select(bucket(F.col("data")[pk]).alias("b")).distinct().collect())  # BUCKETS at most
+        before = self._rows(table).filter(F.col("_bucket").isin(touched) & ~F.col("_gone")).drop("_gone", "_bucket")
+        after = dim_upsert(before, rows, pk, list(order), apply_deletes).withColumn("_gone", F.lit(False))
+        if apply_deletes:  # a mark keeps a folder that is left without rows from being passed over
+            marks = self.spark.createDataFrame([(b,) for b in touched], "_bucket int").select(*[F.lit(None).cast("string").alias(c) for c in before.columns], F.lit(True).alias("_gone"), "_bucket")
+            after = after.withColumn("_bucket", bucket(F.col(pk))).unionByName(marks)
+        else:
+            after = after.withColumn("_bucket", bucket(F.col(pk)))
+        after.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows/{table}")
+
+    def upsert_batch(self, batch: DataFrame, _: int, config: DataFrame, apply_deletes: bool = False) -> None:
+        """For foreachBatch of routed changes: one small job for each table of the configuration. A batch that comes again changes nothing.
+        Changes of one second count in the topic's order, or in that of the rows where there are no offsets (files)."""
+        batch = batch if "offset" in batch.columns else batch.withColumn("offset", F.monotonically_increasing_id())
+        batch = batch.persist()
         for c in config.select("sink_table", "sink_columns", "sink_pk").distinct().collect():  # the configuration, not data
             self.create(c["sink_table"], c["sink_columns"], c["sink_pk"])
-            self.upsert(c["sink_table"], batch.filter(F.col("sink_table") == c["sink_table"]), c["sink_pk"] or "id")
+            self.upsert(c["sink_table"], batch.filter(F.col("sink_table") == c["sink_table"]), c["sink_pk"] or "id", apply_deletes=apply_deletes)
         batch.unpersist()
 
 
-def write_summary(df: DataFrame, columns: list[str], path: str) -> None:
-    """For foreachBatch of summaries: the sink's columns in its order, appended."""
-    df.select(*columns).write.mode("append").parquet(path)
+def write_summary(df: DataFrame, batch: int, columns: list[str], path: str) -> None:
+    """For foreachBatch of summaries: the sink's columns in its order, with the time of writing. A batch that comes again replaces itself."""
+    with_ts(df).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def jdbc_summary_options(url: str, table: str, batch_size: int = 10_000) -> dict[str, str]:
-    return {"url": url, "dbtable": table, "batchsize": str(batch_size), "isolationLevel": "NONE"}
+def write_summary_jdbc(df: DataFrame, batch: int, columns: list[str], options: dict[str, str]) -> None:
+    """The same into a table of a database."""
+    with_ts(df).select(*columns).write.format("jdbc").options(**options).mode("append").save()
 
 
+def jdbc_summary_options(url: str, table: str, batch_size: int = 10_000) -> dict[str, str]:
+    return {"url": url, "dbtable": table, "batchsize": str(batch_size), "isolationLevel": "NONE"}

@@ -14,18 +14,23 @@ def kafka_options(servers: str, topic: str, group: str, start: str = "latest") -
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, group: str, start: str = "latest") -> DataFrame:
-    """A stream of `value`; a null stays null."""
-    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, group, start)).load().selectExpr("cast(value as string) as value")
+    """A stream of `value` and its `offset`; a null stays null."""
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, group, start)).load().selectExpr("cast(value as string) as value", "offset")
 
 
 def read_topic_files(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """The same from text files, oldest first: for tests and for replays."""
+    """The same from text files, oldest first, without offsets: for tests and for replays."""
     return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
+def _parsed(raw: DataFrame, schema: str) -> DataFrame:
+    """The record's fields, and all columns beside `value` (a topic's offset, say)."""
+    return raw.select(F.from_json("value", schema).alias("_r"), *[c for c in raw.columns if c != "value"]).select("_r.*", *[c for c in raw.columns if c != "value"])
+
+
 def parse_changes(raw: DataFrame) -> DataFrame:
     """database, table, type, ts, data, old."""
-    return raw.select(F.from_json("value", CHANGE).alias("r")).select("r.*")
+    return _parsed(raw, CHANGE)
 
 
 def with_row_time(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -34,7 +39,7 @@ def with_row_time(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def parse_log(raw: DataFrame) -> DataFrame:
-    return raw.select(F.from_json("value", LOG).alias("r")).select("r.*")
+    return _parsed(raw, LOG)
 
 
 def parse_page_log(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -44,9 +49,9 @@ def parse_page_log(raw: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 def parse_rows(raw: DataFrame, schema: str) -> DataFrame:
     """A fact topic read back as a table."""
-    return raw.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return _parsed(raw, schema)
 
 
 def parse_config_changes(raw: DataFrame) -> DataFrame:
     """op, before, after of the configuration table's change stream."""
-    return raw.select(F.from_json("value", CONFIG_CHANGE).alias("r")).select("r.*")
+    return _parsed(raw, CONFIG_CHANGE)

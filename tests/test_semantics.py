@@ -110,17 +110,36 @@ def test_dimension_tables(spark, tmp_path):
     tables = sinks.DimensionTables(spark, str(tmp_path))
     tables.create("d", "id,name")
     tables.create("d", "id,other")
+    assert tables.read("d").columns == ["id", "name"] and tables.read("d").count() == 0
     row = lambda i, n, kind, seq: (kind, {"id": i, "name": n, "more": "x"}, seq)
     put = lambda *r: spark.createDataFrame(list(r), "type string, data map<string,string>, seq int")
-    tables.upsert("d", put(row("1", "a", "insert", 1), row("1", "b", "update", 2), row("2", "c", "insert", 3)))
-    tables.upsert("d", put(row("2", "c", "delete", 4)))
+    some = lambda **how: tables.upsert("d", put(row("2", "c", "delete", 4)), order=("seq",), **how)
+    tables.upsert("d", put(row("1", "a", "insert", 1), row("1", "b", "update", 2), row("2", "c", "insert", 3), row(None, "c", "insert", 3)), order=("seq",))
+    some()
     assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b"), ("2", "c")}
-    tables.upsert("d", put(row("2", "c", "delete", 5)), apply_deletes=True)
-    assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b")}
+    for _ in range(2):
+        some(apply_deletes=True)
+        assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b")}
+    tables.upsert("d", put(row("2", "again", "insert", 1), row("3", "d", "insert", 1)), order=("seq",))
+    assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b"), ("2", "again"), ("3", "d")}
     with pytest.raises(ValueError, match="no column"):
         tables.create("e", "name")
 
 
+def test_database_source_and_sink(spark):
+    """Over the database that comes with Spark."""
+    options = {"url": "jdbc:derby:memory:shop;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.createDataFrame([("1101", "card"), ("1102", "cash")], "dic_code string, dic_name string").write.format("jdbc").options(dbtable="base_dic", **options).save()
+    dictionary = config.read_jdbc(spark, options["url"], "base_dic", driver=options["driver"])
+    rows = spark.createDataFrame([("1101", 1), ("9", 2)], "payment_type string, n int")
+    assert [tuple(r) for r in joins.decode(rows, "payment_type", dictionary, "name").collect()] == [("1101", 1, "card")]
+    summary = spark.createDataFrame([("a", 5, "inner")], "stt string, n int, not_for_the_sink string")
+    for batch in (0, 1):
+        sinks.write_summary_jdbc(summary, batch, ["stt", "n", "ts"], sinks.jdbc_summary_options(options["url"], "summary") | {"driver": options["driver"]})
+    got = config.read_jdbc(spark, options["url"], "summary", driver=options["driver"]).collect()
+    assert [(r.STT if hasattr(r, "STT") else r.stt, r.n) for r in got] == [("a", 5)] * 2 and all(r.ts > 1_700_000_000_000 for r in got)
+
+
 def test_topic_forms(spark):
     df = spark.createDataFrame([("1", "n", "t")], "id string, name string, sink_table string")
     assert sinks.to_keyed_topic(df, ["id"]).first().key == '{"id":"1"}'

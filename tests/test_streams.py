@@ -1,16 +1,21 @@
 """Streams give what batches give, for all windows that the watermark has closed."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import joins, keyed, summaries
+from millrace import sinks
+from millrace.operators import etl, facts, joins, keyed, summaries
 from millrace.plans.fixtures import ARRIVAL, Inputs
-from millrace.sources.topics import parse_changes, read_topic_files
+from millrace.schemas import CONFIG, ORDER_DETAIL
+from millrace.sinks import to_files, to_topic
+from millrace.sources.topics import parse_changes, parse_page_log, parse_rows, read_topic_files, with_row_time
 from millrace.streaming import keyed as stream_keyed
+from millrace.streaming import log
 from millrace.streaming import summaries as streams
 
 SF = "/root/testdata/sf0.001"
@@ -64,7 +69,8 @@ def test_page_views(spark, pages, tmp_path):
 
 
 def test_keywords_need_no_state_of_their_own(spark, tmp_path):
-    searches = Inputs(spark, SF).searches
+    log = parse_page_log(Inputs(spark, SF).search_log)
+    searches = etl.searches(log.select(F.col("page.last_page_id").alias("last_page_id"), F.col("page.item_type").alias("item_type"), F.col("page.item").alias("item"), F.col("row_time").alias("time")))
     same(run(streams.keywords(replay(spark, searches, f"{tmp_path}/in")), tmp_path), summaries.keywords(searches))
 
 
@@ -163,6 +169,131 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got == {"00": 1, "20": 3}  # "4" comes after its window has closed
 
 
+def lines_of(spark, path, *files):
+    """Text files, one a micro-batch, in this order."""
+    import os
+    import pathlib
+
+    pathlib.Path(path).mkdir(parents=True, exist_ok=True)
+    for i, rows in enumerate(files):
+        at = pathlib.Path(path, f"{i:03d}.txt")
+        at.write_text("".join(r + "\n" for r in rows))
+        os.utime(at, (1_700_000_000 + i, 1_700_000_000 + i))
+    return read_topic_files(spark, path)
+
+
+def change(table, kind, ts, old=None, **data):
+    return json.dumps({"database": "shop", "table": table, "type": kind, "ts": str(ts), "data": data} | ({"old": old} if old else {}))
+
+
+def order_events(o, ts, gap=2):
+    """An order of two lines; the first has an activity, and a coupon if its number is even."""
+    out = [(ts, change("order_info", "insert", ts, id=o, user_id=f"u{o}", province_id="1"))]
+    for n in (1, 2):
+        line = f"{o}-{n}"
+        at = ts + n % 2 * gap
+        out.append((at, change("order_detail", "insert", at, id=line, order_id=o, sku_id=f"s{n}", sku_name="x", create_time="2024-01-01 00:00:00", sku_num="2", order_price="3.50", split_total_amount="7.00")))
+        if n == 1:
+            out.append((at + 1, change("order_detail_activity", "insert", at + 1, order_detail_id=line, activity_id="a", activity_rule_id="r")))
+            out += [(at + 3, change("order_detail_coupon", "insert", at + 3, order_detail_id=line, coupon_id="c"))] if int(o) % 2 == 0 else []
+    return out
+
+
+def in_files(events, n=4):
+    events = [e for _, e in sorted(events)]
+    size = -(-len(events) // n)
+    return [events[i : i + size] for i in range(0, len(events), size)]
+
+
+def closing(table="other", at=2_000_000_000):
+    return [[change(t, "insert", at + i, id="end", order_id="end", order_detail_id="end") for t in ("order_info", "order_detail", "order_detail_activity", "order_detail_coupon")] for i in (0, 1)]
+
+
+def facts_of(stream, batch, tmp_path, drop=("row_time", "row_op_ts")):
+    pick = lambda df: sorted(repr(tuple(r)) for r in df.filter("order_id <> 'end'").drop(*drop).collect())
+    got, want = pick(run(stream, tmp_path)), pick(batch)
+    assert got == want and want
+    return got
+
+
+def test_order_details(spark, tmp_path):
+    """As a batch, for events that lie close; an activity that comes later than is kept for is left out, an order drops its lines."""
+    T = 1_704_067_200
+    events = [e for o in range(1, 21) for e in order_events(str(o), T + 60 * o)]
+    late = [(T + 60 + 300, change("order_detail_activity", "insert", T + 360, order_detail_id="1-2", activity_id="late", activity_rule_id="r")), *order_events("77", T + 5000, gap=60)]
+    files = [*in_files(events + late), *closing()]
+    raw = with_row_time(parse_changes(lines_of(spark, f"{tmp_path}/in", *files)))
+    near = spark.createDataFrame([(e,) for _, e in events] + [(e,) for _, e in late[1:] if '"77-1"' not in e], "value string")
+    got = facts_of(facts.order_detail(raw, keep=facts.KEEP), facts.order_detail(parse_changes(near)), tmp_path)
+    assert len(got) == 41
+
+
+def test_cancelled_details_refunds_and_payments(spark, tmp_path):
+    T = 1_704_067_200
+    dictionary = spark.createDataFrame([("1", "one"), ("2", "two")], "dic_code string, dic_name string")
+    events = [e for o in range(1, 13) for e in order_events(str(o), T + 60 * o)]
+    for o in range(1, 13):
+        at = T + 60 * o
+        events.append((at + 600, change("order_info", "update", at + 600, {"order_status": "1001"}, id=str(o), user_id="u", province_id="1", order_status="1003", operate_time="2024-01-02 03:04:05")))
+        events.append((at + 30, change("payment_info", "update", at + 30, user_id="u", order_id=str(o), payment_type=str(o % 3), callback_time="x")))
+        for status, table, kind in (("1005", "order_refund_info", "insert"), ("1006", "refund_payment", "update")):
+            when = at + (700 if status == "1005" else 704)
+            events.append((when, change("order_info", "update", when, {"order_status": "1"}, id=str(o), user_id="u", province_id="1", order_status=status)))
+            events.append((when + 2, change(table, kind, when + 2, id=f"r{o}", order_id=str(o), user_id="u", sku_id="s1", refund_type="1", refund_reason_type=str(1 + o % 3), refund_num="1", payment_type="2", callback_time="2024-01-02 03:04:05", create_time="2024-01-02 03:04:05", total_amount="7.00")))
+    batch = parse_changes(spark.createDataFrame([(e,) for _, e in events], "value string"))
+    end = [[change(t, "update", 2_000_000_000 + i, {"order_status": "0"}, id="end", order_id="end", order_status=s) for t, s in (("order_info", "1003"), ("order_info", "1005"), ("order_info", "1006"))] + f for i, f in enumerate(closing())]
+    raw = with_row_time(parse_changes(lines_of(spark, f"{tmp_path}/in", *in_files(events), *end)))
+    facts_of(facts.cancel_detail(raw, keep=facts.KEEP_CANCELLED), facts.cancel_detail(batch), tmp_path / "cancel")
+    facts_of(facts.refund(raw, dictionary, keep=facts.KEEP), facts.refund(batch, dictionary), tmp_path / "refund")
+    facts_of(facts.refund_paid(raw, dictionary, keep=facts.KEEP), facts.refund_paid(batch, dictionary), tmp_path / "paid")
+    # payments meet the order details that were written to their topic, as text
+    details = facts.order_detail(batch)
+    topic = [r.value for r in to_topic(details.orderBy("ts")).collect()]
+    stream = with_row_time(parse_rows(etl.non_empty(lines_of(spark, f"{tmp_path}/topic", topic[:9], ["", *topic[9:]])), ORDER_DETAIL).drop("offset"))
+    facts_of(facts.payment(raw, stream, dictionary), facts.payment(batch, details, dictionary), tmp_path / "payment")
+
+
+def test_log_job(spark, tmp_path):
+    """Dirty records and the five topics, from text to text."""
+    rows = [r.value for r in Inputs(spark, SF).topic_log.filter("value is not null").orderBy(F.coalesce(F.get_json_object(F.when(F.col("value").startswith("{"), F.col("value")), "$.ts"), F.lit("0")).cast("long")).limit(400).collect()]
+    raw = lines_of(spark, f"{tmp_path}/in", rows[:150], rows[150:300], rows[300:])
+    read = lambda path: {(r.topic, r.value) for r in spark.read.text(path).select("topic", "value").collect()}
+    to_files(log.dirty_topic(raw), f"{tmp_path}/dirty", f"{tmp_path}/cp1").trigger(availableNow=True).start().awaitTermination()
+    q = log.repaired_log(raw, stream_keyed.repair_is_new).writeStream.foreachBatch(lambda b, i: log.write_log_topics(b, i, f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = spark.createDataFrame([(r,) for r in rows], "value string")
+    want = {(r.topic, r.value) for r in log.log_topics(log.repaired_log(batch, keyed.repair_is_new)).collect()}
+    assert read(f"{tmp_path}/out") == want and len({t for t, _ in want}) == 5
+    assert read(f"{tmp_path}/dirty") == {("topic_dirty", r) for r in rows if r in ("nope", "123", "[1]")}
+
+
+def test_dimension_job(spark, tmp_path):
+    """Topic text to routed dimension tables, over several micro-batches."""
+    config = spark.createDataFrame([("sku_info", "", "dim_sku", "dim", "id,name", "id", None), ("spu_info", "", "dim_spu", "dim", "code,name", "code", None)], CONFIG)
+    files = [
+        [change("sku_info", "bootstrap-start", 1), change("sku_info", "insert", 1, id="1", name="a", more="x"), change("sku_info", "update", 1, id="1", name="b"), change("spu_info", "insert", 1, code="c", name="s")],
+        ["nope", "", change("sku_info", "update", 2, id="1", name="c"), change("sku_info", "insert", 2, id="2", name="z"), change("other", "insert", 2, id="9")], [change("sku_info", "delete", 3, id="2", name="z")],
+    ]
+    for deletes, want in ((False, {("1", "c"), ("2", "z")}), (True, {("1", "c")})):
+        tables = sinks.DimensionTables(spark, f"{tmp_path}/dims{deletes}")
+        routed = etl.route_dim(etl.dim_etl(lines_of(spark, f"{tmp_path}/in{deletes}", *files)), config)
+        routed.writeStream.foreachBatch(lambda b, i, t=tables, d=deletes: t.upsert_batch(b, i, config, d)).option("checkpointLocation", f"{tmp_path}/cp{deletes}").trigger(availableNow=True).start().awaitTermination()
+        assert {tuple(r) for r in tables.read("dim_sku").collect()} == want and [tuple(r) for r in tables.read("dim_spu").collect()] == [("c", "s")]
+
+
+def test_summary_sink_and_routed_topics(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "stt string, n int")
+    for batch in (0, 1, 1):
+        sinks.write_summary(rows, batch, ["stt", "n", "ts"], f"{tmp_path}/summary")
+    got = spark.read.parquet(f"{tmp_path}/summary").collect()
+    assert [(r.stt, r.n, r.batch) for r in sorted(got, key=lambda r: r.batch)] == [("a", 1, 0), ("a", 1, 1)] and all(r.ts > 1_700_000_000_000 for r in got)
+    config = spark.createDataFrame([("user_info", "insert", "dwd_user_register", "dwd", "id,create_time", "", None)], CONFIG)
+    raw = lines_of(spark, f"{tmp_path}/in", [change("user_info", "insert", 1, id="1", create_time="5", phone="x"), change("user_info", "update", 1, id="2")], [change("user_info", "bootstrap-insert", 1, id="3")])
+    routed = sinks.route_topics(etl.route_fact(etl.fact_etl(raw), config))
+    to_files(routed, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.topic, json.loads(r.value)) for r in spark.read.text(f"{tmp_path}/out").collect()] == [("topic_dwd_user_register", {"data": {"id": "1", "create_time": "5"}, "ts": "1"})]
+
+
 def test_topic_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text('{"table":"t","type":"insert","ts":"1","data":{"id":"1"}}\nnope\n')

@@ -62,25 +62,31 @@ def quotas(counts: dict, sample: int) -> dict:
     return out
 
 
-def sample_by_class(rows: DataFrame, col: str, sample: int) -> tuple[DataFrame, dict, dict]:
-    """(doc_id, col) of quotas() of rows of each class (those with the smallest hash of their ids), for broadcast; each class's number
+def sample_by_class(rows: DataFrame, col: str, sample: int, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, dict, dict]:
+    """(keys, col) of quotas() of rows of each class (those with the smallest hash of their keys), for broadcast; each class's number
     of rows, and of those taken. The driver gets about twice the sample."""
-    spark, rows = rows.sparkSession, rows.select("doc_id", col)
+    spark, rows = rows.sparkSession, rows.select(*keys, col)
     counts = {r[col]: r["count"] for r in rows.groupBy(col).count().collect()}
     quota = quotas(counts, sample)
     # shares of 2^53 under which about twice the quota lies
     under = [(c, min(1.0, (2 * quota[c] + 50) / n)) for c, n in counts.items()]
     under = spark.createDataFrame(under, StructType([rows.schema[col], StructField("under", DoubleType())]))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 11)
     got = rows.join(F.broadcast(under), col).withColumn("place", place).filter(F.col("place") < F.col("under") * F.lit(float(1 << 53)))
     taken, chosen = dict.fromkeys(counts, 0), []
-    for r in sorted(got.select("doc_id", col, "place").collect(), key=lambda r: (r["place"], str(r["doc_id"]))):
+    for r in sorted(got.select(*keys, col, "place").distinct().collect(), key=lambda r: (r["place"], *(str(r[k]) for k in keys))):
         if taken[r[col]] < quota[r[col]]:
             taken[r[col]] += 1
-            chosen.append((r["doc_id"], r[col]))
+            chosen.append((*(r[k] for k in keys), r[col]))
     return spark.createDataFrame(chosen, rows.schema), counts, taken
 
 
+def first_rows(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows with a chosen key, one for each (the one whose text has the smallest hash), so that repeated rows bring one text."""
+    got = rows.join(F.broadcast(chosen), keys)
+    return got.groupBy(*chosen.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

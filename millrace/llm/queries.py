@@ -9,8 +9,8 @@ from millrace.llm.minhash import OP5_SQL, op5_minhash_groups
 from millrace.llm.mixing import OP9_SQL, op9_mix_sources
 from millrace.llm.packing import op10_pack_grouping
 from millrace.llm.pseudo_lm import op6_pseudo_likelihood
-from millrace.llm.sharding import op8_shard_slots
-from millrace.llm.suffixes import op3_suffix_repeats
+from millrace.llm.sharding import OP8_SQL, op8_shard_slots
+from millrace.llm.suffixes import OP3_SQL, op3_suffix_repeats
 from millrace.llm.toxicity import op4_toxicity_fm
 
 QUERIES = {
@@ -28,7 +28,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_merkle_fingerprints": OP1_SQL,
+    "op3_suffix_repeats": OP3_SQL,
     "op5_minhash_groups": OP5_SQL,
     "op7_multi_index_search": OP7_SQL,
+    "op8_shard_slots": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
 }

@@ -23,7 +23,9 @@ SLOTS = 4096
 
 
 def virtual_slot(*keys: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
+    """From the first 32 bits of the keys' MD5, which any system can make; a null key counts as empty text."""
+    text = F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,3 +107,25 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
 
 def op8_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+OP8_SQL = """
+with recursive bits as (
+  select doc_id, coalesce(text, '') as text, flatten(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: list_transform(range(8), lambda i: (cast('0x' || h as bigint) >> i) & 1))) as bits from documents),
+records as (
+  select doc_id, octet_length(encode(text)) + 1 as size, xor(4294967295, list_reduce(list_prepend(4294967295, bits), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))) as text_crc32 from bits),
+slotted as materialized (
+  select *, cast(cast('0x' || substring(md5(doc_id || ':' || text_crc32), 1, 8) as bigint) % 4096 as integer) as virtual_slot from records),
+loads as materialized (
+  select s.slot, coalesce(b, 0) as b, coalesce(n, 0) as n, row_number() over (order by coalesce(b, 0) desc, s.slot) as turn
+  from (select unnest(range(4096)) as slot) s left join (select virtual_slot as slot, cast(sum(size) as bigint) as b, count(*) as n from slotted group by all) using (slot)),
+dealt(turn, slot, n, shard, totals) as (
+  select cast(0 as bigint), cast(-1 as bigint), cast(0 as bigint), 0, list_transform(range(8), lambda i: cast(0 as bigint))
+  union all
+  select l.turn, l.slot, l.n, cast(list_position(totals, list_min(totals)) - 1 as integer), list_transform(totals, lambda t, i: case when i = list_position(totals, list_min(totals)) then t + l.b else t end)
+  from dealt d join loads l on l.turn = d.turn + 1),
+places as (select slot, shard, sum(n) over (partition by shard order by slot) - n as before from dealt where slot >= 0)
+select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard, cast(before + row_number() over (partition by virtual_slot order by doc_id, text_crc32, size) - 1 as bigint) as slot,
+       cast(null as integer) as grown_shard, virtual_slot, 1 as map_version
+from slotted join places on slot = virtual_slot
+"""

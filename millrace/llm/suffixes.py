@@ -271,3 +271,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+with docs as (select doc_id, encode(coalesce(text, '')) as t from documents),
+starts as (select doc_id, t[p:p + 99] as string, p from (select doc_id, t, unnest(range(1, octet_length(t) - 98)) as p from docs)),
+late as (select doc_id, p from starts qualify row_number() over (partition by string order by doc_id, p) > 1),
+edges as (select doc_id, p, cast(coalesce(p - lag(p) over (partition by doc_id order by p) > 100, true) as int) as edge from late),
+runs as (select doc_id, min(p) as a, max(p) + 99 as b from (select *, sum(edge) over (partition by doc_id order by p) as run from edges) group by doc_id, run),
+gaps as (
+  select r.doc_id, a, hex(t[coalesce(lag(b) over w, 0) + 1:a - 1]) as kept, b - a + 1 as n, case when lead(b) over w is null then hex(t[b + 1:octet_length(t)]) else '' end as tail
+  from runs r join docs using (doc_id) window w as (partition by r.doc_id order by a)),
+cut as (select doc_id, cast(sum(n) as bigint) as n, count(*) as spans, unhex(string_agg(kept || tail, '' order by a)) as kept from gaps group by doc_id)
+select doc_id, octet_length(t) as n_bytes, coalesce(n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(coalesce(kept, t)) as kept_sha256 from docs left join cut using (doc_id)
+"""

@@ -8,8 +8,8 @@ documents bounded by `sample`, half of them of each label (those with the smalle
 weighted by their label's share of all labelled ones; everything else reads all rows whole.
 
 The driver holds the sample's bucket numbers and the model (BUCKETS * (RANK + 1) floats), whatever the input's size. Null and
-empty texts have no terms and get the bias's score; a null label is no label; of several labels of one id the largest holds;
-repeated rows each get a row. Without a label the score is 0.
+empty texts have no terms and get the bias's score; a null label, or one that is neither a number nor a boolean, is no label; of
+several labels of one id the largest holds (above 0: toxic), of several texts of one id one is learned from; repeated rows each get a row. Without a label the score is 0.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, sample_by_class, table
+from millrace.llm.common import crc_mod, first_rows, sample_by_class, table
 from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_hash, words
 
 BUCKETS, RANK = 1 << 18, 4
@@ -137,9 +137,10 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Machine | None:
     """Learns from at most `sample` labelled documents for which `usable` (over doc_id) holds."""
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    toxic = F.when(F.col("toxic").cast("string").try_cast("double").isNotNull(), F.col("toxic").cast("string").try_cast("double") > 0).otherwise(F.col("toxic").cast("string").try_cast("boolean")).cast("int")
+    chosen = labels.filter(F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(toxic).alias("label")).filter("label is not null")
     chosen, counts, taken = sample_by_class(chosen, "label", sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = first_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), chosen, ["doc_id"]).select("label", "text")
     got = rows.mapInArrow(_features, "label int, x binary").toArrow()
     share = len(got) and sum(taken.values()) / sum(counts.values())
     weight = tuple(share * sum(n for c, n in counts.items() if (c > 0) == side) / max(1, sum(n for c, n in taken.items() if (c > 0) == side)) for side in (False, True))

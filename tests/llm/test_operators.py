@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bwt, components, hamming, langid, merkle, minhash, mixing, packing, pseudo_lm, sharding, suffixes, textbytes, toxicity
+from millrace.llm import bwt, common, components, hamming, langid, merkle, minhash, mixing, packing, pseudo_lm, sharding, suffixes, textbytes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,8 +278,8 @@ def late_ids(spark, n, last):
 
 
 def test_rare_languages_are_learned(spark):
-    common, rare = late_ids(spark, 400, 3)
-    df = spark.createDataFrame([(i, "the cat and the dog", "en") for i in common] + [(i, "zuk zok zak zyk", "zz") for i in rare], "doc_id long, text string, lang string")
+    usual, rare = late_ids(spark, 400, 3)
+    df = spark.createDataFrame([(i, f"the cat and the dog {i}", "en") for i in usual] + [(i, "zuk zok zak zyk", "zz") for i in rare], "doc_id long, text string, lang string")
     assert langid.SAMPLE >= 1500
     field = langid.fit_languages(df, F.lit(True), sample=40)
     assert field.languages == ["en", "zz"]
@@ -442,23 +442,26 @@ def test_slot_map_versions(spark, tmp_path):
     assert {r.shard for r in sharding.load_map(spark, str(tmp_path), 1).collect()} == {0}
 
 
-def test_mix_by_hand(docs, texts):
-    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    source = {d: [None, "s1", "s2", "s3", "S"][d % 5] for d in texts}
-    size = {d: len(WORD.findall(t)) for d, t in texts.items()}
-    names = ["S", "s1", "s2", "s3", None]
-    weight = dict(zip(names, [5, 2, 1, 5, 2], strict=True))
-    total = {s: sum(size[d] for d in texts if source[d] == s) for s in names}
-    target, full = {}, set()
+def targets_by_hand(total):
+    names = sorted((n for n in total if n is not None), key=lambda n: n) + ([None] if None in total else [])
+    weight, full = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}, set()
     while True:  # clamp what is above its cap, share the rest again
         left = 1.5 * sum(total.values()) - sum(2 * total[s] for s in full)
         rest = [s for s in names if s not in full]
         target = {s: 2.0 * total[s] if s in full else left * weight[s] / sum(weight[x] for x in rest) for s in names}
         over = {s for s in rest if target[s] > 2 * total[s]}
         if not over:
-            break
+            return target
         full |= over
-    for s in names:
+
+
+def test_mix_by_hand(docs, texts):
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    source = {d: [None, "s1", "s2", "s3", "S"][d % 5] for d in texts}
+    size = {d: len(WORD.findall(t)) for d, t in texts.items()}
+    total = {s: sum(size[d] for d in texts if source[d] == s) for s in source.values()}
+    target = targets_by_hand(total)
+    for s in total:
         rows = [got[d] for d in texts if source[d] == s]
         assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == total[s] for r in rows)
         assert abs(sum(r.taken for r in rows) - target[s]) <= 0.5
@@ -588,3 +591,101 @@ def test_chunks_of_one_hash_are_told_apart(monkeypatch):
         data = text.encode()
         ids, _ = chunks.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
         assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_scores_by_hand(texts):
+    """Bias, weights and all pairs of a text's terms, one by one."""
+    rng, model = np.random.default_rng(1), toxicity.Machine()
+    model.bias, model.w, model.v = np.float32(-0.3), rng.normal(0, 0.2, toxicity.BUCKETS).astype(np.float32), rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.RANK)).astype(np.float32)
+
+    def bucket(term, times=1):
+        one = np.frombuffer(term, np.uint8)
+        return (int(textbytes.range_hash(textbytes.prefix(one), np.array([0]), np.array([len(one)]))[0]) * times % (1 << 64)) >> (64 - 18)
+
+    batch = pa.RecordBatch.from_pydict({"text": list(texts.values())})
+    got = np.concatenate([model.score(bounds, x) for _, bounds, x in toxicity.term_buckets(batch)])
+    for text, score in zip(texts.values(), got, strict=True):
+        terms = re.findall(rb"[A-Za-z0-9\x80-\xff]+", text.encode().lower())
+        of = {bucket(t) for t in terms} | {bucket(t[:n], 2 * n + 1) for t in terms for n in toxicity.STEMS if len(t) > n}
+        z = model.bias + sum(float(model.w[x]) for x in of) + sum(float(model.v[x] @ model.v[y]) for x in of for y in of if x < y)
+        assert np.isclose(score, 1 / (1 + np.exp(-z)), rtol=1e-3, atol=1e-5)
+
+
+def test_labels_of_other_types(spark):
+    docs = spark.createDataFrame([(i, f"good {i % 5} bad" if i % 2 else "fine day") for i in range(60)], "doc_id long, text string")
+    for kind in ("long", "boolean", "double", "string"):
+        labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").cast(kind if kind != "string" else "int").cast(kind).alias("toxic"))
+        assert {r.predicted for r in toxicity.score_documents(docs, labels).filter("doc_id % 2 = 1").collect()} == {1}
+
+
+def test_samples_are_bounded_whatever_ids_repeat(spark):
+    """An id that many rows share doesn't bring them all to the driver."""
+    docs = spark.createDataFrame([(7, f"many words of one kind {i}", "en") for i in range(500)] + [(i, "peu de mots", "fr") for i in range(100, 120)], "doc_id long, text string, lang string")
+    assert langid.fit_languages(docs, F.lit(True), sample=30).languages == ["en", "fr"]
+    labels = spark.createDataFrame([(7, 1)] + [(i, 0) for i in range(100, 120)], "doc_id long, label int")
+    chosen, _, _ = common.sample_by_class(labels, "label", 30)
+    assert common.first_rows(docs.select("doc_id", "text"), chosen, ["doc_id"]).count() == 21
+
+
+def cut_by_hand(rows):
+    """Texts without what lies in a string of 100 bytes that also starts earlier; characters covered in part stay."""
+    first, out = {}, {}
+    data = sorted((d, t.encode()) for d, t in rows)
+    for d, t in data:
+        for p in range(len(t) - 99):
+            first.setdefault(t[p : p + 100], (d, p))
+    for d, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if first[t[p : p + 100]] != (d, p):
+                gone[p : p + 100] = b"\1" * 100
+        kept, at = [], 0
+        for c in t.decode():
+            n = len(c.encode())
+            kept += [c] if not all(gone[at : at + n]) else []
+            at += n
+        out[d] = "".join(kept)
+    return out
+
+
+def test_pipeline_by_hand(spark):
+    """run() against brute force in all stages after the learned one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    sets, group = sets_by_hand({d: r.text for d, r in rows.items()}, 5), {d: d for d in rows}
+
+    def root(x):
+        return x if group[x] == x else root(group[x])
+
+    for a in rows:
+        for b in rows:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]) and root(a) != root(b):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    texts = cut_by_hand([(d, r.text or "") for d, r in rows.items() if root(d) == d])
+    size, source = {d: len(WORD.findall(t)) for d, t in texts.items()}, {d: rows[d].source for d in texts}
+    total = {s: sum(size[d] for d in texts if source[d] == s) for s in source.values()}
+    target, want, coder = targets_by_hand(total), [], Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for s in total:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        room = int(np.floor(target[s] + 0.5)) - whole * total[s]
+        for d in sorted((d for d in texts if source[d] == s), key=lambda d: (hashlib.md5(f"7:{d}".encode()).hexdigest(), d)):
+            part = max(0, min(size[d], room))
+            room -= size[d]
+            ids = np.array([*coder.encode(texts[d], add_special_tokens=False).ids, 2], "<u4")
+            cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+            for _ in range(whole + int(part > 0 and 2 * part >= size[d])):
+                want += [(d, i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want) and len(want) > 200
+    assert_packed(got)
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -92,5 +93,7 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_of(docs: DataFrame, col: str = "text") -> Column:
-    return F.coalesce(docs[col], F.lit(""))
+def text_column(batch: pa.RecordBatch) -> pa.Array:
+    """The column `text`, or that of the packed documents in `_doc`, so that no text is sent twice."""
+    at = batch.schema.get_field_index("text")
+    return batch.column(at) if at >= 0 else batch.column("_doc").field("text")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bwt import window_classes
-from millrace.llm.common import settle, table
+from millrace.llm.common import settle, table, text_column
 from millrace.llm.textbytes import blocks, buffers, mix, prefix, range_hash
 
 LENGTH, ANCHOR = 100, 32
@@ -202,7 +202,7 @@ def _late_windows(pieces: list[bytes], doc: np.ndarray, key: np.ndarray, start:
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = buffers(batch.column("text"))
+        data, offsets = buffers(text_column(batch))
         rows = []
         for i, repeats in enumerate(batch.column("repeats").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
@@ -262,8 +262,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with all their columns, and texts without what repeats; a character that is covered in part stays."""
     found = repeats(docs, length).withColumnsRenamed({"doc_id": "_of", "key": "_of_key"})
     of, key = _keys()
-    rows = docs.select(F.struct("*").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), of.alias("_id"), key.alias("_key"))
-    rows = rows.join(found, (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left").select("_doc", "text", "repeats")
+    rows = docs.select(F.struct("*").alias("_doc"), of.alias("_id"), key.alias("_key"))
+    rows = rows.join(found, (F.col("_id") == F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left").select("_doc", F.col("repeats").alias("repeats"))
     schema = rows.select("_doc", F.lit("").alias("_kept")).schema
     out = rows.mapInArrow(partial(_cut, length=length, texts=True), schema)
     return out.select(*(F.when(F.col("_doc.text").isNotNull(), F.col("_kept")).alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, first_rows, sample_by_class, table
+from millrace.llm.common import crc_mod, first_rows, sample_by_class, table, text_column
 from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_hash, words
 
 BUCKETS, RANK = 1 << 18, 4
@@ -131,7 +131,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [model.value.score(bounds, x) if model else np.zeros(len(bounds) - 1) for _, bounds, x in term_buckets(batch)]
+        texts = pa.RecordBatch.from_arrays([text_column(batch)], ["text"])
+        out = [model.value.score(bounds, x) if model else np.zeros(len(bounds) - 1) for _, bounds, x in term_buckets(texts)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], [batch.schema.names[0], "score"])
 
 
@@ -150,14 +151,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int
 def with_score(docs: DataFrame, model: Machine | None) -> DataFrame:
     """(_doc, score): all columns of docs, packed, and the score of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
-    rows = docs.select(F.struct("*").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct("*").alias("_doc"))
     return rows.mapInArrow(partial(_score, model=shared), rows.select("_doc", F.lit(0.0).alias("score")).schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
     held_out = crc_mod("doc_id", 4) == 2
     model = fit_toxicity(docs, labels, ~held_out)
-    out = with_score(docs.select("doc_id", "text"), model).select("_doc.doc_id", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
+    out = docs.select("doc_id", "text").mapInArrow(partial(_score, model=shared), docs.select("doc_id", F.lit(0.0).alias("score")).schema)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -6,7 +6,7 @@ fixed point at once: the level is the largest of (budget - caps before) / (weigh
 the smaller of its cap and level * weight.
 
 A source's whole repetitions go to all its documents. The fraction goes to documents in the order of a seeded hash until the
-target is met; the one on the border repeats a part of its words. Bucket sums over hash ranges give each range its start, so
+target is met (of the id, or of the text where there is no id); the one on the border repeats a part of its words. Bucket sums over hash ranges give each range its start, so
 that no group larger than a range of a source is sorted by one task.
 
 Null sources are one source, ordered last; null and empty texts have size 0 and take 0; repeated rows count each; an empty table
@@ -44,9 +44,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, whole (repetitions of all the document), part (words of one more), taken;
     and the columns in keep."""
-    sizes = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = sizes.withColumn("draw", draw).withColumn("bucket", F.substring("draw", 1, 3))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
+    sizes = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    rows = sizes.withColumn("bucket", F.substring("draw", 1, 3))
     rows = rows if keep else settle(rows, "mix")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)

@@ -90,10 +90,12 @@ class Network:
         order, runs = self._by_class(target)
         _, h = self._hidden(around[order])
         n, mine = np.arange(len(order)), target[order]
-        sums = np.log(np.exp(z := self._scaled(h @ self.p["wc"] + self.p["bc"])).sum(1))
-        out = z[n, mine // CLASS] - sums
-        z = self._scaled(self._words(h, mine, runs))
-        out += z[n, mine % CLASS] - np.log(np.exp(z).sum(1))
+        z = h @ self.p["wc"] + self.p["bc"]
+        sums = self._exp(z)[1]
+        out = z[n, mine // CLASS] - np.log(sums)
+        z = self._words(h, mine, runs)
+        sums = self._exp(z)[1]
+        out += z[n, mine % CLASS] - np.log(sums)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -107,14 +109,15 @@ class Network:
         return z
 
     @staticmethod
-    def _scaled(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
-        return z
+    def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of scores, and each row's sum. Scores stay far within +-80, so no row's largest need be taken off first."""
+        e = np.exp(np.clip(z, -80, 80, out=z))
+        return e, e @ np.ones(z.shape[1], z.dtype)
 
     @classmethod
     def _softmax(cls, z: np.ndarray) -> np.ndarray:
-        e = np.exp(cls._scaled(z), out=z)
-        e /= e.sum(1, keepdims=True)
+        e, sums = cls._exp(z)
+        e *= (1 / sums)[:, None]
         return e
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:

@@ -1,25 +1,34 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many strings.
+"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many strings, in external memory.
 
 Strings are aligned at their ends. Each round puts one more symbol in front of each string's current suffix: the symbols are
 written at those suffixes' places in the transform, and the longer suffixes go where the last-to-first mapping sends them. The
 common prefix of a new suffix with its neighbour is one more than the smallest common prefix between the two places that their
-tails have. The transform and the prefixes live in two files, which each round reads and writes from start to end.
+tails have.
+
+The transform and the prefixes live in two files. Each round reads them twice from start to end, CHUNK suffixes at a time: once to
+count symbols and take minima up to the places of new symbols, carrying from chunk to chunk a count and a minimum for each symbol;
+and once to merge the new suffixes in, into the next round's files. Memory: CHUNK suffixes, and a few numbers for each string.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 
 #: Symbols are bytes + 1 (no UTF-8 text has a byte 255); END stands before a whole string, and where the next round writes.
-END = 0
+END, SYMBOLS = 0, 256
+#: Suffixes that are in memory at a time.
+CHUNK = 1 << 21
+#: Above all common prefixes.
+FAR = np.uint16(0xFFFF)
 
 
 def _least_between(prefixes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """min(prefixes[begin:end]) of each pair; ends are distinct. Pairs in descending order make each pair's reduction stop at its
-    own end."""
+    """min(prefixes[begin:end]) of each pair; no end is beyond the last of prefixes. Pairs in descending order make each pair's
+    reduction stop at its own end."""
     down = np.argsort(-end)
     pairs = np.stack((begin[down], end[down]), 1).ravel()
     out = np.empty(len(begin), prefixes.dtype)
@@ -27,79 +36,138 @@ def _least_between(prefixes: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     return out
 
 
+class _Scan:
+    """What one reading of the transform finds for new symbols at ascending places `at`: how often each occurs before its place, and
+    the common prefixes (one symbol included) with its occurrences before and after, 0 where there is none."""
+
+    def __init__(self, at: np.ndarray):
+        self.at, self.count = at, np.zeros(SYMBOLS, np.int64)
+        self.rank, self.down, self.up = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        self.since = np.full(SYMBOLS, -1, np.int32)  # the least prefix since the symbol's last occurrence; -1 before its first
+        self.open = np.full(SYMBOLS, -1)  # the new symbol that waits for its next occurrence
+
+    def take(self, start: int, bwt: np.ndarray, lcp: np.ndarray, last: bool) -> None:
+        lo, hi = np.searchsorted(self.at, (start, start + len(bwt)))
+        lcp = np.append(lcp, FAR)
+        order, n = np.argsort(bwt, kind="stable"), np.bincount(bwt, minlength=SYMBOLS)
+        end = np.cumsum(n)
+        begin, met = end - n, np.flatnonzero(n)
+        reached = self.since.copy()  # from the last occurrence to the first of this chunk
+        if start:
+            so_far = np.minimum.accumulate(lcp[:-1])
+            reached[met] = np.minimum(self.since[met], so_far[order[begin[met]]])
+        waited = met[self.open[met] >= 0]
+        self.up[self.open[waited]] = 1 + reached[waited]
+        self.open[met] = -1
+
+        new = np.zeros(len(bwt), bool)
+        new[self.at[lo:hi] - start] = True
+        slot = np.flatnonzero(new[order])
+        place, symbol = order[slot], bwt[order[slot]]
+        mine = lo + np.searchsorted(self.at[lo:hi], place + start)
+        self.rank[mine] = self.count[symbol] + slot - begin[symbol]
+        before, after = slot > begin[symbol], slot + 1 < end[symbol]
+        self.down[mine[~before]] = 1 + reached[symbol[~before]]
+        self.open[symbol[~after]] = mine[~after]
+        near = _least_between(lcp, np.concatenate((order[slot[before] - 1], place[after])) + 1, np.concatenate((place[before], order[slot[after] + 1])) + 1)
+        cut = np.count_nonzero(before)
+        self.down[mine[before]], self.up[mine[after]] = 1 + near[:cut], 1 + near[cut:]
+
+        self.count += n
+        if not last:
+            onward = np.minimum.accumulate(lcp[::-1])[::-1]
+            self.since = np.minimum(self.since, onward[0])
+            self.since[met] = onward[order[end[met] - 1] + 1]
+
+
 class Collection:
-    """The suffixes of all strings, in order: `bwt` and `lcp` are files of 8-bit and 16-bit numbers, one a suffix (and a last zero);
-    string k's whole text is the suffix at `place[k]`."""
+    """The suffixes of all strings, in order: files of 8-bit symbols of the transform and 16-bit common prefixes with the suffix
+    before; string k's whole text is the suffix at `place[k]`."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, folder: str):
-        self.files = {"bwt": Path(folder, "bwt"), "lcp": Path(folder, "lcp")}
+        self.folder, self.turn = Path(folder), 0
         self.n, length = len(bounds) - 1, np.diff(bounds)
-        self._write(np.zeros(self.n, np.uint8), np.zeros(self.n + 1, np.uint16))
-        self.place = np.arange(self.n)
-        for done in range(int(length.max(initial=0)) + 1):
-            self._insert(length > done, data[np.maximum(bounds[1:] - 1 - done, 0).clip(max=max(len(data) - 1, 0))] if len(data) else np.zeros(self.n, np.uint8))
-
-    def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.files["bwt"], np.uint8), np.fromfile(self.files["lcp"], np.uint16)
-
-    def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        bwt.tofile(self.files["bwt"])
-        lcp.tofile(self.files["lcp"])
-
-    def _first_to_last(self, bwt: np.ndarray) -> np.ndarray:
-        """The places in the transform of each suffix's tail, for suffixes in order from the first that isn't empty."""
-        return np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == END) :]
-
-    def _ranks(self, bwt: np.ndarray, tails: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where in tails the places `at` are: those of one symbol are in ascending order."""
-        before = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=256)[1:])))
-        out, symbols = np.empty(len(at), np.int64), bwt[at]
-        by = np.argsort(symbols, kind="stable")
-        cuts = np.searchsorted(symbols[by], np.arange(257))
-        for c in np.flatnonzero(np.diff(cuts)):
-            mine = by[cuts[c] : cuts[c + 1]]
-            out[mine] = before[c - 1] + np.searchsorted(tails[before[c - 1] : before[c]], at[mine])
-        return out
+        for name, kind in (("bwt", np.uint8), ("lcp", np.uint16)):
+            np.zeros(self.n, kind).tofile(self._file(name))
+        self.size, self.place, self.before = self.n, np.arange(self.n), np.zeros(SYMBOLS + 1, np.int64)
+        for done in range(int(length.max(initial=0))):
+            grows = np.flatnonzero(length > done)
+            grows = grows[np.argsort(self.place[grows])]
+            self._insert(grows, data[bounds[grows + 1] - 1 - done] + np.uint8(1))
+
+    def _file(self, name: str, turn: int = 0) -> Path:
+        return self.folder / f"{name}{(self.turn + turn) % 2}"
+
+    def _chunks(self, at: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first, symbols, prefixes) of the files from start to end, with `symbols` at the ascending places `at`."""
+        with self._file("bwt").open("rb") as b, self._file("lcp").open("rb") as c:
+            for start in range(0, self.size, CHUNK):
+                bwt, lcp = np.fromfile(b, np.uint8, CHUNK), np.fromfile(c, np.uint16, CHUNK)
+                lo, hi = np.searchsorted(at, (start, start + len(bwt)))
+                bwt[at[lo:hi] - start] = symbols[lo:hi]
+                yield start, bwt, lcp
 
     def _insert(self, grows: np.ndarray, symbols: np.ndarray) -> None:
-        bwt, lcp = self._read()
-        bwt[self.place] = np.where(grows, symbols + 1, END)
-        if grows.any():
-            tails = self._first_to_last(bwt)
-            at = self.place[grows]
-            mine = self._ranks(bwt, tails, at)
-            new = np.sort(mine) + self.n
-            old = np.ones(len(bwt) + len(at), bool)
-            old[new] = False
-            longer = np.zeros((2, len(at)), np.uint16)  # common prefix with the suffix before, and with the one after
-            before, after = mine > 0, mine < len(tails) - 1
-            before[before] = bwt[tails[mine[before] - 1]] == bwt[at[before]]
-            after[after] = bwt[tails[mine[after] + 1]] == bwt[at[after]]
-            longer[0, before] = 1 + _least_between(lcp, tails[mine[before] - 1] + 1, at[before] + 1)
-            longer[1, after] = 1 + _least_between(lcp, at[after] + 1, tails[mine[after] + 1] + 1)
-            symbols, common = np.zeros(len(old), np.uint8), np.empty(len(old) + 1, np.uint16)
-            symbols[old], common[:-1][old] = bwt, lcp[:-1]
-            common[-1] = 0
-            common[mine + self.n] = longer[0]
-            common[mine + self.n + 1] = longer[1]
-            self.place += np.searchsorted(new - np.arange(len(new)), self.place, "right")
-            self.place[grows] = mine + self.n
-            bwt, lcp = symbols, common
-        self._write(bwt, lcp)
+        """One more symbol in front of the strings `grows`, which are in order of their places."""
+        at = self.place[grows]
+        scan = _Scan(at)
+        for start, bwt, lcp in self._chunks(at, symbols):
+            scan.take(start, bwt, lcp, start + len(bwt) == self.size)
+        # suffixes that begin with END are the empty ones, of which there are n
+        self.before = np.concatenate(([0, 0], np.cumsum(scan.count[1:]))) + self.n
+        moved = self.before[symbols] + scan.rank
+        by = np.argsort(moved)
+        gap = moved[by] - np.arange(len(by))  # the suffix before which each goes
+        with self._file("bwt", 1).open("wb") as b, self._file("lcp", 1).open("wb") as c:
+            for start, bwt, lcp in self._chunks(at, symbols):
+                last = start + len(bwt) == self.size
+                lo, hi = np.searchsorted(gap, start), len(gap) if last else np.searchsorted(gap, start + len(bwt))
+                new = gap[lo:hi] - start + np.arange(hi - lo)
+                old = np.ones(len(bwt) + hi - lo, bool)
+                old[new] = False
+                grown, common = np.full(len(old), END, np.uint8), np.empty(len(old) + 1, np.uint16)
+                grown[old], common[:-1][old] = bwt, lcp
+                common[new], common[new + 1] = scan.down[by[lo:hi]], scan.up[by[lo:hi]]
+                grown.tofile(b)
+                common[:-1].tofile(c)
+        self.turn += 1
+        self.size += len(grows)
+        self.place += np.searchsorted(gap, self.place, "right")
+        self.place[grows] = moved
+
+    def _look_up(self, name: str, at: np.ndarray) -> np.ndarray:
+        """What a file of 32-bit numbers holds at places, in one reading."""
+        order, out = np.argsort(at), np.empty(len(at), np.int64)
+        ascending = at[order]
+        with (self.folder / name).open("rb") as f:
+            for start in range(0, self.size, CHUNK):
+                values = np.fromfile(f, np.uint32, CHUNK)
+                lo, hi = np.searchsorted(ascending, (start, start + len(values)))
+                out[order[lo:hi]] = values[ascending[lo:hi] - start]
+        return out
 
     def classes(self, starts: np.ndarray, length: int) -> np.ndarray:
         """For the first starts[k] suffixes of each string k, in turn, numbers that are equal if and only if the suffixes agree in
         the first `length` symbols, which they must have."""
-        bwt, lcp = self._read()
-        tails = self._first_to_last(bwt)
-        label = np.cumsum(lcp[:-1] < length)
+        label, to, none = 0, self.before.copy(), np.zeros(0, np.int64)
+        with (self.folder / "label").open("wb") as names, (self.folder / "tail").open("wb") as tails:
+            tails.truncate(4 * self.size)
+            for start, bwt, lcp in self._chunks(none, none):
+                own = label + np.cumsum(lcp < length)
+                label = own[-1]
+                own.astype(np.uint32).tofile(names)
+                order, n = np.argsort(bwt, kind="stable"), np.bincount(bwt, minlength=SYMBOLS)
+                end = np.cumsum(n)
+                for c in np.flatnonzero(n[1:]) + 1:  # the suffixes that begin with c have their tails at c's occurrences
+                    tails.seek(4 * to[c])
+                    tails.write((order[end[c] - n[c] : end[c]] + start).astype(np.uint32).tobytes())
+                    to[c] += n[c]
         begin = np.concatenate(([0], np.cumsum(starts)))
         out, at = np.empty(begin[-1], np.int64), self.place.copy()
         for step in range(int(starts.max(initial=0))):
-            here = starts > step
-            out[begin[:-1][here] + step] = label[at[here]]
-            here = starts > step + 1
-            at[here] = tails[at[here] - self.n]
+            here = np.flatnonzero(starts > step)
+            out[begin[here] + step] = self._look_up("label", at[here])
+            at[here] = self._look_up("tail", at[here])
         return out
 
 

@@ -14,8 +14,8 @@ by a rule that loses no match:
    is looked at more closely: these are the borders of repeats.
 3. The bytes of those spans are fetched. The windows of a span that start near its anchor have 66 bytes in common, the others
    another 66; each of these halves goes where spans with the same common bytes meet. Of equal halves one is kept, and each task
-   builds the transform and common prefixes of its different halves column by column, in sequential files in its own temporary
-   folder: windows with a common prefix of `length` form classes, and all but the first of a class are repeats.
+   builds the transform and common prefixes of its different halves column by column, in files of its own temporary folder that
+   each round reads and writes from start to end, a chunk at a time: windows with a common prefix of `length` form classes, and all but the first of a class are repeats.
 4. Repeats are gathered by document and cut out of the whole text.
 
 A null text counts as empty; a text shorter than `length` loses nothing. Rows with one id start at the same place: equal strings at

@@ -138,7 +138,9 @@ def test_any_ids_fall_into_ranges(spark, ids, monkeypatch):
         assert len(merkle._borders(df.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("tie", F.xxhash64("text")))) >= 5
 
 
-def test_transform_classes():
+@pytest.mark.parametrize("chunk", [1, 2, 5, 16, 1 << 21])
+def test_transform_classes(chunk, monkeypatch):
+    monkeypatch.setattr(bwt, "CHUNK", chunk)
     rng = random.Random(1)
     for trial in range(120):
         length = rng.randint(1, 5)

@@ -42,9 +42,17 @@ def paying_users(payments: DataFrame) -> DataFrame:
     return by_window(days, F.count("*").alias("payment_suc_unique_user_count"), F.sum("is_first").alias("payment_suc_new_user_count"))
 
 
-def sum_province_orders(rows: DataFrame) -> DataFrame:
-    """Distinct orders and amounts; the set of orders is one that streams can hold as well."""
-    return by_window(rows, F.size(F.collect_set("order_id")).cast("long").alias("order_count"), F.sum(F.col("order_amount").cast(AMOUNT)).cast(AMOUNT).alias("order_amount"), keys=("province_id",))
+def _amounts(columns: list[str]) -> list[Column]:
+    return [F.sum(F.col(c).cast(AMOUNT)).cast(AMOUNT).alias(c) for c in columns]
+
+
+def province_sums() -> list[Column]:
+    """Distinct orders and amounts, for streams, whose state holds a window's set of orders."""
+    return [F.size(F.collect_set("order_id")).cast("long").alias("order_count"), *_amounts(["order_amount"])]
+
+
+def sku_sums() -> list[Column]:
+    return _amounts(SKU_MEASURES)
 
 
 def province_orders(details: DataFrame, provinces: DataFrame, order: list[str]) -> DataFrame:
@@ -55,13 +63,9 @@ def province_orders(details: DataFrame, provinces: DataFrame, order: list[str])
     return enrich(out, provinces, "province_id", {"province_name": "name"}, default={"province_name": ""})
 
 
-def sum_sku_orders(rows: DataFrame) -> DataFrame:
-    return by_window(rows, *[F.sum(F.col(m).cast(AMOUNT)).cast(AMOUNT).alias(m) for m in SKU_MEASURES], keys=("sku_id",))
-
-
 def sku_orders(details: DataFrame, skus: DataFrame, order: list[str]) -> DataFrame:
     """skus: flat_sku(). Dimensions come after the sums."""
-    out = sum_sku_orders(keyed.replace_by_cancel(details, "id", order, SKU_MEASURES))
+    out = by_window(keyed.replace_by_cancel(details, "id", order, SKU_MEASURES), *sku_sums(), keys=("sku_id",))
     names = [c for c in skus.columns if c != "id"]
     return enrich(out, skus, "sku_id", {c: c for c in names})
 

@@ -1,7 +1,8 @@
 """The keyed operators on streams: a little state for each key, in vectorized processors.
 
 A key's rows of a micro-batch are taken in order of event time, all chunks of it together; across micro-batches rows must come in
-time order, as from a topic's partitions (replace_by_cancel() puts them in order itself). State that ends expires by event-time timers.
+time order, as from a topic's partitions (replace_by_cancel() puts them in order itself). State that ends expires by event-time timers,
+which late rows never move backwards. What rows without a time do is what they do in a batch (see operators/keyed.py).
 """
 
 from __future__ import annotations
@@ -11,10 +12,20 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DecimalType, IntegralType, StructType, TimestampNTZType, TimestampType
 
 DAY = pd.Timedelta(days=1)
+#: Repeats of a row come within seconds of each other.
+REPEATS = pd.Timedelta(seconds=10)
+#: The time after which a row can't be taken back any more.
+FINAL = "final_at"
+
+
+def millis(time: pd.Timestamp) -> int:
+    """Epoch milliseconds, rounded up, so that what a timer of that time ends is past."""
+    return -int(-pd.Timestamp(time).value // 1_000_000)
 
 
 def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
@@ -22,9 +33,9 @@ def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
 
 
 class _Processor(StatefulProcessor):
-    """One value of state; `keep` ends it so long after the key's last row."""
+    """One row of state, with the time that its expiry is counted from; `keep` ends it so long after that."""
 
-    state_schema = "v string"
+    state_schema = "v string, latest timestamp"
 
     def __init__(self, keep: pd.Timedelta | None = None):
         self.keep = keep
@@ -36,7 +47,7 @@ class _Processor(StatefulProcessor):
         if self.keep is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int((time + self.keep).timestamp() * 1000))
+            self.handle.registerTimer(millis(time + self.keep))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -55,14 +66,18 @@ class FirstOfDay(_Processor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         df = _in_order(rows, self.time, self.tie)
-        last, out = (self.state.get()[0] if self.state.exists() else None), []
+        df = df[df[self.time].notna()].reset_index(drop=True)
+        if not len(df):
+            return
+        (last, latest), out = (self.state.get() if self.state.exists() else (None, None)), []
         for i, day in enumerate(df[self.time].dt.strftime("%Y-%m-%d")):
             if last is None or day > last:
                 back = last is not None and (pd.Timestamp(day) - pd.Timestamp(last)).days >= self.days
                 out.append((i, day, int(last is None), int(back)))
                 last = day
-        self.state.update((last,))
-        self.expire_after(df[self.time].iloc[-1])
+        latest = max([df[self.time].iloc[-1], *([pd.Timestamp(latest)] if latest is not None else [])])
+        self.state.update((last, latest.to_pydatetime()))
+        self.expire_after(latest)
         at, day, first, back = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
         yield df.iloc[at].assign(date=pd.array(day, "string").astype(object), is_first=pd.array(first, "int32"), is_back=pd.array(back, "int32"))
 
@@ -76,49 +91,62 @@ class RepairIsNew(_Processor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         df = _in_order(rows, self.time, self.tie)
+        timed = df[self.time].notna()
+        if not timed.any():
+            yield df
+            return
         day = df[self.time].dt.strftime("%Y-%m-%d")
         if self.state.exists():
             base = self.state.get()[0]
         else:
-            base = day[0] if df[self.flag][0] == "1" else (df[self.time][0] - DAY).strftime("%Y-%m-%d")
-            self.state.update((base,))
-        yield df.assign(**{self.flag: df[self.flag].where(~((df[self.flag] == "1") & (day != base)), "0")})
+            first = timed.idxmax()  # rows without a time come last
+            base = day[first] if df[self.flag][first] == "1" else (df[self.time][first] - DAY).strftime("%Y-%m-%d")
+            self.state.update((base, None))
+        yield df.assign(**{self.flag: df[self.flag].where(~(timed & (df[self.flag] == "1") & (day != base)), "0")})
 
 
 class ReplaceByCancel(_Processor):
     """Each row, and the negative of each that another of its key follows; state: the key's last row, with the columns' own types. A row
-    that sorts before the state (an earlier one that comes late) doesn't replace it: it leaves at once, as it would in a batch."""
+    that sorts before the state (an earlier one that comes late) doesn't replace it: it leaves at once, as it would in a batch.
 
-    def __init__(self, schema: StructType, order: list[str], measures: list[str], time: str, keep: pd.Timedelta | None = None):
+    A row can be taken back until `keep` after its own time, and says so in FINAL, which is what later operators take for event time: the
+    negative of a row that is older than the watermark is then no late row, and no other row of the key can end its time early."""
+
+    def __init__(self, schema: StructType, order: list[str], measures: list[str], time: str, keep: pd.Timedelta):
         super().__init__(keep)
         self.state_schema, self.columns, self.order, self.time = schema, schema.names, order, time
         self.measures = {m: Decimal(0) if isinstance(schema[m].dataType, DecimalType) else 0 for m in measures}
         self.times = [f.name for f in schema if isinstance(f.dataType, (TimestampType, TimestampNTZType))]
         self.whole = [f.name for f in schema if isinstance(f.dataType, IntegralType)]  # pandas has floats for those with nulls
 
+    def _out(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(**{FINAL: pd.to_datetime(rows[self.time]) + self.keep})[[*self.columns, "sign", FINAL]]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))[self.columns]
-        latest = new[self.time].max()
-        new = new.astype(object).assign(_old=False)
-        if self.state.exists():
+        new = pd.concat(list(rows))[self.columns].astype(object).assign(_old=False)
+        if key[0] is not None and self.state.exists():
             new = pd.concat([pd.DataFrame([[*self.state.get(), True]], columns=[*self.columns, "_old"], dtype=object), new])
         new = new.where(new.notna(), None)
         for m, zero in self.measures.items():
             new[m] = new[m].map(lambda x, zero=zero: zero if x is None else x)
         new[self.times] = new[self.times].apply(pd.to_datetime)
+        # what the watermark has made final in this micro-batch, before its timer: it stays
+        new = new[~((new["_old"] == True) & (new[self.time].map(millis) + self.keep.total_seconds() * 1000 <= timerValues.getCurrentWatermarkInMs()))]  # noqa: E712
+        if key[0] is None:
+            yield self._out(new.assign(sign=1))
+            return
         new = new.sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
         last = new.iloc[-1]
         self.state.update(tuple(None if pd.isna(x := last[c]) else x.to_pydatetime() if c in self.times else int(x) if c in self.whole else x for c in self.columns))
-        self.expire_after(latest)
+        self.expire_after(last[self.time])
         gone = new.iloc[:-1].assign(sign=-1)
         for m in self.measures:
             gone[m] = gone[m].map(lambda x: -x)
-        out = pd.concat([new[new["_old"] == False].assign(sign=1), gone], ignore_index=True)  # noqa: E712
-        yield out[[*self.columns, "sign"]]
+        yield self._out(pd.concat([new[new["_old"] == False].assign(sign=1), gone], ignore_index=True))  # noqa: E712
 
 
-def _run(df: DataFrame, key: str, processor: StatefulProcessor, time: str, schema: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime", eventTimeColumnName=time)
+def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, time: str, schema: str) -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime", eventTimeColumnName=time)
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -128,15 +156,19 @@ def _schema(df: DataFrame, *more: str) -> str:
 def first_of_day(df: DataFrame, key: str, time: str, tie: str, days: int = 8, keep: pd.Timedelta | None = None) -> DataFrame:
     """The stream's rows (with a watermark on time) that begin a day of their key, with date, is_first and is_back. keep: one day is
     enough where only days count; without it, first days and returns are known for ever."""
-    return _run(df, key, FirstOfDay(key, time, tie, days, keep), time, _schema(df, "date string", "is_first int", "is_back int"))
+    return _run(df, [key], FirstOfDay(key, time, tie, days, keep), time, _schema(df, "date string", "is_first int", "is_back int"))
 
 
 def repair_is_new(df: DataFrame, key: str = "mid", flag: str = "is_new", time: str = "time", tie: str = "event_id") -> DataFrame:
-    return _run(df, key, RepairIsNew(flag, time, tie), time, _schema(df))
-
-
-def replace_by_cancel(df: DataFrame, key: str, order: list[str], measures: list[str], time: str = "time", keep: pd.Timedelta | None = None) -> DataFrame:
-    """A repeated row's old values leave with their own time: the watermark's delay must cover the gap between repeats. `order` tells
-    which of a key's rows is the last, in whatever order they come; of equal ones, the one that came last. keep: how long after the
-    key's latest row a repeat may come."""
-    return _run(df, key, ReplaceByCancel(df.schema, order, measures, time, keep), time, _schema(df, "sign int"))
+    return _run(df, [key], RepairIsNew(flag, time, tie), time, _schema(df))
+
+
+def replace_by_cancel(df: DataFrame, key: str, order: list[str], measures: list[str], time: str = "time", keep: pd.Timedelta = REPEATS) -> DataFrame:
+    """Rows and negatives, with `sign` and FINAL: time + keep, the event time of what comes out. `order` tells which of a key's rows is
+    the last, in whatever order they come; of equal ones, the one that came last. A repeat replaces the key's last row if it comes before
+    the watermark is `keep` past that row's time. The watermark's delay may be anything: a negative leaves with its own time, however far
+    the watermark is. Windows over these rows: by_window() of streaming/summaries.py."""
+    columns = df.columns
+    rows = df.filter(F.col(time).isNotNull()).withColumn("_apart", F.when(F.col(key).isNull(), F.xxhash64(*columns)))
+    schema = StructType([f for f in rows.schema if f.name != "_apart"])
+    return _run(rows, [key, "_apart"], ReplaceByCancel(schema, order, measures, time, keep), FINAL, _schema(df, "sign int", f"`{FINAL}` timestamp"))

@@ -1,15 +1,16 @@
-"""The summaries on streams: inputs need a watermark on `time`."""
+"""The summaries on streams: inputs need a watermark on `time`, of any delay. Rows without a time are in no window."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.times import window_columns
 from millrace.functions.values import is_empty
 from millrace.operators import etl
 from millrace.operators.joins import enrich
-from millrace.operators.summaries import SKU_MEASURES, by_window, keywords, registrations, sum_province_orders, sum_sku_orders
+from millrace.operators.summaries import SKU_MEASURES, WIDTH, by_window, keywords, province_sums, registrations, sku_sums
 from millrace.streaming import keyed
 
 __all__ = ["cart_users", "home_detail_visitors", "keywords", "login_users", "page_views", "province_orders", "refunds", "registrations", "sku_orders", "users"]
@@ -24,18 +25,29 @@ def users(rows: DataFrame, tie: str, unique: str, new: str) -> DataFrame:
     return by_window(keyed.first_of_day(rows, "user_id", "time", tie), F.count("*").alias(unique), F.sum("is_first").alias(new))
 
 
-#: Repeats of a line come within seconds of each other.
-REPEATS = pd.Timedelta(seconds=10)
+REPEATS = keyed.REPEATS
 
 
-def province_orders(lines: DataFrame, order: list[str], provinces: DataFrame | None = None, keep: pd.Timedelta | None = REPEATS) -> DataFrame:
-    out = sum_province_orders(keyed.replace_by_cancel(lines, "id", order, ["order_amount"], keep=keep))
+def by_final_window(rows: DataFrame, *measures: Column, keep: pd.Timedelta, keys: tuple[str, ...]) -> DataFrame:
+    """by_window() over what replace_by_cancel() gives with this `keep`. Windows are those of FINAL, which lies `keep` after the row's
+    time, and are named by the row's time: a window is given out once, when the watermark is `keep` past its end and nothing in it can
+    be taken back. Tasks sum before the shuffle, so a key with very many rows doesn't gather in one."""
+    width = pd.Timedelta(WIDTH)
+    shift = keep % width
+    out = rows.groupBy(F.window(keyed.FINAL, WIDTH, WIDTH, f"{shift // pd.Timedelta(microseconds=1)} microseconds").alias("w"), *keys).agg(*measures)
+    back = F.expr(f"interval {keep // pd.Timedelta(microseconds=1)} microseconds")
+    w = F.struct((F.col("w.start") - back).alias("start"), (F.col("w.end") - back).alias("end"))
+    return out.select(*window_columns(w), *[c for c in out.columns if c != "w"])
+
+
+def province_orders(lines: DataFrame, order: list[str], provinces: DataFrame | None = None, keep: pd.Timedelta = REPEATS) -> DataFrame:
+    out = by_final_window(keyed.replace_by_cancel(lines, "id", order, ["order_amount"], keep=keep), *province_sums(), keep=keep, keys=("province_id",))
     return out if provinces is None else enrich(out, provinces, "province_id", {"province_name": "name"}, default={"province_name": ""})
 
 
-def sku_orders(lines: DataFrame, order: list[str], skus: DataFrame | None = None, keep: pd.Timedelta | None = REPEATS) -> DataFrame:
+def sku_orders(lines: DataFrame, order: list[str], skus: DataFrame | None = None, keep: pd.Timedelta = REPEATS) -> DataFrame:
     """skus: flat_sku()."""
-    out = sum_sku_orders(keyed.replace_by_cancel(lines, "id", order, SKU_MEASURES, keep=keep))
+    out = by_final_window(keyed.replace_by_cancel(lines, "id", order, SKU_MEASURES, keep=keep), *sku_sums(), keep=keep, keys=("sku_id",))
     return out if skus is None else enrich(out, skus, "sku_id", {c: c for c in skus.columns if c != "id"})
 
 

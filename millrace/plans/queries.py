@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -13,7 +14,9 @@ from millrace.functions import times, values
 from millrace.operators import etl, facts, joins, keyed, summaries
 from millrace.plans.fixtures import ARRIVAL, VIEWS, Inputs
 from millrace.schemas import CONFIG_COLUMNS, ORDER_DETAIL
+from millrace.shared import scratch
 from millrace.sources import config as configuration
+from millrace.sources.live import LiveConfig
 from millrace.sources.topics import parse_changes, parse_config_changes, parse_log, parse_page_log, parse_rows
 from millrace.streaming.log import log_topics, repaired_log
 
@@ -150,6 +153,39 @@ def dim_upsert(t: Inputs) -> DataFrame:
     return sinks.dim_upsert(current, rows, "id", ["seq"])
 
 
+@query("""select id, name from (select cast(p_partkey as varchar) as id, 'v' || i || ' ' || p_name as name, i = 1 and p_partkey % 4 = 0 as gone from part, unnest(range(0, 3)) as u(i)
+  qualify row_number() over (partition by p_partkey order by (p_partkey * (i + 3)) % 11 desc, (i + 1) % 3 desc) = 1) where not gone""")
+def dim_versions(t: Inputs) -> DataFrame:
+    """A table after three upserts, in which changes come out of order and some are deletes."""
+    tables, p = sinks.DimensionTables(t.spark, scratch(t.spark, "dimensions")), F.col("p_partkey")
+    tables.create("dim_part", "id,name")
+    for i in (2, 0, 1):
+        name = F.concat(F.lit(f"v{i} "), "p_name")
+        rows = t.table("part").select(F.when((p % 4 == 0) & F.lit(i == 1), "delete").otherwise("update").alias("type"), F.create_map(F.lit("id"), p.cast("string"), F.lit("name"), name).alias("data"), ((p * (i + 3)) % 11).alias("ts"))
+        tables.upsert("dim_part", rows, order=("ts",), apply_deletes=True, source="parts", batch=(i + 1) % 3)
+    return tables.read("dim_part")
+
+
+@query("""select batch, case when of = 'user_info' then 'dwd_user_register' when of = 'favor_info' then 'dwd_interaction_favor_add' when of = 'other' then 'dwd_other' when batch = 2 then 'dwd_coupon' else 'dwd_tool_coupon_pay' end as sink_table, id, user_id from (
+    select cast(event_id % 3 as int) as batch, case event_type when 'signup' then 'user_info' when 'view' then 'favor_info' when 'click' then 'coupon_use' else 'other' end as of, event_id % 4 = 0 as is_update, cast(event_id as varchar) as id,
+      case when event_type = 'signup' or event_type = 'click' and event_id % 3 = 2 then null else cast(user_id as varchar) end as user_id from ev)
+  where of = 'user_info' and not is_update or of = 'favor_info' and not is_update and batch = 0 or of = 'coupon_use' and is_update or of = 'other' and not is_update and batch = 2""")
+def live_routes(t: Inputs) -> DataFrame:
+    """Three batches of changes. Before the second a route ends; before the third one goes elsewhere, with fewer columns, and one is new."""
+    config, reader = LiveConfig(t.spark, scratch(t.spark, "routes"), "dwd"), "job"
+    config.start(t.routes)
+    route = lambda *r: dict(zip(CONFIG_COLUMNS, (*r[:3], "dwd", r[3], "", None), strict=True))
+    edits = {1: [{"op": "d", "before": route("favor_info", "insert", "dwd_interaction_favor_add", "id")}], 2: [{"op": "u", "after": route("coupon_use", "update", "dwd_coupon", "id")}, {"op": "c", "after": route("other", "insert", "dwd_other", "id,user_id")}]}
+    out = None
+    for n in range(3):
+        if n in edits:
+            config.edit(parse_config_changes(t.spark.createDataFrame([(json.dumps(e),) for e in edits[n]], "value string")), n)
+        routed = etl.route_fact(t.fact_changes.filter(F.col("data")["id"].cast("long") % 3 == n), config.of(reader, n))
+        rows = routed.select(F.lit(n).alias("batch"), "sink_table", F.col("data")["id"].alias("id"), F.col("data")["user_id"].alias("user_id"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 # the app log
 
 _BAD = "(select event_id, case event_id % 100 when 1 then 'nope' when 2 then '123' when 3 then '' when 5 then '[1]' end as value from ev where event_id % 100 between 1 and 5)"

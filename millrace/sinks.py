@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.summaries import with_ts
+from millrace.shared import Folder
+from millrace.tables import Pins, VersionedTable, change_order
 
 
 def to_topic(df: DataFrame) -> DataFrame:
@@ -48,9 +53,9 @@ def to_kafka(df: DataFrame, servers: str, checkpoint: str, topic: str | None = N
 
 def dim_upsert(current: DataFrame, rows: DataFrame, pk: str, order: list[str], apply_deletes: bool = False) -> DataFrame:
     """A dimension table after rows (type, data map, order) are put into it: the latest of each key. A delete puts its row as well,
-    unless apply_deletes. Rows without a key are left out."""
+    unless apply_deletes. Rows without a key are left out. What is no number in `order` is the least."""
     columns = [c for c in current.columns]
-    seq = F.struct(*[F.col(c).cast("long") for c in order])
+    seq = F.struct(*[F.col(c).try_cast("long").alias(c) for c in order])
     new = rows.select(*[F.col("data")[c].alias(c) for c in columns], F.col("type").alias("_type"), seq.alias("_seq")).filter(F.col(pk).isNotNull())
     every = current.select(*columns, F.lit(None).cast("string").alias("_type"), F.lit(None).cast(new.schema["_seq"].dataType).alias("_seq")).unionByName(new)
     rank = F.struct(F.col("_seq").isNotNull(), "_seq")  # what is in the table comes before all
@@ -61,59 +66,58 @@ def dim_upsert(current: DataFrame, rows: DataFrame, pk: str, order: list[str], a
 
 
 class DimensionTables:
-    """Dimension tables as Parquet under a path, in BUCKETS folders by the key's hash: an upsert rewrites only the folders that its
-    keys fall into (Spark's dynamic overwrite, which puts the new files in place when the job commits). A table's columns are those of
-    an empty file beside it."""
-
-    BUCKETS = 64
+    """Dimension tables by name, under a path: versioned tables, so that streams read them while others upsert them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.pins = Pins(spark, f"{self.path}/pins")
 
-    def _there(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    def _table(self, table: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/tables/{table}")
+
+    def names(self) -> list[str]:
+        return sorted(Folder(self.spark, f"{self.path}/tables").names())
 
     def create(self, table: str, columns: str, pk: str | None = None) -> None:
         """All columns text, from a comma list; nothing happens if the table is there. The key, `id` by default, must be a column."""
-        names, pk = columns.split(","), pk or "id"
-        if pk not in names:
-            raise ValueError(f"{pk} is no column of {table}")
-        if not self._there(f"{self.path}/columns/{table}"):
-            self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)).write.parquet(f"{self.path}/columns/{table}")
-
-    def _rows(self, table: str) -> DataFrame:
-        columns = self.spark.read.parquet(f"{self.path}/columns/{table}")
-        if not self._there(f"{self.path}/rows/{table}"):
-            return columns.withColumns({"_gone": F.lit(False), "_bucket": F.lit(0)})
-        schema = ", ".join([*(f"`{c}` string" for c in columns.columns), "_gone boolean", "_bucket int"])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/rows/{table}")
-
-    def read(self, table: str) -> DataFrame:
-        return self._rows(table).filter("not _gone").drop("_gone", "_bucket")
-
-    def upsert(self, table: str, rows: DataFrame, pk: str = "id", order: tuple[str, ...] = ("ts", "offset"), apply_deletes: bool = False) -> None:
-        bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(self.BUCKETS)).cast("int")
-        touched = sorted(r[0] for r in rows.select(bucket(F.col("data")[pk]).alias("b")).distinct().collect())  # BUCKETS at most
-        before = self._rows(table).filter(F.col("_bucket").isin(touched) & ~F.col("_gone")).drop("_gone", "_bucket")
-        after = dim_upsert(before, rows, pk, list(order), apply_deletes).withColumn("_gone", F.lit(False))
-        if apply_deletes:  # a mark keeps a folder that is left without rows from being passed over
-            marks = self.spark.createDataFrame([(b,) for b in touched], "_bucket int").select(*[F.lit(None).cast("string").alias(c) for c in before.columns], F.lit(True).alias("_gone"), "_bucket")
-            after = after.withColumn("_bucket", bucket(F.col(pk))).unionByName(marks)
-        else:
-            after = after.withColumn("_bucket", bucket(F.col(pk)))
-        after.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows/{table}")
-
-    def upsert_batch(self, batch: DataFrame, _: int, config: DataFrame, apply_deletes: bool = False) -> None:
+        self._table(table).create([c.strip() for c in columns.split(",")], [pk or "id"])
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        return self._table(table).read(version)
+
+    def upsert(self, table: str, rows: DataFrame, pk: str = "id", order: tuple[str, ...] = ("ts", "offset"), apply_deletes: bool = False, source: str | None = None, batch: int | None = None) -> int:
+        """Puts rows (type, data, order) into the table; the latest of each key counts, by the first column of `order`, then batch, then
+        the others, whatever batch it comes in. Returns the table's version with them."""
+        t = self._table(table)
+        gone = F.coalesce(F.col("type") == "delete", F.lit(False)) & F.lit(apply_deletes)
+        return t.upsert(rows.select(*[F.col("data")[c].alias(c) for c in t.columns()], gone.alias(t.GONE), change_order([F.col(c) for c in order], batch).alias(t.SEQ)), source, batch)
+
+    def upsert_batch(self, batch: DataFrame, number: int, config: DataFrame, apply_deletes: bool = False, source: str = "changes") -> None:
         """For foreachBatch of routed changes: one small job for each table of the configuration. A batch that comes again changes nothing.
-        Changes of one second count in the topic's order, or in that of the rows where there are no offsets (files)."""
+        Changes of one second count in the order of batches, then in the topic's, or in that of the rows where there are no offsets (files)."""
         batch = batch if "offset" in batch.columns else batch.withColumn("offset", F.monotonically_increasing_id())
         batch = batch.persist()
         for c in config.select("sink_table", "sink_columns", "sink_pk").distinct().collect():  # the configuration, not data
             self.create(c["sink_table"], c["sink_columns"], c["sink_pk"])
-            self.upsert(c["sink_table"], batch.filter(F.col("sink_table") == c["sink_table"]), c["sink_pk"] or "id", apply_deletes=apply_deletes)
+            self.upsert(c["sink_table"], batch.filter(F.col("sink_table") == c["sink_table"]), c["sink_pk"] or "id", apply_deletes=apply_deletes, source=source, batch=number)
         batch.unpersist()
 
+    def pinned(self, reader: str, batch: int, tables: list[str] | None = None) -> dict[str, DataFrame]:
+        """The tables as a micro-batch sees them: all at the newest versions of the moment at which it first began, and the same if it comes
+        again. reader: the stream's name."""
+        newest = {n: v for n in tables or self.names() if (v := self._table(n).version()) is not None}
+        return {n: self.read(n, v) for n, v in self.pins.take(reader, batch, newest).items()}
+
+    def with_tables(self, reader: str, write: Callable[[DataFrame, int, dict[str, DataFrame]], None], tables: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+        """For foreachBatch: write(batch, number, tables by name) with pinned tables. A join of a stream with read() itself would see the
+        files of the query's start for ever."""
+        return lambda batch, number: write(batch, number, self.pinned(reader, number, tables))
+
+    def vacuum(self, keep: timedelta = timedelta(days=1)) -> None:
+        """Deletes what no reader can read any more."""
+        for n in self.names():
+            self._table(n).vacuum(self.pins.held(n), keep)
+
 
 def write_summary(df: DataFrame, batch: int, columns: list[str], path: str) -> None:
     """For foreachBatch of summaries: the sink's columns in its order, with the time of writing. A batch that comes again replaces itself."""

@@ -120,7 +120,9 @@ def test_dimension_tables(spark, tmp_path):
     for _ in range(2):
         some(apply_deletes=True)
         assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b")}
-    tables.upsert("d", put(row("2", "again", "insert", 1), row("3", "d", "insert", 1)), order=("seq",))
+    tables.upsert("d", put(row("2", "older", "insert", 1), row("3", "d", "insert", 1)), order=("seq",))
+    assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b"), ("3", "d")}  # older changes that come later don't win
+    tables.upsert("d", put(row("2", "again", "insert", 5)), order=("seq",))
     assert {tuple(r) for r in tables.read("d").collect()} == {("1", "b"), ("2", "again"), ("3", "d")}
     with pytest.raises(ValueError, match="no column"):
         tables.create("e", "name")

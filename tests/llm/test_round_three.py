@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import bidiagonal, components, ranked, simhash, whitening
+from millrace.llm import bidiagonal, components, hamming, ranked, simhash, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -214,3 +214,46 @@ def test_links_in_short_and_long_lists(spark, most):
     got = {r.node: r.component for r in components.connected_components(links).collect()}
     assert {v: got.get(v, v) for v in want} == want
     assert all(((r.u ^ r.v) & ((1 << 64) - 1)).bit_count() <= 2 for r in links.collect())
+
+
+def test_segments_of_like_width():
+    assert hamming.widths_of(64, 500) == [8] * 8 and hamming.widths_of(10, 20) == [4, 3, 3] and hamming.widths_of(3, 1000) == [3]
+    for dims in (1, 40, 64, 1000):
+        for n in (0, 1, 500, 2_000_000, 10**9):
+            w = hamming.widths_of(dims, n)
+            assert sum(w) == dims and max(w) - min(w) <= 1 and max(w) <= 30
+
+
+def searched(spark, v, monkeypatch):
+    """(rows of the result, {radius: probes, codes met} of the search)."""
+    seen, reached = {}, hamming.SegmentIndex._reached
+
+    def spy(self, probes, radius):
+        out = reached(self, probes, radius)
+        seen[radius] = (probes.count(), probes.join(self.dealt, ["seg", "value"]).count(), self.existing)
+        return out
+
+    monkeypatch.setattr(hamming.SegmentIndex, "_reached", spy)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in hamming.top_k(df).collect()}
+    bits = np.asarray(v) >= 0
+    want = set()
+    for q in range(0, len(v), 20):
+        near = sorted((int((bits[q] != bits[i]).sum()), i) for i in range(len(v)) if i != q)[:10]
+        want |= {(q, n + 1, i, d) for n, (d, i) in enumerate(near)}
+    assert got == want
+    return seen
+
+
+def test_codes_met_at_radius_0(spark, monkeypatch):
+    seen = searched(spark, np.random.default_rng(4).normal(size=(500, 64)), monkeypatch)
+    assert seen[0][1] / 25 <= 3 * 8  # each query meets about two codes in each of eight segments, itself among them
+
+
+def test_an_outlier_probes_existing_values_only(spark, monkeypatch):
+    v = np.ones((600, 64))
+    for i, at in enumerate(np.random.default_rng(5).integers(0, 64, (600, 2))):
+        v[i, at] = -1
+    v[40] = -1
+    seen = searched(spark, v, monkeypatch)
+    assert max(seen) >= 6 and all(probes <= existing * 30 for probes, _, existing in seen.values()) and sum(p for r, (p, _, _) in seen.items() if r > 2) <= 2 * max(e for _, _, e in seen.values())

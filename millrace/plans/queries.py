@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import sinks
-from millrace.functions import times, values
-from millrace.operators import etl, facts, joins, keyed, summaries
+from millrace.functions import text, times, values
+from millrace.functions.segment import dictionary_segmenter
+from millrace.ledger import FolderTopic
+from millrace.operators import etl, facts, history, joins, keyed, summaries, versions
 from millrace.plans.fixtures import ARRIVAL, VIEWS, Inputs
 from millrace.schemas import CONFIG_COLUMNS, ORDER_DETAIL
 from millrace.shared import scratch
@@ -365,6 +367,59 @@ def returning_user_3_days(t: Inputs) -> DataFrame:
     return _returning(t, 3)
 
 
+def _day_by_day(t: Inputs, rows: DataFrame, key: str, flag: str | None, run: Callable[[DataFrame, DataFrame], DataFrame], slices: int = 4) -> DataFrame:
+    """Runs over slices of days, one after the other, each with the state that the ones before have left in a table."""
+    day, out, state = F.datediff(F.to_date("time"), F.lit("1970-01-01").cast("date")), None, history.no_history(t.spark)
+    low, high = rows.agg(F.min(day), F.max(day)).first()
+    if low is None:
+        return run(rows, state)
+    cuts = [low + (high + 1 - low) * i // slices for i in range(slices + 1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = rows.filter((day >= a) & (day < b))
+        out = run(part, state) if out is None else out.unionByName(run(part, state))
+        path = scratch(t.spark, "history")
+        history.after(part, state, key, "time", "event_id", flag).write.mode("overwrite").parquet(path)
+        state = t.spark.read.schema(history.STATE).parquet(path)
+    return out
+
+
+@query(f"select uid, date, is_back, is_first from (select *, cast(date = min(date) over (partition by uid) as int) as is_first from ({_BACK.format(3)}))")
+def history_returning(t: Inputs) -> DataFrame:
+    """First and returning visitors, from runs that read some days each."""
+    return _day_by_day(t, etl.logins(t.page_log), "uid", None, lambda rows, state: history.first_and_returning(rows, state, "uid", "time", "event_id", 3)).select("uid", "date", "is_back", "is_first")
+
+
+@query("select event_id, mid, is_new from repaired")
+def history_repair(t: Inputs) -> DataFrame:
+    return _day_by_day(t, t.page_log, "mid", "is_new", history.repair_is_new).select("event_id", "mid", "is_new")
+
+
+_NAMES = """select p_partkey, 1 + i as n, 694224000 + (p_partkey * 7919 + i * 104729) % 220000000 as since, p_name || ' ' || (p_partkey + i) % 3 as name from part, unnest(range(0, 3)) as u(i)"""
+
+
+@query(f"""select id, l_shipdate, l_suppkey, l_extendedprice, v.name from lines
+  asof left join (select p_partkey, since, arg_max(name, n) as name from ({_NAMES}) group by p_partkey, since) v on lines.l_partkey = v.p_partkey and lines.ts >= v.since""")
+def as_of_name(t: Inputs) -> DataFrame:
+    """Order lines with the part's name of that time; names change twice."""
+    p, i = F.col("p_partkey"), F.col("i")
+    changes = t.table("part").withColumn("i", F.explode(F.array(*map(F.lit, range(3))))).select("p_partkey", (i + 1).alias("n"), (694224000 + (p * 7919 + i * 104729) % 220000000).alias("since"), F.concat("p_name", F.lit(" "), (p + i) % 3).alias("name"))
+    names = versions.intervals(changes, "p_partkey", "since", ["name"], ["n"])
+    rows = t.order_lines.select("id", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "ts")
+    return versions.as_of(rows, names, "l_partkey", "ts", ["name"], "p_partkey").drop("l_partkey", "ts")
+
+
+@query("select batch, count(*) as records, sum(count(*)) over (order by batch) - count(*) as first_offset, sum(count(*)) over (order by batch) - 1 as last_offset from (select cast(event_id % 3 as int) as batch from (" + _ROUTED.replace("case event_type when", "event_id, case event_type when", 1) + ")) group by batch")
+def topic_commits(t: Inputs) -> DataFrame:
+    """Routed facts in a topic with a commit log, in three batches that are all written twice: records and offsets of each."""
+    topic = FolderTopic(t.spark, scratch(t.spark, "topic"))
+    rows = sinks.route_topics(_routed_facts(t))
+    batch = F.pmod(F.get_json_object("value", "$.data.id").cast("long"), F.lit(3)).cast("int")
+    for n in (0, 1, 2, 2, 1, 0):
+        topic.append(rows.filter(batch == n), "facts", n)
+    out = topic.read().groupBy(batch.alias("batch")).agg(F.count_distinct("offset").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+    return out
+
+
 def _lines(t: Inputs) -> DataFrame:
     return t.order_lines.select("id", "order_id", "sku_id", "province_id", *summaries.SKU_MEASURES, *ARRIVAL, "time")
 
@@ -446,6 +501,25 @@ def win_keyword(t: Inputs) -> DataFrame:
     return summaries.keywords(etl.searches(log))
 
 
+_RUNS = """turns as (select conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from conversations),
+  words as (select word, cast(floor(1000 * ln(sum(count(*)) over () / count(*))) as bigint) as cost from (select unnest(w) as word from turns) group by word),
+  runs as (select conv_id, turn, i, w[i] || coalesce(w[i + 1], '') as run from (select *, unnest(range(1, len(w) + 1, 2)) as i from turns)),
+  paths(run, done, cost, n, sizes, path) as (
+    select distinct run, 0, cast(0 as bigint), 0, cast([] as bigint[]), cast([] as varchar[]) from runs
+    union all select run, done + len(word), p.cost + words.cost, n + 1, sizes || [cast(len(word) as bigint)], path || [word] from (select paths.*, substr(run, done + 1, l) as word from paths, (select distinct len(word) as l from words) where done + l <= len(run)) p join words using (word)),
+  cut as (select run, path from paths where done = len(run) qualify row_number() over (partition by run order by cost, n, sizes desc) = 1)"""
+
+
+@query(f"with recursive {_RUNS} select conv_id, turn, count(*) as runs, string_agg(array_to_string(path, ' '), ' ' order by i) as words from runs join cut using (run) group by conv_id, turn")
+def segment_words(t: Inputs) -> DataFrame:
+    """Texts whose words are glued together in pairs, cut again by a dictionary of all words that occur."""
+    turns = t.table("conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    words = turns.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("weight"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(2)), lambda i: F.concat(F.get("w", i), F.coalesce(F.get("w", i + 1), F.lit(""))))
+    cut = dictionary_segmenter(words)
+    return turns.select("conv_id", "turn", F.size(pair).cast("long").alias("runs"), F.array_join(cut(F.array_join(pair, " ")), " ").alias("words"))
+
+
 @query(f"""select {_window('(ts // 1000)')}, vc, ch, ar, is_new, cast(sum(cast(d.event_id is not null as int)) as bigint) as uv_ct, cast(sum(cast(coalesce(last_page_id, '') = '' as int)) as bigint) as sv_ct, count(*) as pv_ct, cast(sum(during_time) as bigint) as dur_sum
   from repaired r left join ({_DAYS}) d on d.event_id = r.event_id group by all""")
 def win_page_view(t: Inputs) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.ledger import append_once
 from millrace.operators.summaries import with_ts
 from millrace.shared import Folder
 from millrace.tables import Pins, VersionedTable, change_order
@@ -124,9 +125,9 @@ def write_summary(df: DataFrame, batch: int, columns: list[str], path: str) -> N
     with_ts(df).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def write_summary_jdbc(df: DataFrame, batch: int, columns: list[str], options: dict[str, str]) -> None:
-    """The same into a table of a database."""
-    with_ts(df).select(*columns).write.format("jdbc").options(**options).mode("append").save()
+def write_summary_jdbc(df: DataFrame, batch: int, columns: list[str], options: dict[str, str], source: str = "summary") -> bool:
+    """The same into a table of a database; a batch that comes again, or that was cut off half way, is there once. source: the stream's name."""
+    return append_once(with_ts(df).select(*columns), source, batch, options)
 
 
 def jdbc_summary_options(url: str, table: str, batch_size: int = 10_000) -> dict[str, str]:

@@ -136,7 +136,7 @@ def test_database_source_and_sink(spark):
     rows = spark.createDataFrame([("1101", 1), ("9", 2)], "payment_type string, n int")
     assert [tuple(r) for r in joins.decode(rows, "payment_type", dictionary, "name").collect()] == [("1101", 1, "card")]
     summary = spark.createDataFrame([("a", 5, "inner")], "stt string, n int, not_for_the_sink string")
-    for batch in (0, 1):
+    for batch in (0, 1, 1, 0):
         sinks.write_summary_jdbc(summary, batch, ["stt", "n", "ts"], sinks.jdbc_summary_options(options["url"], "summary") | {"driver": options["driver"]})
     got = config.read_jdbc(spark, options["url"], "summary", driver=options["driver"]).collect()
     assert [(r.STT if hasattr(r, "STT") else r.stt, r.n) for r in got] == [("a", 5)] * 2 and all(r.ts > 1_700_000_000_000 for r in got)

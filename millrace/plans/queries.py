@@ -408,7 +408,7 @@ def as_of_name(t: Inputs) -> DataFrame:
     return versions.as_of(rows, names, "l_partkey", "ts", ["name"], "p_partkey").drop("l_partkey", "ts")
 
 
-@query("select batch, count(*) as records, sum(count(*)) over (order by batch) - count(*) as first_offset, sum(count(*)) over (order by batch) - 1 as last_offset from (select cast(event_id % 3 as int) as batch from (" + _ROUTED.replace("case event_type when", "event_id, case event_type when", 1) + ")) group by batch")
+@query("select batch, count(*) as records, cast(sum(count(*)) over (order by batch) - count(*) as bigint) as first_offset, cast(sum(count(*)) over (order by batch) - 1 as bigint) as last_offset from (select cast(event_id % 3 as int) as batch from (" + _ROUTED.replace("case event_type when", "event_id, case event_type when", 1) + ")) group by batch")
 def topic_commits(t: Inputs) -> DataFrame:
     """Routed facts in a topic with a commit log, in three batches that are all written twice: records and offsets of each."""
     topic = FolderTopic(t.spark, scratch(t.spark, "topic"))

@@ -82,6 +82,18 @@ class FirstOfDay(_Processor):
         yield df.iloc[at].assign(date=pd.array(day, "string").astype(object), is_first=pd.array(first, "int32"), is_back=pd.array(back, "int32"))
 
 
+class FirstOfShare(FirstOfDay):
+    """Only the rows."""
+
+    def __init__(self, columns: list[str], key: str, time: str, tie: str, keep: pd.Timedelta):
+        super().__init__(key, time, tie, keep=keep)
+        self.columns = columns
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for out in super().handleInputRows(key, rows, timerValues):
+            yield out[self.columns]
+
+
 class RepairIsNew(_Processor):
     """State: the one date on which the key's visitor is new."""
 
@@ -153,10 +165,19 @@ def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *more])
 
 
-def first_of_day(df: DataFrame, key: str, time: str, tie: str, days: int = 8, keep: pd.Timedelta | None = None) -> DataFrame:
+def first_of_shares(df: DataFrame, key: str, time: str, tie: str, salts: int) -> DataFrame:
+    """The rows that begin a day of their key in one of `salts` shares of its rows: at most so many rows for each key and day, among them
+    the day's first. A share's state ends a day after its last row."""
+    shared = df.withColumn("_share", F.pmod(F.xxhash64(time, tie), F.lit(salts)).cast("int"))
+    return _run(shared, [key, "_share"], FirstOfShare(df.columns, key, time, tie, DAY), time, _schema(df))
+
+
+def first_of_day(df: DataFrame, key: str, time: str, tie: str, days: int = 8, keep: pd.Timedelta | None = None, salts: int = 1) -> DataFrame:
     """The stream's rows (with a watermark on time) that begin a day of their key, with date, is_first and is_back. keep: one day is
-    enough where only days count; without it, first days and returns are known for ever."""
-    return _run(df, [key], FirstOfDay(key, time, tie, days, keep), time, _schema(df, "date string", "is_first int", "is_back int"))
+    enough where only days count; without it, first days and returns are known for ever. salts: over 1 where a key may have a large part of
+    all rows (a null or a robot's); its rows are then looked through by so many tasks first, and its own state meets only what they leave."""
+    rows = first_of_shares(df, key, time, tie, salts) if salts > 1 else df
+    return _run(rows, [key], FirstOfDay(key, time, tie, days, keep), time, _schema(df, "date string", "is_first int", "is_back int"))
 
 
 def repair_is_new(df: DataFrame, key: str = "mid", flag: str = "is_new", time: str = "time", tie: str = "event_id") -> DataFrame:

@@ -1,4 +1,5 @@
-"""The summaries on streams: inputs need a watermark on `time`, of any delay. Rows without a time are in no window."""
+"""The summaries on streams: inputs need a watermark on `time`, of any delay. Rows without a time are in no window.
+salts: see keyed.first_of_day()."""
 
 from __future__ import annotations
 
@@ -16,8 +17,8 @@ from millrace.streaming import keyed
 __all__ = ["cart_users", "home_detail_visitors", "keywords", "login_users", "page_views", "province_orders", "refunds", "registrations", "sku_orders", "users"]
 
 
-def cart_users(carts: DataFrame) -> DataFrame:
-    return by_window(keyed.first_of_day(carts, "user_id", "time", "id", keep=keyed.DAY), F.count("*").alias("cart_add_uu_ct"))
+def cart_users(carts: DataFrame, salts: int = 1) -> DataFrame:
+    return by_window(keyed.first_of_day(carts, "user_id", "time", "id", keep=keyed.DAY, salts=salts), F.count("*").alias("cart_add_uu_ct"))
 
 
 def users(rows: DataFrame, tie: str, unique: str, new: str) -> DataFrame:
@@ -57,18 +58,18 @@ def refunds(rows: DataFrame, skus: DataFrame) -> DataFrame:
     return by_window(rows, F.size(F.collect_set("order_id")).cast("long").alias("refund_count"), keys=("tm_id", "category3_id", "user_id"))
 
 
-def home_detail_visitors(pages: DataFrame) -> DataFrame:
+def home_detail_visitors(pages: DataFrame, salts: int = 1) -> DataFrame:
     seen = etl.home_and_product(pages).withColumn("visit", F.concat_ws("\x01", "page_id", "mid"))
-    first = keyed.first_of_day(seen, "visit", "time", "event_id", keep=keyed.DAY)
+    first = keyed.first_of_day(seen, "visit", "time", "event_id", keep=keyed.DAY, salts=salts)
     count = lambda page: F.sum((F.col("page_id") == page).cast("long"))
     return by_window(first, count("home").alias("home_uv_ct"), count("good_detail").alias("good_detail_uv_ct"))
 
 
-def page_views(pages: DataFrame) -> DataFrame:
+def page_views(pages: DataFrame, salts: int = 1) -> DataFrame:
     """Both inputs of the sum come from one stream: its rows, and those that begin a visitor's day."""
     keys = ("vc", "ch", "ar", "is_new")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    first = keyed.first_of_day(pages, "mid", "time", "event_id", keep=keyed.DAY).select("time", *keys, one.alias("uv_ct"), zero.alias("sv_ct"), zero.alias("pv_ct"), zero.alias("dur_sum"))
+    first = keyed.first_of_day(pages, "mid", "time", "event_id", keep=keyed.DAY, salts=salts).select("time", *keys, one.alias("uv_ct"), zero.alias("sv_ct"), zero.alias("pv_ct"), zero.alias("dur_sum"))
     every = pages.select("time", *keys, zero.alias("uv_ct"), is_empty(F.col("last_page_id")).cast("long").alias("sv_ct"), one.alias("pv_ct"), F.coalesce("during_time", zero).alias("dur_sum"))
     return by_window(every.unionByName(first), *[F.sum(c).alias(c) for c in ("uv_ct", "sv_ct", "pv_ct", "dur_sum")], keys=keys)
 

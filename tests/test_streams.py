@@ -380,3 +380,15 @@ def test_topic_files(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text('{"table":"t","type":"insert","ts":"1","data":{"id":"1"}}\nnope\n')
     got = run(parse_changes(read_topic_files(spark, f"{tmp_path}/in")), tmp_path).collect()
     assert sorted(str(r.table) for r in got) == ["None", "t"]
+
+
+def test_a_key_with_most_rows_is_shared_out(spark, tmp_path, one_partition):
+    """One visitor has nine of ten rows; shares of it leave a few rows, and windows are those of a batch."""
+    day = 86400
+    rows = [[(i * 1000 + n, f"u{n}" if n % 10 == 9 else "robot", i * day // 2 + n) for n in range(200)] for i in range(3)]
+    files = [*rows, [(10**6, "end", 30 * day)], [(10**6 + 1, "end", 31 * day)]]
+    stream, df = timed(spark, f"{tmp_path}/in", "id long, user_id string, time timestamp", files)
+    got, want = (sorted(map(tuple, d.filter("stt < '2024-01-20'").collect())) for d in (run(streams.cart_users(stream, salts=4), tmp_path / "a"), summaries.cart_users(df)))
+    assert got == want and len(want) == 40
+    left = run(stream_keyed.first_of_shares(stream, "user_id", "time", "id", 4), tmp_path / "b")
+    assert left.filter("user_id = 'robot'").count() == 8 and df.filter("user_id = 'robot'").count() == 540

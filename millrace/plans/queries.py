@@ -13,7 +13,7 @@ from millrace import sinks
 from millrace.functions import text, times, values
 from millrace.functions.segment import dictionary_segmenter
 from millrace.ledger import FolderTopic
-from millrace.operators import etl, facts, history, joins, keyed, summaries, versions
+from millrace.operators import etl, facts, history, joins, keyed, sketches, summaries, versions
 from millrace.plans.fixtures import ARRIVAL, VIEWS, Inputs
 from millrace.schemas import CONFIG_COLUMNS, ORDER_DETAIL
 from millrace.shared import scratch
@@ -526,6 +526,14 @@ def win_page_view(t: Inputs) -> DataFrame:
     return summaries.page_views(keyed.repair_is_new(t.page_log))
 
 
+@query("""select strftime(epoch_ms(cast(d * 86400000 as bigint)), '%Y-%m-%d %H:%M:%S') as stt, strftime(epoch_ms(cast((d + 1) * 86400000 as bigint)), '%Y-%m-%d %H:%M:%S') as edt, page_id, visitors
+  from (select ts // 86400000 as d, page_id, count(distinct mid) as visitors from pages_log group by all)""")
+def sketch_visitors(t: Inputs) -> DataFrame:
+    """Visitors of a page by day, merged from sketches of ten seconds by page and channel (exact up to some thousand visitors)."""
+    short = sketches.sketch_ids(t.page_log, "mid", ("page_id", "ch"))
+    return sketches.distinct_counts(sketches.merge_sketches(short, ("page_id",)), "visitors")
+
+
 @query(f"select {_window('(ms // 1000)')}, cast(sum(is_back) as bigint) as back_ct, count(*) as uu_ct from ({_BACK.format(8)}) group by all")
 def win_login(t: Inputs) -> DataFrame:
     return summaries.login_users(t.page_log)

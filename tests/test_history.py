@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import history, keyed, versions
+from millrace.operators import history, keyed, sketches, versions
 
 SCHEMA = "event_id long, mid string, is_new string, time timestamp"
 
@@ -64,3 +64,14 @@ def test_as_of(spark, salts):
         own = sorted((r.valid_from, r.valid_to, r.name) for r in rows if r.id == k)
         assert own and own[-1][1] is None and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(own, own[1:], strict=False))
     assert versions.as_of(spark.createDataFrame(events, "e int, k string, at int"), made.limit(0), "k", "at", ["name"], "id").filter(F.col("name").isNotNull()).count() == 0
+
+
+def test_merged_sketches(spark):
+    """Exact while small, and within five standard errors beyond; ids that windows share count once; nulls don't."""
+    n = 60_000
+    rows = spark.range(2 * n).select(F.concat(F.lit("u"), F.col("id") % n).alias("mid"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 50_000).alias("time"), F.when(F.col("id") < 3000, "few").otherwise("many").alias("page"))
+    more = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), "few"), ("x", None, "few")], "mid string, time timestamp, page string")
+    short = sketches.sketch_ids(rows.unionByName(more), "mid", ("page",))
+    got = {r.page: r.distinct_count for r in sketches.distinct_counts(sketches.merge_sketches(sketches.merge_sketches(short, ("page",), "1 hour"), ("page",))).collect()}
+    assert got["few"] == 3000 and abs(got["many"] - n) < 5 * n / (2**sketches.LG - 1) ** 0.5
+    assert sum(r.distinct_count for r in sketches.distinct_counts(sketches.merge_sketches(short)).collect()) == pytest.approx(n, rel=0.08)

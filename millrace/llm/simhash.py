@@ -160,7 +160,8 @@ def simhash_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     links = linked_prints(nodes.select("fp"))
     of = settle(connected_components(links).withColumnRenamed("node", "fp"), "of")
     least = nodes.join(of, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    final = nodes.join(of, "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = of.join(least, "component").select("fp", "component_id")  # before nodes without links, whose component is null, come in
+    final = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -59,16 +59,16 @@ class Inputs:
 
     @cached_property
     def last_items(self) -> DataFrame:
-        """lineitem with the latest row of each line only. Few lines have several rows, so they go to their keys before any is dropped,
-        and are sorted once."""
+        """lineitem with the latest row of each line only. Few lines have several rows, so they go to their orders (of a few lines each)
+        before any is dropped, and are sorted once; the join with orders needs neither again."""
         rest, key = ["l_quantity", "l_discount", "l_tax", "l_returnflag"], ["l_orderkey", "l_linenumber"]
-        last = self.table("lineitem").repartition(*key).groupBy(*key).agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
+        last = self.table("lineitem").repartition("l_orderkey").groupBy(*key).agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
         return last.select("l_orderkey", "l_linenumber", "r.*")
 
     @cached_property
     def order_lines(self) -> DataFrame:
         """Lines in order of arrival, ids repeated."""
-        return self._lines(spread(self.table("lineitem")))
+        return self._lines(self.table("lineitem"))
 
     @cached_property
     def last_lines(self) -> DataFrame:
@@ -76,8 +76,9 @@ class Inputs:
         return self._lines(self.last_items)
 
     def _lines(self, items: DataFrame) -> DataFrame:
+        """Lines and orders meet by order, not by a copy of one side: both grow with the data, and their files tell too little of their size."""
         part = self.table("part").select("p_partkey", "p_name", "p_retailprice")
-        lines = items.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = items.join(self.orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
         money = lambda c: F.col(c).cast(MONEY)
         return lines.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), _string("l_orderkey").alias("order_id"), _string("l_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"),

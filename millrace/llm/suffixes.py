@@ -10,11 +10,12 @@ by a rule that loses no match:
    anchors, at the same place within the window. Windows in a row with one anchor make a span. Each task writes the spans it
    saw first; repeats of the same span within the task are known to be repeats there and then, so no key has more rows than
    there are tasks times its different spans.
-2. Spans meet by anchor. Of equal spans all but the first are repeats. If an anchor has several different spans, the first of each
-   is looked at more closely: these are the borders of repeats.
+2. Spans meet by anchor, sorted, and pass by. Of equal spans all but the first are repeats. If an anchor has several different spans, the
+   first of each is looked at more closely: these are the borders of repeats. Spans of frequent anchors (found in a share of the texts)
+   meet by anchor and span, and all their firsts are looked at.
 3. The bytes of those spans are fetched. The windows of a span that start near its anchor have 66 bytes in common, the others
-   another 66; each of these halves goes where spans with the same common bytes meet. Of equal halves one is kept, and each task
-   builds the transform and common prefixes of its different halves column by column, in files of its own temporary folder that
+   another 66; each of these halves goes where spans with the same common bytes meet. Of equal halves one is kept, and whole groups of the
+   different ones, some at a time, build the transform and common prefixes of its different halves column by column, in files of its own temporary folder that
    each round reads and writes from start to end, a chunk at a time: windows with a common prefix of `length` form classes, and all but the first of a class are repeats.
 4. Repeats are gathered by document and cut out of the whole text.
 
@@ -45,6 +46,9 @@ LENGTH, ANCHOR = 100, 32
 _PLACE = np.uint64((1 << 24) - 1)
 #: One text's segments; spans that a task holds before it writes; strings in one transform.
 SEGMENT, HELD, STRINGS = 8 << 20, 1 << 20, 20_000
+#: Anchors of about MANY spans, by one text in SHARE, are frequent ones; so many are listed at most.
+MANY, SHARE, LISTED = 1 << 17, 64, 4096
+_SPANS = "anchor long, span long, doc_id long, key long, place long"
 NO_ID = -(1 << 63)
 
 
@@ -92,16 +96,18 @@ def _firsts(key: np.ndarray, start: np.ndarray, doc: np.ndarray, *group: np.ndar
     return order, (doc[order] == doc[begin]) & (start[order] == start[begin]), new
 
 
-#: `place` is start * 2^16 + number of windows * 2^8 + anchor's place, or KNOWN instead of that of a span that is known to be a repeat.
-_SPAN, KNOWN = ["anchor", "span", "doc_id", "key", "place"], 255
+#: `place` is start * 2^16 + number of windows * 2^8 + anchor's place, with HEAVY added where the anchor is a frequent one, or KNOWN instead of
+#: anchor's place and mark in a span that is known to be a repeat.
+_SPAN, KNOWN, HEAVY = ["anchor", "span", "doc_id", "key", "place"], 255, 128
 
 
-def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _task_spans(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
         doc, key, start, n, lead, anchor, span = map(np.concatenate, zip(*held, strict=True))
         held.clear()
+        lead = lead + HEAVY * np.isin(anchor.view(np.int64), frequent)
         order, first, _ = _firsts(key, start, doc, span, anchor)
         anchor = np.where(first, anchor[order], mix(doc[order].astype(np.uint64) + start[order].astype(np.uint64)))
         return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span[order].view(np.int64)), pa.array(doc[order]), pa.array(key[order]), pa.array((start[order] << 16) | (n[order] << 8) | np.where(first, lead[order], KNOWN))], _SPAN)
@@ -119,28 +125,47 @@ def _task_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         yield flush()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All spans of some anchors: (doc_id, key, start, n, lead) of repeats (lead null) and of the firsts of each different span."""
-    whole = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-    if whole is None:
-        return
-    anchor, span, doc, key, place = (whole.column(c).to_numpy() for c in _SPAN)
-    start, n, lead = place >> 16, (place >> 8 & 255).astype(np.int16), (place & 255).astype(np.int16)
-    told, kept = np.flatnonzero(lead == KNOWN), np.flatnonzero(lead != KNOWN)
-    told = told[_firsts(key[told], start[told], doc[told], doc[told])[0]]
-    order, is_first, new = _firsts(*(x[kept] for x in (key, start, doc, span, anchor)))
-    order = kept[order]
-    repeat, group, first = order[~is_first], np.cumsum(new)[is_first], order[is_first]
-    # whether an anchor has another span
-    edge = np.concatenate((np.ones(min(len(first), 1), bool), anchor[first[1:]] != anchor[first[:-1]]))
-    begin = np.flatnonzero(edge)
-    end = np.append(begin[1:], len(first))[: len(begin)] - 1
-    probe = first[np.repeat(group[begin] != group[end], end - begin + 1)]
-    rows = np.concatenate((told, repeat, probe))
-    none = np.arange(len(rows)) < len(told) + len(repeat)
-    for a in range(0, len(none), 1 << 16):
-        b = rows[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[b]) for x in (doc, key, start, n)), pa.array(lead[b], mask=none[a : a + (1 << 16)])], ["doc_id", "key", "start", "n", "lead"])
+def _meet(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """From spans in order of _SPAN's columns: (doc_id, key, start, n, lead) of repeats (lead null) and of the firsts of each different
+    span. They pass by; what waits are the firsts of an anchor's only span so far, until another span shows that they are wanted (or
+    the anchor ends and they aren't). If more than `held` wait they are given out at once: the next step finds no other."""
+
+    def out(rows: np.ndarray, repeat: bool) -> Iterator[pa.RecordBatch]:
+        for a in range(0, rows.shape[1], 1 << 16):
+            _, _, doc, key, place = rows[:, a : a + (1 << 16)]
+            lead = pa.array((place & (HEAVY - 1)).astype(np.int16), mask=np.full(len(place), repeat))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(place >> 16), pa.array((place >> 8 & 255).astype(np.int16)), lead], ["doc_id", "key", "start", "n", "lead"])
+
+    last, begin, many, waiting = None, (0, 0), False, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = np.stack([batch.column(c).to_numpy() for c in _SPAN])
+        last = rows[:, :1] ^ np.array([[-1], [0], [0], [0], [0]]) if last is None else last  # another anchor than any row's before it
+        rows = np.concatenate((last, rows), axis=1)
+        last, differ = rows[:, -1:], rows[:, 1:] != rows[:, :-1]
+        rows, again, new_anchor, new_span = rows[:, 1:], ~differ.any(0), differ[0], differ[0] | differ[1]
+        at = np.maximum.accumulate(np.where(new_span, np.arange(len(new_span)), -1))
+        doc0, start0 = (np.where(at >= 0, x[at], y) for x, y in zip((rows[2], rows[4] >> 16), begin, strict=True))
+        known = rows[4] & 255 == KNOWN
+        first, begin = (rows[2] == doc0) & (rows[4] >> 16 == start0) & ~known, (doc0[-1], start0[-1])
+        run = np.cumsum(new_anchor)  # 0: the anchor of the batch before
+        of_many = np.bincount(run, new_span & ~new_anchor | (rows[4] & HEAVY > 0) & ~known, run[-1] + 1) > 0
+        of_many[0] |= many
+        if of_many[0]:
+            for x in waiting:
+                yield from out(x, False)
+        if of_many[0] or run[-1]:
+            waiting = []
+        many = bool(of_many[-1])
+        yield from out(rows[:, ~first & ~again], True)
+        yield from out(rows[:, first & ~again & of_many[run]], False)
+        if not many:
+            waiting.append(rows[:, first & ~again & (run == run[-1])])
+            if sum(x.shape[1] for x in waiting) > held:
+                for x in waiting:
+                    yield from out(x, False)
+                waiting, many = [], True
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -160,26 +185,49 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array([x[i].as_py()] * len(h), pa.int64()) for x in (ids, keys)), pa.array(s, pa.int64()), pa.array(n, pa.int16()), pa.array(p, pa.binary())], ["half", "doc_id", "key", "start", "n", "piece"])
 
 
-def _transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    batches = list(batches)
-    if not batches:
-        return
-    whole = pa.Table.from_batches(batches).combine_chunks()
+def _without_equals(whole: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    """Runs of the halves that an earlier one of their group equals, and the others, in order of group."""
     half, doc, key, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "key", "start", "n"))
-    pieces = whole.column("piece").to_pylist()
-    content = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+    content = np.fromiter((xxhash.xxh3_64_intdigest(p.as_buffer()) for p in whole.column("piece")), np.uint64, len(whole))
     order, is_first, _ = _firsts(key, start, doc, content, half)
-    equal, first = order[~is_first], order[is_first]
-    yield pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, key, start, n)], _RUN)
-    same = half[first[1:]] == half[first[:-1]]
-    first = first[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    cuts = [*(np.flatnonzero(half[first[1:]] != half[first[:-1]]) + 1), len(first)]
+    equal = order[~is_first]
+    return pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, key, start, n)], _RUN), whole.take(pa.array(order[is_first]))
+
+
+def _transform(batches: Iterator[pa.RecordBatch], length: int, strings: int) -> Iterator[pa.RecordBatch]:
+    """From halves sorted by group: the runs of windows that an earlier window equals. Whole groups pass by, about `strings` halves at a
+    time; of a group that is larger, what waits are its different halves."""
+    held, least = None, strings
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, more]) if held else more
+        if len(held) < least:
+            continue
+        half = held.column("half").to_numpy()
+        cut = int(np.searchsorted(half, half[-1]))  # where the last group begins
+        if cut:
+            yield from _groups(held.slice(0, cut), length, strings)
+        equal, held = _without_equals(held.slice(cut))
+        yield equal
+        least = max(strings, 2 * len(held))
+    if held:
+        yield from _groups(held, length, strings)
+
+
+def _groups(whole: pa.Table, length: int, strings: int) -> Iterator[pa.RecordBatch]:
+    equal, whole = _without_equals(whole.combine_chunks())
+    yield equal
+    half = whole.column("half").to_numpy()
+    same = half[1:] == half[:-1]
+    whole = whole.filter(pa.array(np.concatenate(([False], same)) | np.concatenate((same, [False])))) if len(whole) > 1 else whole.slice(0, 0)
+    half, doc, key, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "key", "start", "n"))
+    pieces = whole.column("piece").to_pylist()
     at = 0
-    for cut in cuts:  # whole groups, about STRINGS at a time
-        if cut - at < STRINGS and cut < len(first) or cut == at:
+    for cut in [*(np.flatnonzero(half[1:] != half[:-1]) + 1), len(half)]:
+        if cut - at < strings and cut < len(half) or cut == at:
             continue
-        own, at = first[at:cut], cut
-        yield _late_windows([pieces[i] for i in own], doc[own], key[own], start[own], n[own].astype(np.int64), length)
+        yield _late_windows(pieces[at:cut], doc[at:cut], key[at:cut], start[at:cut], n[at:cut].astype(np.int64), length)
+        at = cut
 
 
 _RUN = ["doc_id", "key", "start", "n"]
@@ -232,18 +280,29 @@ def _keys() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _frequent(docs: DataFrame, length: int) -> np.ndarray:
+    """The anchors, LISTED at most, that have the most spans in a share of the texts chosen by hash, if those are many. It changes only
+    where spans meet: a frequent anchor's go by their own hash, each to a task of its own."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "key"), F.lit(SHARE)) == 0)
+    spans = some.mapInArrow(partial(_task_spans, length=length, frequent=np.zeros(0, np.int64)), _SPANS).filter(F.col("place").bitwiseAND(255) != KNOWN)
+    most = spans.groupBy("anchor").count().filter(F.col("count") * SHARE >= MANY).orderBy(F.desc("count"), "anchor").limit(LISTED)
+    return np.sort(np.array([r.anchor for r in most.collect()], np.int64))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, key, repeats): of each text with any, the runs of starts (start, n) whose strings also start earlier."""
     spark = docs.sparkSession
     of, key = _keys()
     docs = docs.select(of.alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24)  # of 16 MB of text, half a million spans
-    met = docs.mapInArrow(partial(_task_spans, length=length), "anchor long, span long, doc_id long, key long, place long")
-    met = settle(met.repartition(parts, "anchor").mapInArrow(_meet, "doc_id long, key long, start long, n short, lead short"), "spans")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)  # of 64 MB of text, two million spans
+    met = docs.mapInArrow(partial(_task_spans, length=length, frequent=_frequent(docs, length)), _SPANS)
+    apart = F.when(F.col("place").bitwiseAND(HEAVY) > 0, F.xxhash64("anchor", "span")).otherwise(F.col("anchor"))
+    met = met.repartition(parts, apart).sortWithinPartitions("anchor", "span", "doc_id", "place", "key")
+    met = settle(met.mapInArrow(partial(_meet, held=HELD), "doc_id long, key long, start long, n short, lead short"), "spans")
     wanted = met.filter("lead is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "lead")).alias("wanted"))
     pieces = docs.join(wanted, ["doc_id", "key"]).mapInArrow(partial(_fetch, length=length), "half long, doc_id long, key long, start long, n short, piece binary")
-    near = pieces.repartition(parts, "half").mapInArrow(partial(_transform, length=length), "doc_id long, key long, start long, n short")
+    near = pieces.repartition(parts, "half").sortWithinPartitions("half").mapInArrow(partial(_transform, length=length, strings=STRINGS), "doc_id long, key long, start long, n short")
     every = met.filter("lead is null").select("doc_id", "key", "start", "n").union(near)
     return every.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
 

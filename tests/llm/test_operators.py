@@ -199,12 +199,87 @@ def test_rows_of_one_id_have_their_own_repeats(spark):
     assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in suffixes.without_repeats(df).collect()) == sorted(w[2] for w in want)
 
 
-def test_a_long_text_in_segments():
+def test_a_long_text_in_segments(monkeypatch):
     rng = random.Random(2)
     text = np.frombuffer(bytes(rng.choice(b"abcdefgh ") for _ in range(3000)) * 2, np.uint8)
     whole = suffixes.spans(text, np.array([0, len(text)]), 100)
     windows = sum(whole[2])
     assert windows == len(text) - 99 and (whole[3] < 69 + whole[2]).all() and (whole[2] <= 69).all()
+    monkeypatch.setattr(suffixes, "SEGMENT", 1000)  # each window in one segment, and spans that a border cuts still cover all
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([5]), pa.array([text.tobytes().decode()])], ["doc_id", "key", "text"])
+    rows = pa.Table.from_batches(suffixes._task_spans(iter([batch]), 100, np.zeros(0, np.int64))).to_pylist()
+    starts = sorted(p for r in rows for p in range(r["place"] >> 16, (r["place"] >> 16) + (r["place"] >> 8 & 255)))
+    assert starts == list(range(len(text) - 99))
+
+
+def test_a_text_over_a_megabyte(spark):
+    """Longer than a block, with a passage that repeats in it and one from a short text."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("abcdefghé ", k=n))
+    passage, short = some(400), some(150)
+    rows = [(1, short), (2, some(700_000) + "1" + passage + "2" + some(500_000) + short + some(1000) + "3" + passage + "4" + some(10)), (3, some(2000))]
+    got = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = rows[1][1].replace(short, "", 1)
+    want = want[: want.rindex(passage)] + want[want.rindex(passage) + len(passage) :]
+    assert (got[1].n_removed, got[3].n_removed, got[2].n_spans) == (0, 0, 2)
+    assert got[2].kept_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_frequent_anchors(spark, monkeypatch):
+    """Spans of anchors that stand in most texts meet by their own hash; the rows are the same."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, head = some(60), some(130)
+    texts = [some(rng.randint(50, 200)) + line + some(rng.randint(0, 200)) for _ in range(40)] + [head + line + some(50) for _ in range(10)]
+    rows = list(enumerate(texts + texts[:3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = repeats_by_hand([(d, t.encode()) for d, t in rows], 100)
+    of, key = suffixes._keys()
+    keyed = docs.select(of.alias("doc_id"), key.alias("key"), "text")
+    assert len(suffixes._frequent(keyed, 100)) == 0 and sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == want
+    monkeypatch.setattr(suffixes, "SHARE", 1)
+    monkeypatch.setattr(suffixes, "MANY", 5)
+    assert 0 < len(suffixes._frequent(keyed, 100)) < 100
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == want
+
+
+@pytest.mark.parametrize(("size", "held"), [(1, 100), (3, 100), (1000, 100), (2, 1)])
+def test_spans_pass_by_in_any_batches(size, held):
+    rng = random.Random(size)
+    rows = {(a, s, rng.randint(0, 4), rng.randint(0, 2), rng.randint(0, 3) << 16 | 7 << 8 | (a if a != 3 else a | suffixes.HEAVY)) for a in range(6) for s in range(a if a < 3 else 1) for _ in range(6)}
+    rows |= {(a, 9, 1, a, 5 << 16 | 7 << 8 | suffixes.KNOWN) for a in (-8, 40)}
+    rows = sorted([*rows, *list(rows)[::2]], key=lambda r: (*r[:3], r[4], r[3]))
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], suffixes._SPAN)
+    got = [(r["doc_id"], r["key"], r["start"], r["n"], r["lead"]) for r in pa.Table.from_batches(suffixes._meet(iter(table.to_batches(size)), held)).to_pylist()]
+    repeat, wanted, alone = set(), set(), set()
+    for a, s, d, k, p in rows:
+        begin = min((x[2], x[4] >> 16) for x in rows if x[:2] == (a, s))
+        if p & 255 == suffixes.KNOWN or (d, p >> 16) != begin:
+            repeat.add((d, k, p >> 16, 7, None))
+        else:
+            of_many = p & suffixes.HEAVY or len({x[1] for x in rows if x[0] == a}) > 1
+            (wanted if of_many else alone).add((d, k, p >> 16, 7, p & 127))
+    assert set(got) >= repeat | wanted and set(got) <= repeat | wanted | (alone if held == 1 else set())
+    assert len(got) <= len(set(rows))
+
+
+@pytest.mark.parametrize("strings", [1, 4, 10_000])
+def test_halves_pass_by_in_any_batches(strings):
+    rng = random.Random(strings)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 9))) for _ in range(60)]
+    rows = sorted((rng.randint(0, 4), d // 2, 0, 100 * (d % 2), len(p) - 5, p) for d, p in enumerate(pieces))
+    kinds = [pa.int64()] * 4 + [pa.int16(), pa.binary()]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["half", "doc_id", "key", "start", "n", "piece"])
+    got = set()
+    for r in pa.Table.from_batches(suffixes._transform(iter(table.to_batches(3)), 6, strings)).to_pylist():
+        got |= {(r["doc_id"], r["start"] + i) for i in range(r["n"])}
+    def late(of_group):  # with groups in one transform, repeats of other groups' windows may be found as well
+        first, out = {}, set()
+        for h, d, _, s, n, p in sorted(rows, key=lambda r: (r[1], r[3])):
+            out |= {(d, s + i) for i in range(n) if first.setdefault((h * of_group, p[i : i + 6]), (d, s + i)) != (d, s + i)}
+        return out
+
+    assert late(True) <= got <= late(False)
 
 
 def sets_by_hand(texts, k):

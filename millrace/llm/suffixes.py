@@ -185,19 +185,22 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array([x[i].as_py()] * len(h), pa.int64()) for x in (ids, keys)), pa.array(s, pa.int64()), pa.array(n, pa.int16()), pa.array(p, pa.binary())], ["half", "doc_id", "key", "start", "n", "piece"])
 
 
-def _without_equals(whole: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
-    """Runs of the halves that an earlier one of their group equals, and the others, in order of group."""
+def _different(whole: pa.Table, alone: bool) -> tuple[pa.RecordBatch, pa.Table]:
+    """Runs of the halves that an earlier one of their group equals, and the others, in order of group; of groups with one only if alone."""
     half, doc, key, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "key", "start", "n"))
     content = np.fromiter((xxhash.xxh3_64_intdigest(p.as_buffer()) for p in whole.column("piece")), np.uint64, len(whole))
     order, is_first, _ = _firsts(key, start, doc, content, half)
-    equal = order[~is_first]
-    return pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, key, start, n)], _RUN), whole.take(pa.array(order[is_first]))
+    equal, first = order[~is_first], order[is_first]
+    if not alone:
+        same = half[first[1:]] == half[first[:-1]]
+        first = first[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(first) > 1 else first[:0]
+    return pa.RecordBatch.from_arrays([pa.array(x[equal]) for x in (doc, key, start, n)], _RUN), whole.take(pa.array(first))
 
 
 def _transform(batches: Iterator[pa.RecordBatch], length: int, strings: int) -> Iterator[pa.RecordBatch]:
-    """From halves sorted by group: the runs of windows that an earlier window equals. Whole groups pass by, about `strings` halves at a
-    time; of a group that is larger, what waits are its different halves."""
-    held, least = None, strings
+    """From halves sorted by group: the runs of windows that an earlier window equals. Groups pass by, and about `strings` halves of whole
+    groups of different ones make a transform; of a group that is larger, what waits are its different halves."""
+    held, least, ready = None, strings, []
     for batch in batches:
         more = pa.Table.from_batches([batch])
         held = pa.concat_tables([held, more]) if held else more
@@ -205,36 +208,31 @@ def _transform(batches: Iterator[pa.RecordBatch], length: int, strings: int) ->
             continue
         half = held.column("half").to_numpy()
         cut = int(np.searchsorted(half, half[-1]))  # where the last group begins
-        if cut:
-            yield from _groups(held.slice(0, cut), length, strings)
-        equal, held = _without_equals(held.slice(cut))
+        equal, whole = _different(held.slice(0, cut).combine_chunks(), False)
+        yield equal
+        ready.append(whole)
+        if sum(map(len, ready)) >= strings:
+            yield _late_windows(ready, length)
+            ready = []
+        equal, held = _different(held.slice(cut).combine_chunks(), True)
         yield equal
         least = max(strings, 2 * len(held))
     if held:
-        yield from _groups(held, length, strings)
-
-
-def _groups(whole: pa.Table, length: int, strings: int) -> Iterator[pa.RecordBatch]:
-    equal, whole = _without_equals(whole.combine_chunks())
-    yield equal
-    half = whole.column("half").to_numpy()
-    same = half[1:] == half[:-1]
-    whole = whole.filter(pa.array(np.concatenate(([False], same)) | np.concatenate((same, [False])))) if len(whole) > 1 else whole.slice(0, 0)
-    half, doc, key, start, n = (whole.column(c).to_numpy() for c in ("half", "doc_id", "key", "start", "n"))
-    pieces = whole.column("piece").to_pylist()
-    at = 0
-    for cut in [*(np.flatnonzero(half[1:] != half[:-1]) + 1), len(half)]:
-        if cut - at < strings and cut < len(half) or cut == at:
-            continue
-        yield _late_windows(pieces[at:cut], doc[at:cut], key[at:cut], start[at:cut], n[at:cut].astype(np.int64), length)
-        at = cut
+        equal, whole = _different(held.combine_chunks(), False)
+        yield equal
+        ready.append(whole)
+    if any(map(len, ready)):
+        yield _late_windows(ready, length)
 
 
 _RUN = ["doc_id", "key", "start", "n"]
 
 
-def _late_windows(pieces: list[bytes], doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> pa.RecordBatch:
-    """Runs (doc_id, key, start, n) of windows of the pieces that an earlier window equals."""
+def _late_windows(groups: list[pa.Table], length: int) -> pa.RecordBatch:
+    """Runs (doc_id, key, start, n) of windows of the halves that an earlier window equals."""
+    whole = pa.concat_tables(groups)
+    doc, key, start, n = (whole.column(c).to_numpy() for c in _RUN)
+    n, pieces = n.astype(np.int64), whole.column("piece").to_pylist()
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     label = window_classes(np.frombuffer(b"".join(pieces), np.uint8), bounds, n, length)
     piece = np.repeat(np.arange(len(n)), n)

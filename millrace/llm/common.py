@@ -82,6 +82,26 @@ def sample_by_class(rows: DataFrame, col: str, sample: int, keys: tuple[str, ...
     return spark.createDataFrame(chosen, rows.schema), counts, taken
 
 
+#: Bytes of text in a sample.
+SAMPLE_BYTES = 128 << 20
+
+
+def within_bytes(rows: DataFrame, chosen: DataFrame, taken: dict, keys: list[str], limit: int = SAMPLE_BYTES) -> tuple[DataFrame, dict]:
+    """Of a sample by class, and its numbers of rows, what `limit` bytes of text hold: each class has its rows' share of them, and a text that
+    is larger than what is left of it is passed over for the next. The driver gets one number for each row of the sample."""
+    sizes = rows.join(F.broadcast(chosen), keys).groupBy(*chosen.columns).agg(F.max(F.octet_length("text")).alias("_bytes"))
+    size, col = {tuple(r)[:-1]: r["_bytes"] for r in sizes.collect()}, chosen.columns[-1]
+    left, kept, every = {c: limit * n // max(1, sum(taken.values())) for c, n in taken.items()}, [], chosen.collect()
+    for r in every:
+        n = size.get(tuple(r), 0)
+        if n <= left[r[col]]:
+            left[r[col]] -= n
+            kept.append(tuple(r))
+    if len(kept) == len(every):
+        return chosen, taken
+    return rows.sparkSession.createDataFrame(kept, chosen.schema), {c: sum(r[-1] == c for r in kept) for c in taken}
+
+
 def first_rows(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Of the rows with a chosen key, one for each (the one whose text has the smallest hash), so that repeated rows bring one text."""
     got = rows.join(F.broadcast(chosen), keys)

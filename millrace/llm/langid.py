@@ -2,7 +2,7 @@
 
 A word's features are hashed: the word itself (lexicon), its first and last two and three bytes (affixes) and its byte trigrams.
 Their weights and the transitions between languages are learned together, by gradients of the chain's likelihood, from a sample
-of labelled documents bounded by `sample`, as many of each language (those with the smallest hash of id and text; all of a language that
+of labelled documents bounded by `sample` and in bytes (common.py), as many of each language (those with the smallest hash of id and text; all of a language that
 has fewer, so that rare ones are learned). Training chains are spliced from pieces of
 several documents, so that transitions are learned from text that switches languages. Forward-backward gives each word's
 probability of each language; a document's language is the one with the largest mean.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, first_rows, sample_by_class, table
+from millrace.llm.common import crc_mod, first_rows, sample_by_class, table, within_bytes
 from millrace.llm.textbytes import blocks, lower_ascii, mix, prefix, range_hash, words
 
 UNKNOWN = "und"
@@ -174,7 +174,8 @@ def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Fiel
     """Learns from at most `sample` documents that have a language and a letter and for which `usable` holds."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))  # an id alone may stand in many rows
-    chosen, _, _ = sample_by_class(rows, "lang", sample, ("row",))
+    chosen, _, taken = sample_by_class(rows, "lang", sample, ("row",))
+    chosen, _ = within_bytes(rows, chosen, taken, ["row", "lang"])
     got = first_rows(rows, chosen, ["row", "lang"]).select("lang", "text").mapInArrow(_features, "lang string, n binary, bucket binary").toArrow()
     if not len(got):
         return None

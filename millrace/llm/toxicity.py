@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, first_rows, sample_by_class, table, text_column
+from millrace.llm.common import crc_mod, first_rows, sample_by_class, table, text_column, within_bytes
 from millrace.llm.textbytes import NO_TERM, blocks, lower_ascii, prefix, range_hash, words
 
 BUCKETS, RANK = 1 << 18, 4
@@ -137,11 +137,13 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Machine | None:
-    """Learns from at most `sample` labelled documents for which `usable` (over doc_id) holds."""
+    """Learns from at most `sample` labelled documents, and SAMPLE_BYTES of text, for which `usable` (over doc_id) holds."""
     toxic = F.when(F.col("toxic").cast("string").try_cast("double").isNotNull(), F.col("toxic").cast("string").try_cast("double") > 0).otherwise(F.col("toxic").cast("string").try_cast("boolean")).cast("int")
     chosen = labels.filter(F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(toxic).alias("label")).filter("label is not null")
     chosen, counts, taken = sample_by_class(chosen, "label", sample)
-    rows = first_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), chosen, ["doc_id"]).select("label", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chosen, taken = within_bytes(texts, chosen, taken, ["doc_id"])
+    rows = first_rows(texts, chosen, ["doc_id"]).select("label", "text")
     got = rows.mapInArrow(_features, "label int, x binary").toArrow()
     share = len(got) and sum(taken.values()) / sum(counts.values())
     weight = tuple(share * sum(n for c, n in counts.items() if (c > 0) == side) / max(1, sum(n for c, n in taken.items() if (c > 0) == side)) for side in (False, True))

@@ -704,6 +704,17 @@ def test_samples_are_bounded_whatever_ids_repeat(spark):
     assert common.first_rows(docs.select("doc_id", "text"), chosen, ["doc_id"]).count() == 21
 
 
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 4 == 0 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    chosen, _, taken = common.sample_by_class(labels, "label", 30)
+    same, as_taken = common.within_bytes(docs, chosen, taken, ["doc_id"], 1 << 20)
+    assert same is chosen and as_taken == {0: 15, 1: 15}
+    some, of_class = common.within_bytes(docs, chosen, taken, ["doc_id"], 4400)  # 2200 a class: two long ones
+    rows = some.collect()
+    assert sum(r.doc_id % 4 == 0 for r in rows) == 2 and of_class == {0: sum(r.label == 0 for r in rows), 1: 15}
+
+
 def cut_by_hand(rows):
     """Texts without what lies in a string of 100 bytes that also starts earlier; characters covered in part stay."""
     first, out = {}, {}

@@ -75,3 +75,11 @@ def test_merged_sketches(spark):
     got = {r.page: r.distinct_count for r in sketches.distinct_counts(sketches.merge_sketches(sketches.merge_sketches(short, ("page",), "1 hour"), ("page",))).collect()}
     assert got["few"] == 3000 and abs(got["many"] - n) < 5 * n / (2**sketches.LG - 1) ** 0.5
     assert sum(r.distinct_count for r in sketches.distinct_counts(sketches.merge_sketches(short)).collect()) == pytest.approx(n, rel=0.08)
+
+
+def test_exact_counts_of_windows_that_sketches_only_estimate(spark):
+    rows = spark.range(6000).select(F.concat(F.lit("m"), F.col("id") % 3000).alias("mid"), F.when(F.col("id") % 10 == 0, "few").when(F.col("id") % 10 > 1, "many").alias("page"), F.timestamp_seconds(F.col("id") * 7).alias("time"))
+    rows = rows.unionByName(rows.limit(20).withColumn("mid", F.lit(None).cast("string")))
+    merged = sketches.merge_sketches(sketches.sketch_ids(rows, "mid", ("page",), lg=8), ("page",), lg=8)
+    got = {r.page: r.distinct_count for r in sketches.exact_counts(merged, rows, "mid", ("page",), lg=8).collect()}
+    assert got == {"few": 300, "many": 2400, None: 300}

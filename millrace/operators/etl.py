@@ -31,18 +31,29 @@ def split_dirty(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return full.filter(is_json_object(F.col("value"))), full.filter(~is_json_object(F.col("value")))
 
 
+def mark_dirty(raw: DataFrame, mark: str = "dirty") -> DataFrame:
+    """split_dirty() for those who need both at once: all records that aren't empty, read once, with a mark."""
+    return non_empty(raw).withColumn(mark, ~is_json_object(F.col("value")))
+
+
+def _small(config: DataFrame) -> DataFrame:
+    """A configuration has a row for each table, not for each change. Its size is unknown to Spark, which else would sort all changes by
+    their few tables' names, each table's in one task."""
+    return F.broadcast(config)
+
+
 def route_dim(changes: DataFrame, config: DataFrame) -> DataFrame:
     """sink_table, type, data with the configured columns, of changes in configured tables; and ts and offset, if there, which tell
     their order."""
     c = config.select(F.col("source_table").alias("table"), "sink_table", "sink_columns")
     extra = [x for x in ("ts", "offset") if x in changes.columns]
-    return changes.join(c, "table").select("sink_table", "type", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"), *extra)
+    return changes.join(_small(c), "table").select("sink_table", "type", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"), *extra)
 
 
 def route_fact(changes: DataFrame, config: DataFrame) -> DataFrame:
     """sink_table, data with the configured columns, ts, of changes of configured tables and types."""
     c = config.select(F.col("source_table").alias("table"), F.col("source_type").alias("type"), "sink_table", "sink_columns")
-    return changes.join(c, ["table", "type"]).select("sink_table", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"), "ts")
+    return changes.join(_small(c), ["table", "type"]).select("sink_table", keep_keys(F.col("data"), F.col("sink_columns")).alias("data"), "ts")
 
 
 def error_branch(log: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins of the facts and summaries. Which side is broadcast, if any, is left to Spark, which knows the sizes."""
+"""Joins of the facts and summaries. Which side is broadcast, if any, is left to Spark, which knows the sizes, but for the dictionary of codes."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def decode(df: DataFrame, code: str, dictionary: DataFrame, name: str) -> DataFrame:
-    """Adds the dictionary's name of a code; rows without one go."""
+    """Adds the dictionary's name of a code; rows without one go. The dictionary has a row for each code: it is broadcast, as rows would
+    gather by their few codes."""
     dic = dictionary.select(F.col("dic_code").alias(code), F.col("dic_name").alias(name))
-    return df.join(dic, code)
+    return df.join(F.broadcast(dic), code)
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, time: str, before: str, after: str, right_time: str = "right_time") -> DataFrame:

@@ -27,11 +27,12 @@ def _with_state(days: DataFrame, key: str, state: DataFrame) -> DataFrame:
 
 
 def _bases(rows: DataFrame, key: str, time: str, tie: str, flag: str | None) -> DataFrame:
-    """key, new_base: by the key's first row among these (see keyed.repair_is_new())."""
-    first = rows.filter(F.col(time).isNotNull()).groupBy(F.col(key).cast("string").alias("_of")).agg(F.min(F.struct(time, tie, *([flag] if flag else []))).alias("r"))
+    """key, new_base, by the key's first row among these (see keyed.repair_is_new()), first_date and last_date."""
+    first = rows.filter(F.col(time).isNotNull()).groupBy(F.col(key).cast("string").alias("_of")).agg(F.min(F.struct(time, tie, *([flag] if flag else []))).alias("r"), F.max(time).alias("_last"))
     day = F.to_date(f"r.{time}")
     is_new = F.coalesce(F.col(f"r.{flag}") == "1", F.lit(False)) if flag else F.lit(True)
-    return first.select("_of", F.date_format(F.when(is_new, day).otherwise(F.date_sub(day, 1)), "yyyy-MM-dd").alias("new_base"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return first.select("_of", text(F.when(is_new, day).otherwise(F.date_sub(day, 1))).alias("new_base"), text(f"r.{time}").alias("first_date"), text("_last").alias("last_date"))
 
 
 def first_and_returning(rows: DataFrame, state: DataFrame, key: str, time: str, tie: str, days: int = 8) -> DataFrame:
@@ -47,7 +48,7 @@ def repair_is_new(rows: DataFrame, state: DataFrame, key: str = "mid", flag: str
     """keyed.repair_is_new() of these rows: the day on which a visitor is new is the state's, or for a visitor that it lacks, these rows'."""
     own = _bases(rows, key, time, tie, flag)
     out = _with_state(rows, key, state)
-    out = out.join(own, F.col(key).cast("string").eqNullSafe(own["_of"]), "left")
+    out = out.join(own.select("_of", "new_base"), F.col(key).cast("string").eqNullSafe(F.col("_of")), "left")
     late = (F.col(flag) == "1") & (F.date_format(time, "yyyy-MM-dd") != F.coalesce("base_date", "new_base"))
     return out.withColumn(flag, F.when(late, F.lit("0")).otherwise(F.col(flag))).select(*rows.columns)
 
@@ -55,9 +56,7 @@ def repair_is_new(rows: DataFrame, state: DataFrame, key: str = "mid", flag: str
 def after(rows: DataFrame, state: DataFrame, key: str, time: str, tie: str, flag: str | None = None) -> DataFrame:
     """The state once these rows are read: an aggregation of the old one and of one row for each key of these. Earlier rows that come
     late move first_date back, and base_date with it, as if they had come in time."""
-    new = rows.filter(F.col(time).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.date_format(F.min(time), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max(time), "yyyy-MM-dd").alias("last_date"))
-    bases = _bases(rows, key, time, tie, flag)
-    new = new.join(bases, new["key"].eqNullSafe(bases["_of"])).select("key", "first_date", "last_date", F.col("new_base").alias("base_date"), F.lit(1).alias("_order"))
+    new = _bases(rows, key, time, tie, flag).select(F.col("_of").alias("key"), "first_date", "last_date", F.col("new_base").alias("base_date"), F.lit(1).alias("_order"))
     every = state.withColumn("_order", F.lit(0)).unionByName(new)
     return every.groupBy("key").agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.min_by("base_date", F.struct("first_date", "_order")).alias("base_date"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.times import from_millis
 from millrace.operators import etl
-from millrace.sinks import to_topic
 from millrace.sources.topics import parse_log
 
 
@@ -25,19 +24,28 @@ def repaired_log(raw: DataFrame, repair: Callable[[DataFrame], DataFrame], delay
     r = F.from_json("value", "common struct<mid:string,is_new:string>, ts bigint").alias("r")
     rows = good.select(r, "value").select(F.col("r.common.mid").alias("mid"), F.col("r.common.is_new").alias("is_new"), from_millis(F.col("r.ts")).alias("time"), F.col("value").alias("event_id"))
     rows = repair(rows.withWatermark("time", delay) if raw.isStreaming else rows)
+    if not raw.isStreaming:  # text is small for what its parsing costs: partitions joined by size alone would leave cores idle
+        rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
     log = parse_log(rows.withColumnRenamed("event_id", "value"))
     common = F.when(F.col("common").isNotNull(), F.col("common").withField("is_new", F.col("is_new")))
     return log.withColumn("common", common).drop("mid", "is_new", "time")
 
 
 def log_topics(log: DataFrame) -> DataFrame:
-    """topic and value of errors, starts, pages, displays and actions."""
-    branches = {"error": etl.error_branch, "start": etl.start_branch, "page": etl.page_branch, "display": etl.display_branch, "action": etl.action_branch}
-    rows = [to_topic(of(log)).select(F.lit(f"topic_{name}").alias("topic"), "value") for name, of in branches.items()]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.union(more)
-    return out
+    """topic and value of errors, starts, pages, displays and actions: etl's branches, with each record read once for all five."""
+    none, text_map = F.lit(None), "map<string,string>"
+    branch = lambda name, display=none, action=none: F.struct(F.lit(name).alias("name"), display.cast(text_map).alias("display"), action.cast(text_map).alias("action"))
+    empty = F.array().cast(f"array<struct<name:string,display:{text_map},action:{text_map}>>")
+    when = lambda condition, branches: F.coalesce(F.when(condition, branches), empty)
+    is_page = F.col("start").isNull()
+    shown, acted = F.transform("displays", lambda d: branch("display", display=d)), F.transform("actions", lambda a: branch("action", action=a))
+    branches = F.concat(when(F.col("err").isNotNull(), F.array(branch("error"))), F.when(is_page, F.array(branch("page"))).otherwise(F.array(branch("start"))), when(is_page, shown), when(is_page, acted))
+    rows = log.withColumn("_b", F.explode(branches))
+    record = lambda *without: F.to_json(F.struct(*[c for c in log.columns if c not in without]))
+    name = F.col("_b.name")
+    value = F.when(name == "error", record()).when(name == "start", record("err")).when(name == "page", record("start", "displays", "actions", "err"))
+    value = value.when(name == "display", F.to_json(F.struct("common", "page", "ts", "_b.display"))).otherwise(F.to_json(F.struct("common", "page", "_b.action")))
+    return rows.select(F.concat(F.lit("topic_"), name).alias("topic"), value.alias("value"))
 
 
 def write_log_topics(batch: DataFrame, number: int, path: str) -> None:

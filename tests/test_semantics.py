@@ -170,3 +170,10 @@ def test_visitors_are_counted_once_a_day(spark):
 def test_order_of_partitions_is_no_matter(spark, parts):
     df = visits(spark, *[(f"m{i % 5}", str(i % 2), 1 + (i * 7 % 40) / 10, i) for i in range(60)]).repartition(parts)
     assert sorted(map(tuple, keyed.first_of_day(df, "mid", "time", "event_id").select("mid", "date", "event_id").collect())) == sorted(map(tuple, keyed.first_of_day(df.coalesce(1), "mid", "time", "event_id").select("mid", "date", "event_id").collect()))
+
+
+def test_marked_records_are_those_of_the_split(spark):
+    rows = raw(spark, "nope", "123", "", None, "[1]", '{"ts":1}')
+    good, dirty = etl.split_dirty(rows)
+    got = [(r.value, r.dirty) for r in etl.mark_dirty(rows).collect()]
+    assert sorted(got) == sorted([(r.value, False) for r in good.collect()] + [(r.value, True) for r in dirty.collect()])

@@ -4,13 +4,15 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_streams import lines_of, timed
 from test_streams import run as run_stream
 
 from millrace import ledger, sinks
-from millrace.functions.segment import UNKNOWN, Trie, dictionary_segmenter, word_costs
+from millrace.functions.segment import UNKNOWN, Lexicon, Trie, dictionary_segmenter, word_costs
 from millrace.functions.text import explode_words
 from millrace.operators import facts, keyed
 from millrace.plans.fixtures import Inputs
@@ -107,6 +109,20 @@ def test_words_of_unspaced_text(spark):
     assert [r.keyword for r in explode_words(df.filter("id = 4"), "text", segmenter=dictionary_segmenter(words.limit(0))).collect()] == ["龙龙小米"]
 
 
+def test_a_worker_holds_the_letters_of_a_dictionary_not_its_prefixes():
+    rng = random.Random(11)
+    glued = lambda parts, k: "".join(rng.choice(parts) for _ in range(rng.randint(1, k)))
+    parts = ["the", "wh", "a", "nd", "é", "ß", "学", "生", "entre", "\U0001f600"]
+    costs = {glued(parts, 6): rng.randint(0, 9000) for _ in range(5000)}
+    lexicon, whole = Lexicon(pa.array(list(costs)), np.array(list(costs.values()))), Trie(costs.items())
+    assert lexicon.nbytes <= sum(max(len(w.encode()), 8) + 4 for w in costs)
+    runs = [glued([*parts, "q"], 9) for _ in range(2000)]
+    part = lexicon.trie(runs)
+    assert [part.cut(r) for r in runs] == [whole.cut(r) for r in runs]
+    few = lexicon.trie(runs[:20])
+    assert len(few.nodes) < len(whole.nodes) / 10 and [few.cut(r) for r in runs[:20]] == [whole.cut(r) for r in runs[:20]]
+
+
 def test_marks_of_records_without_a_time(spark, tmp_path):
     schema = "event_id long, mid string, is_new string, time timestamp"
     day = 86400

@@ -2,6 +2,9 @@
 
 On streams changes need a column row_time with a watermark (with_row_time()), and joins a time to keep: rows meet if their times are no
 further apart, so that state ends. Batches join whatever the times are, unless told to keep as well. row_time stays in the result.
+
+Changes may carry the id of the order that a row belongs to in a column order_id, beside data. What is dealt by it then meets as it is: lines, orders,
+promotions and payments take one shuffle each. Without it, promotions are joined by their line alone.
 """
 
 from __future__ import annotations
@@ -25,9 +28,14 @@ def _time(rows: DataFrame) -> list[str]:
     return ["row_time"] if "row_time" in rows.columns else []
 
 
+def _order(rows: DataFrame) -> list[str]:
+    return ["order_id"] if "order_id" in rows.columns else []
+
+
 def _take(rows: DataFrame, *names: str, **renamed: str) -> DataFrame:
-    """Columns of `data`, ts and row_time, if there."""
-    return rows.select(*[F.col("data")[n].alias(n) for n in names], *[F.col("data")[n].alias(c) for c, n in renamed.items()], "ts", *_time(rows))
+    """Columns of `data`, ts, and order_id and row_time, if there."""
+    columns = {n: n for n in names} | renamed
+    return rows.select(*[F.col("data")[n].alias(c) for c, n in columns.items() if c not in _order(rows)], *_order(rows), "ts", *_time(rows))
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], keep: str | None, how: str = "inner") -> DataFrame:
@@ -68,7 +76,8 @@ def _details(changes: DataFrame) -> DataFrame:
 def _with_promotions(details: DataFrame, changes: DataFrame, keep: str | None) -> DataFrame:
     activity = _take(rows_of(changes, "order_detail_activity", "insert"), "activity_id", "activity_rule_id", id="order_detail_id")
     coupon = _take(rows_of(changes, "order_detail_coupon", "insert"), "coupon_id", id="order_detail_id")
-    return _join(_join(details, activity, ["id"], keep, "left"), coupon, ["id"], keep, "left")
+    on = [*_order(changes), "id"]
+    return _join(_join(details, activity, on, keep, "left"), coupon, on, keep, "left")
 
 
 _ORDER = ["id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id", "activity_rule_id", "coupon_id", "date_id"]

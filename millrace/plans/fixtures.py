@@ -57,18 +57,25 @@ class Inputs:
         ts = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") * 37) % 86400
         return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "c_nationkey", ts.alias("ts"))
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """lineitem with its parts, and its orders' ids as the changes have them: what is dealt by that id stays so in all that comes of the
+        changes. Parts are met before, as lines are narrowest there."""
+        part = self.table("part").select("p_partkey", "p_name", "p_retailprice")
+        return self.table("lineitem").withColumn("order_id", _string("l_orderkey")).filter(F.col("order_id").isNotNull()).join(part, F.col("l_partkey") == F.col("p_partkey"))
+
     @cached_property
     def last_items(self) -> DataFrame:
-        """lineitem with the latest row of each line only. Few lines have several rows, so they go to their orders (of a few lines each)
-        before any is dropped, and are sorted once; the join with orders needs neither again."""
-        rest, key = ["l_quantity", "l_discount", "l_tax", "l_returnflag"], ["l_orderkey", "l_linenumber"]
-        last = self.table("lineitem").repartition("l_orderkey").groupBy(*key).agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
-        return last.select("l_orderkey", "l_linenumber", "r.*")
+        """items with the latest row of each line only. Few lines have several rows, so they go to their orders (of a few lines each)
+        before any is dropped; the joins by order need no other shuffle of them."""
+        rest, key = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "p_name", "p_retailprice"], ["order_id", "l_linenumber"]
+        last = self.items.repartition("order_id").groupBy(*key).agg(F.max(F.struct(*ARRIVAL, *rest)).alias("r"))
+        return last.select(*key, "r.*")
 
     @cached_property
     def order_lines(self) -> DataFrame:
         """Lines in order of arrival, ids repeated."""
-        return self._lines(self.table("lineitem"))
+        return self._lines(self.items)
 
     @cached_property
     def last_lines(self) -> DataFrame:
@@ -77,33 +84,35 @@ class Inputs:
 
     def _lines(self, items: DataFrame) -> DataFrame:
         """Lines and orders meet by order, not by a copy of one side: both grow with the data, and their files tell too little of their size."""
-        part = self.table("part").select("p_partkey", "p_name", "p_retailprice")
-        lines = items.join(self.orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        orders = self.orders.withColumn("_order", _string("o_orderkey"))
+        lines = items.join(orders.hint("merge"), F.col("order_id") == F.col("_order"))
         money = lambda c: F.col(c).cast(MONEY)
         return lines.select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), _string("l_orderkey").alias("order_id"), _string("l_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"),
+            F.concat_ws("-", "order_id", "l_linenumber").alias("id"), "order_id", _string("l_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"),
             _string("o_custkey").alias("user_id"), _string("c_nationkey").alias("province_id"), money("l_quantity").alias("sku_num"), money("p_retailprice").alias("order_price"),
             (money("l_quantity") * money("p_retailprice")).cast("decimal(20,4)").alias("original_amount"), (money("l_extendedprice") * money("l_discount")).cast("decimal(20,4)").alias("activity_amount"),
             (money("l_extendedprice") * money("l_tax")).cast("decimal(20,4)").alias("coupon_amount"), money("l_extendedprice").alias("order_amount"),
-            "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_orderkey", "l_linenumber", *ARRIVAL, "ts", F.timestamp_seconds("ts").alias("time"),
+            "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_linenumber", *ARRIVAL, "ts", F.timestamp_seconds("ts").alias("time"),
         )
 
-    def _changes(self, df: DataFrame, table: str, kind: Column, ts: Column, data: dict[str, Column], old: dict[str, Column] | None = None) -> DataFrame:
+    def _changes(self, df: DataFrame, table: str, kind: Column, ts: Column, data: dict[str, Column], old: dict[str, Column] | None = None, order: dict[str, Column] | None = None) -> DataFrame:
+        """order: {"order_id": the id of the row's order}, of the shop's tables."""
         entries = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))])
         past = entries(old) if old else F.lit(None).cast("map<string,string>")
-        return df.select(F.lit("shop").alias("database"), F.lit(table).alias("table"), kind.alias("type"), ts.cast("string").alias("ts"), entries(data).alias("data"), past.alias("old"))
+        beside = [v.cast("string").alias(k) for k, v in (order or {}).items()]
+        return df.select(F.lit("shop").alias("database"), F.lit(table).alias("table"), kind.alias("type"), ts.cast("string").alias("ts"), entries(data).alias("data"), past.alias("old"), *beside)
 
     @cached_property
     def order_changes(self) -> DataFrame:
         """Inserts of all orders, and what became of them: F cancelled, P refund asked for and a day later paid."""
         insert = F.lit("insert")
         key, user, province = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
-        base = {"id": key, "user_id": user, "province_id": province}
-        out = self._changes(self.orders, "order_info", insert, F.col("ts"), base | {"order_status": F.lit("1001"), "create_time": _clock(F.col("ts"))})
+        base, of = {"id": key, "user_id": user, "province_id": province}, {"order_id": key}
+        out = self._changes(self.orders, "order_info", insert, F.col("ts"), base | {"order_status": F.lit("1001"), "create_time": _clock(F.col("ts"))}, order=of)
         for status, before, after, delay in (("F", "1001", "1003", 600), ("P", "1001", "1005", 1800), ("P", "1005", "1006", 86400)):
             at = F.col("ts") + delay
             rows = self.orders.filter(F.col("o_orderstatus") == status)
-            out = out.union(self._changes(rows, "order_info", F.lit("update"), at, base | {"order_status": F.lit(after), "operate_time": _clock(at)}, {"order_status": F.lit(before)}))
+            out = out.union(self._changes(rows, "order_info", F.lit("update"), at, base | {"order_status": F.lit(after), "operate_time": _clock(at)}, {"order_status": F.lit(before)}, of))
         return out
 
     @cached_property
@@ -112,34 +121,34 @@ class Inputs:
 
     @cached_property
     def changes(self) -> DataFrame:
-        """All of topic_db, parsed."""
+        """All of topic_db, parsed; the order of a row stands beside its data, null if it has none."""
         c, insert = F.col, F.lit("insert")
-        x = self.last_lines
+        x, of = self.last_lines, {"order_id": c("order_id")}
         out = self.order_changes.union(self._changes(x, "order_detail", insert, c("ts"), {
             "id": c("id"), "order_id": c("order_id"), "sku_id": c("sku_id"), "sku_name": c("sku_name"), "create_time": _clock(c("ts")), "sku_num": c("sku_num"), "order_price": c("order_price"),
             "split_total_amount": c("order_amount"), "split_activity_amount": c("activity_amount"), "split_coupon_amount": c("coupon_amount"),
-        }))
+        }, order=of))
         activity, coupon = F.round(c("l_discount") * 100).cast("int"), F.round(c("l_tax") * 100).cast("int")
-        items, shipped, line = self.last_items, F.unix_timestamp(c("l_shipdate").cast("timestamp")), F.concat_ws("-", "l_orderkey", "l_linenumber")
-        out = out.union(self._changes(items.filter("l_discount >= 0.05"), "order_detail_activity", insert, shipped, {"order_detail_id": line, "activity_id": activity, "activity_rule_id": F.concat(F.lit("r"), activity)}))
-        out = out.union(self._changes(items.filter("l_tax >= 0.04"), "order_detail_coupon", insert, shipped, {"order_detail_id": line, "coupon_id": coupon}))
+        items, shipped, line = self.last_items, F.unix_timestamp(c("l_shipdate").cast("timestamp")), F.concat_ws("-", "order_id", "l_linenumber")
+        out = out.union(self._changes(items.filter("l_discount >= 0.05"), "order_detail_activity", insert, shipped, {"order_detail_id": line, "activity_id": activity, "activity_rule_id": F.concat(F.lit("r"), activity)}, order=of))
+        out = out.union(self._changes(items.filter("l_tax >= 0.04"), "order_detail_coupon", insert, shipped, {"order_detail_id": line, "coupon_id": coupon}, order=of))
         r, part = self.refund_lines, c("l_partkey")
         asked, paid = c("ts") + 3600, c("ts") + 90000
         out = out.union(self._changes(r, "order_refund_info", insert, asked, {
             "id": F.concat(F.lit("r"), c("id")), "user_id": c("user_id"), "order_id": c("order_id"), "sku_id": c("sku_id"), "refund_type": 1501 + part % 2, "refund_num": c("l_quantity").cast("long"),
             "refund_amount": c("order_amount"), "refund_reason_type": 1301 + part % 7, "refund_reason_txt": F.concat(F.lit("reason "), part % 5), "create_time": _clock(asked),
-        }))
+        }, order=of))
         out = out.union(self._changes(r, "refund_payment", F.lit("update"), paid, {
             "id": F.concat(F.lit("p"), c("id")), "order_id": c("order_id"), "sku_id": c("sku_id"), "payment_type": 1101 + part % 4, "callback_time": _clock(paid), "total_amount": c("order_amount"),
-        }))
+        }, order=of))
         key, at = c("o_orderkey"), c("ts") + (c("o_orderkey") * 7) % 1200 - 10
         out = out.union(self._changes(self.orders.filter("o_orderstatus in ('F', 'O')"), "payment_info", F.lit("update"), at, {
             "user_id": c("o_custkey"), "order_id": key, "payment_type": 1101 + key % 3, "callback_time": _clock(at),
-        }))
-        carts, old = self.carts, {"sku_num": c("old_sku_num")}
+        }, order={"order_id": key}))
+        carts, old, none = self.carts, {"sku_num": c("old_sku_num")}, {"order_id": F.lit(None)}
         data = {n: c(n) for n in ("id", "user_id", "sku_id", "sku_num")}
-        out = out.union(self._changes(carts, "cart_info", c("type"), c("ts"), data, old))
-        return out.union(self._changes(self.comments, "comment_info", insert, c("id"), {n: c(n) for n in ("id", "user_id", "sku_id", "appraise", "comment_txt")}))
+        out = out.union(self._changes(carts, "cart_info", c("type"), c("ts"), data, old, none))
+        return out.union(self._changes(self.comments, "comment_info", insert, c("id"), {n: c(n) for n in ("id", "user_id", "sku_id", "appraise", "comment_txt")}, order=none))
 
     @cached_property
     def carts(self) -> DataFrame:

@@ -8,8 +8,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """One time zone for all dates and windows."""
+    """One time zone for all dates and windows; and joins by an order and its line take rows where they are if both sides are dealt by order."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 

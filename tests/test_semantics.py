@@ -1,5 +1,6 @@
 """Hand-written rows for the edges of each operator."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace import sinks
 from millrace.functions.text import explode_words
 from millrace.operators import etl, facts, joins, keyed, summaries
+from millrace.plans import queries
 from millrace.sources import config, topics
 from millrace.streaming.log import log_topics
 
@@ -199,3 +201,30 @@ def test_log_is_read_once_for_all_topics(spark):
     out = log_topics(topics.parse_log(raw(spark, record, '{"start":{"entry":"icon"},"displays":[{"item":"1"}],"ts":2}')))
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.topic[6:] for r in out.collect()) == ["action", "display", "display", "error", "page", "start"]
+
+
+def exchanges(df, by):
+    """How many shuffles have rows of a given key, those that are used again counted once, and all others."""
+    spark_plan = df._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", spark_plan)
+    mine = [k for k in keys if re.fullmatch(rf"(?:{by})#\d+L?", k)]
+    return len(mine), sorted(re.sub(r"#\d+L?", "", k) for k in set(keys) - set(mine))
+
+
+@pytest.mark.parametrize("name", ["fact_topic", "fact_order_detail", "fact_cancel_detail", "fact_payment", "fact_refund"])
+def test_lines_are_dealt_by_order_only(spark, name):
+    some, others = exchanges(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), "order_id|_order|_key")
+    assert some and others == []
+
+
+def test_promotions_of_changes_with_an_order(spark):
+    schema = "`table` string, type string, ts string, data map<string,string>, old map<string,string>"
+    row = lambda table, **data: (table, "insert", "5", data, None)
+    changes = [row("order_info", id=o, user_id="u" + o, province_id="p") for o in "12"]
+    changes += [row("order_detail", id=f"{o}-{n}", order_id=o, sku_id="s", sku_num="1", order_price="2") for o in "12" for n in "ab"] + [row("order_detail", id=None, order_id="1")]
+    changes += [row("order_detail_activity", order_detail_id=i, activity_id=a) for i, a in (("1-a", "x"), ("1-a", "y"), ("2-b", "z"), (None, "n"))] + [row("order_detail_coupon", order_detail_id=i, coupon_id="c") for i in ("1-a", "1-b")]
+    plain = spark.createDataFrame(changes, schema)
+    detail = F.col("data")["order_detail_id"]
+    order = F.when(F.col("table") == "order_info", F.col("data")["id"]).when(F.col("table") == "order_detail", F.col("data")["order_id"]).otherwise(F.substring_index(detail, "-", 1))
+    got = [sorted(map(repr, facts.order_detail(c).collect())) for c in (plain, plain.withColumn("order_id", order))]
+    assert got[0] == got[1] and len(got[0]) == 6

@@ -45,13 +45,14 @@ def repair_is_new(log: DataFrame, key: str = "mid", flag: str = "is_new", time:
     return log.join(base, log[key].eqNullSafe(base["_key"]), "left").withColumn(flag, F.when(late, F.lit("0")).otherwise(F.col(flag))).drop("_key", "_base")
 
 
-def replace_by_cancel(df: DataFrame, key: str, order: list[str], measures: list[str], time: str = "time") -> DataFrame:
+def replace_by_cancel(df: DataFrame, key: str, order: list[str], measures: list[str], time: str = "time", within: tuple[str, ...] = ()) -> DataFrame:
     """For sums over rows that replace earlier ones of their key: each row, and where another follows, its negative beside it (with
-    its own time), so that only the last one counts. Null measures count 0."""
+    its own time), so that only the last one counts. Null measures count 0. within: columns in which all rows of a key are equal (a line's
+    order); rows that are dealt by them already aren't shuffled."""
     rows = df.filter(F.col(time).isNotNull()) if time in df.columns else df
     rows = rows.withColumns({m: F.coalesce(F.col(m), F.lit(0).cast(df.schema[m].dataType)) for m in measures})
     apart = F.when(F.col(key).isNull(), F.monotonically_increasing_id())  # rows without an id don't gather in one task
-    replaced = F.lead(F.lit(1)).over(Window.partitionBy(key, "_apart").orderBy(*order)).isNotNull()
+    replaced = F.lead(F.lit(1)).over(Window.partitionBy(*within, key, "_apart").orderBy(*order)).isNotNull()
     signs = F.when(F.col("_replaced"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
     rows = rows.withColumn("_apart", apart).withColumn("_replaced", replaced).withColumn("sign", F.explode(signs)).drop("_replaced", "_apart")
     return rows.withColumns({m: F.when(F.col("sign") < 0, -F.col(m)).otherwise(F.col(m)).cast(df.schema[m].dataType) for m in measures})

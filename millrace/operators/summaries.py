@@ -55,17 +55,17 @@ def sku_sums() -> list[Column]:
     return _amounts(SKU_MEASURES)
 
 
-def province_orders(details: DataFrame, provinces: DataFrame, order: list[str]) -> DataFrame:
-    rows = keyed.replace_by_cancel(details, "id", order, ["order_amount"])
+def province_orders(details: DataFrame, provinces: DataFrame, order: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    rows = keyed.replace_by_cancel(details, "id", order, ["order_amount"], within=within)
     each = rows.groupBy(F.window("time", WIDTH).alias("w"), "province_id", "order_id").agg(F.sum(F.col("order_amount").cast(AMOUNT)).alias("a"))
     out = each.groupBy("w", "province_id").agg(F.count("*").alias("order_count"), F.sum("a").cast(AMOUNT).alias("order_amount"))
     out = out.select(*window_columns(F.col("w")), "province_id", "order_count", "order_amount")
     return enrich(out, provinces, "province_id", {"province_name": "name"}, default={"province_name": ""})
 
 
-def sku_orders(details: DataFrame, skus: DataFrame, order: list[str]) -> DataFrame:
+def sku_orders(details: DataFrame, skus: DataFrame, order: list[str], within: tuple[str, ...] = ()) -> DataFrame:
     """skus: flat_sku(). Dimensions come after the sums."""
-    out = by_window(keyed.replace_by_cancel(details, "id", order, SKU_MEASURES), *sku_sums(), keys=("sku_id",))
+    out = by_window(keyed.replace_by_cancel(details, "id", order, SKU_MEASURES, within=within), *sku_sums(), keys=("sku_id",))
     names = [c for c in skus.columns if c != "id"]
     return enrich(out, skus, "sku_id", {c: c for c in names})
 

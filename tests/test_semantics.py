@@ -217,6 +217,11 @@ def test_lines_are_dealt_by_order_only(spark, name):
     assert some and others == []
 
 
+def test_replaced_lines_stay_with_their_orders(spark):
+    _, others = exchanges(queries.QUERIES["dedup_cancel_sku"](spark, "/root/testdata/sf0.001"), "order_id|_order")
+    assert others == []
+
+
 def test_promotions_of_changes_with_an_order(spark):
     schema = "`table` string, type string, ts string, data map<string,string>, old map<string,string>"
     row = lambda table, **data: (table, "insert", "5", data, None)

@@ -9,9 +9,13 @@ from millrace.functions.values import changed_to, is_empty, is_json, is_json_obj
 from millrace.sources.topics import parse_changes
 
 
-def non_empty(raw: DataFrame) -> DataFrame:
-    """Without tombstones and empty records."""
-    return raw.filter(~is_empty(F.col("value")))
+def non_empty(raw: DataFrame, made_here: bool = False) -> DataFrame:
+    """Without tombstones and empty records. made_here: for values that the same plan writes as JSON. Spark moves a filter below what makes
+    them, so each would be made twice, for the filter and to be read."""
+    if not made_here:
+        return raw.filter(~is_empty(F.col("value")))
+    kept = F.explode(F.when(~is_empty(F.col("value")), F.array("value"))).alias("value")
+    return raw.select(*[kept if c == "value" else c for c in raw.columns])
 
 
 def dim_etl(raw: DataFrame) -> DataFrame:

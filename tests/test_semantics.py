@@ -233,3 +233,13 @@ def test_promotions_of_changes_with_an_order(spark):
     order = F.when(F.col("table") == "order_info", F.col("data")["id"]).when(F.col("table") == "order_detail", F.col("data")["order_id"]).otherwise(F.substring_index(detail, "-", 1))
     got = [sorted(map(repr, facts.order_detail(c).collect())) for c in (plain, plain.withColumn("order_id", order))]
     assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_a_topic_read_back_is_written_once(spark):
+    df = queries.QUERIES["fact_topic"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+
+
+def test_non_empty_of_values_made_here(spark):
+    df = raw(spark, "{}", "", None, " ").select("value", F.lit(7).alias("offset"))
+    assert etl.non_empty(df, made_here=True).collect() == etl.non_empty(df).collect() and etl.non_empty(df).count() == 2
